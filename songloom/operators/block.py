@@ -1,4 +1,4 @@
-"""Many queries against the whole corpus, block by block.
+"""Many queries against many songs, block by block.
 
 A block of song vectors times a block of query vectors is one matrix product; only the
 best songs per query leave it, so the pairs themselves are never rows. Queries that fit
@@ -26,68 +26,61 @@ from songloom.operators.search import best_first, rank_pairs
 # Queries sent to every task: at most this many, and at most this much memory.
 MAX_SENT_QUERIES = 4096
 MAX_SENT_BYTES = 64 << 20
-# Rows of one block when both sides are spread.
-QUERY_BLOCK_ROWS = 1024
-SONG_BLOCK_ROWS = 65_536
+# One matrix product: rows of songs and of queries. 16,384 x 512 results take 64 MB.
+SONG_BLOCK_ROWS = 16_384
+QUERY_BLOCK_ROWS = 512
 
 # Products of equal rows may differ in the last bits; this makes them equal again.
 _DIGITS = 12
 
-Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], pa.Table]
+# (song table, query ids, query matrix) -> result rows
+Kernel = Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table]
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if len(column) == 0:
-        return np.zeros((0, 0))
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+def _matrix(table: pa.Table, name: str) -> np.ndarray:
+    column = table.column(name).combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
 
-def _songs(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids = table.column("song_id").to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) \
-        else table.column("song_id").to_numpy()
-    weights = table.column("weight").to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) \
-        else table.column("weight").to_numpy()
-    return ids, _matrix(table.column("embedding")), weights
-
-
-def _best(ids: np.ndarray, vectors: np.ndarray, weights: np.ndarray, query_ids: np.ndarray,
-          queries: np.ndarray, *, k: int) -> pa.Table:
-    """Per query the k best songs of a block, ties by song id."""
-    raw = np.round(vectors @ queries.T, _DIGITS)
-    ranked = np.round(raw * weights[:, None], _DIGITS)
-    picked = []
-    for column in ranked.T:
-        inside = np.arange(len(ids))
-        if len(ids) > k:
-            inside = np.nonzero(column >= np.partition(column, len(ids) - k)[len(ids) - k])[0]
-        picked.append(inside[np.lexsort((ids[inside], -column[inside]))[:k]])
-    sizes = [len(p) for p in picked]
-    rows = np.concatenate(picked) if picked else np.array([], dtype=int)
-    of_query = np.repeat(np.arange(len(query_ids)), sizes)
+def _products(songs: pa.Table, queries: np.ndarray) -> np.ndarray:
+    return np.round(_matrix(songs, "embedding") @ queries.T, _DIGITS)
+
+
+def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Rows of the k best scores, best first, ties by id."""
+    inside = np.arange(len(ids))
+    if len(ids) > k:
+        inside = np.nonzero(scores >= np.partition(scores, len(ids) - k)[len(ids) - k])[0]
+    return inside[np.lexsort((ids[inside], -scores[inside]))[:k]]
+
+
+def _best(songs: pa.Table, query_ids: np.ndarray, queries: np.ndarray, *, k: int) -> pa.Table:
+    """Per query the k best songs of a block by similarity times weight."""
+    ids, raw = _numbers(songs, "song_id"), _products(songs, queries)
+    ranked = np.round(raw * _numbers(songs, "weight")[:, None], _DIGITS)
+    picked = [best_rows(column, ids, k) for column in ranked.T]
+    rows = np.concatenate(picked)
+    of_query = np.repeat(np.arange(len(query_ids)), [len(p) for p in picked])
     return pa.table({
-        "query_id": pa.array(query_ids[of_query], pa.int64()),
-        "song_id": pa.array(ids[rows], pa.int64()),
-        "raw_score": pa.array(raw[rows, of_query], pa.float64()),
-        "ranked_score": pa.array(ranked[rows, of_query], pa.float64()),
+        "query_id": query_ids[of_query], "song_id": ids[rows],
+        "raw_score": raw[rows, of_query], "ranked_score": ranked[rows, of_query],
     })
 
 
 _BEST_SCHEMA = "query_id bigint, song_id bigint, raw_score double, ranked_score double"
 
 
-def _profile(ids: np.ndarray, vectors: np.ndarray, weights: np.ndarray, query_ids: np.ndarray,
-             queries: np.ndarray) -> pa.Table:
-    """Per query the count, sum, extremes of similarity in a block."""
-    raw = np.round(vectors @ queries.T, _DIGITS)
+def _profile(songs: pa.Table, query_ids: np.ndarray, queries: np.ndarray) -> pa.Table:
+    """Per query the count, sum and extremes of similarity in a block."""
+    raw = _products(songs, queries)
     return pa.table({
-        "query_id": pa.array(query_ids, pa.int64()),
-        "songs": pa.array(np.full(len(query_ids), len(ids)), pa.int64()),
-        "total": pa.array(raw.sum(axis=0), pa.float64()),
-        "lowest": pa.array(raw.min(axis=0), pa.float64()),
-        "highest": pa.array(raw.max(axis=0), pa.float64()),
+        "query_id": query_ids, "songs": np.full(len(query_ids), len(raw)),
+        "total": raw.sum(axis=0), "lowest": raw.min(axis=0), "highest": raw.max(axis=0),
     })
 
 
@@ -97,50 +90,57 @@ _PROFILE_SCHEMA = "query_id bigint, songs bigint, total double, lowest double, h
 def _scan(batches: Iterator[pa.RecordBatch], *, kernel: Kernel, query_ids: np.ndarray,
           queries: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            yield from kernel(*_songs(batch), query_ids, queries).to_batches()
+        songs = pa.Table.from_batches([batch])
+        for at in range(0, len(query_ids) if batch.num_rows else 0, QUERY_BLOCK_ROWS):
+            part = slice(at, at + QUERY_BLOCK_ROWS)
+            yield from kernel(songs, query_ids[part], queries[part]).to_batches()
 
 
-def _arrow_schema(ddl: str) -> pa.Schema:
+def _empty(ddl: str) -> pa.Table:
     kinds = {"bigint": pa.int64(), "double": pa.float64()}
-    return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in ddl.split(", "))])
+    return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in ddl.split(", "))]).empty_table()
+
+
+def _blocks(rows: DataFrame, mine: str, n_mine: int, key: str, other: str, n_other: int) -> DataFrame:
+    """Rows with their own block number, once for each block of the other side."""
+    return rows.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(n_mine))).withColumn(
+        other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).cast("bigint"))
+
+
+def _block_count(rows: int, size: int) -> int:
+    return max(1, -(-rows // size))
+
+
+def _spread(songs: DataFrame, queries: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
+    """Both sides cut into blocks by hash; group (i, j) holds song block i and query block j."""
+    n_songs = _block_count(songs.count(), SONG_BLOCK_ROWS)
+    n_queries = _block_count(queries.count(), QUERY_BLOCK_ROWS)
+    left = _blocks(songs, "sb", n_songs, "song_id", "qb", n_queries)
+    right = _blocks(queries, "qb", n_queries, "query_id", "sb", n_songs)
+
+    def meet(song_block: pa.Table, query_block: pa.Table) -> pa.Table:
+        if not song_block.num_rows or not query_block.num_rows:
+            return _empty(schema)
+        return kernel(song_block, _numbers(query_block, "query_id"), _matrix(query_block, "q"))
+
+    return left.groupBy("sb", "qb").cogroup(right.groupBy("sb", "qb")).applyInArrow(meet, schema)
 
 
 def _against_all(songs: DataFrame, queries: DataFrame, kernel: Kernel, schema: str,
                  max_sent: int = MAX_SENT_QUERIES) -> DataFrame:
     """Kernel results of every song block against every query (``query_id, q``)."""
-    songs = songs.filter(F.col("embedding").isNotNull()).select(
-        "song_id", F.col("embedding").cast("array<float>").alias("embedding"), "weight")
+    songs = songs.filter(F.col("embedding").isNotNull()).select("song_id", "embedding", "weight")
     queries = queries.select("query_id", F.col("q").cast("array<double>").alias("q"))
     # One row more than may be sent tells whether they all fit.
     sent = queries.limit(max_sent + 1).toArrow()
+    if not sent.num_rows:
+        return songs.sparkSession.createDataFrame([], schema)
     if sent.num_rows <= max_sent and sent.nbytes <= MAX_SENT_BYTES:
-        if not sent.num_rows:
-            return songs.sparkSession.createDataFrame([], schema)
-        ids, matrix = sent.column("query_id").to_numpy(), _matrix(sent.column("q"))
-        return songs.mapInArrow(partial(_scan, kernel=kernel, query_ids=ids, queries=matrix), schema)
+        scan = partial(_scan, kernel=kernel, query_ids=_numbers(sent, "query_id"), queries=_matrix(sent, "q"))
+        return songs.mapInArrow(scan, schema)
     return _spread(songs, queries, kernel, schema)
 
 
-def _spread(songs: DataFrame, queries: DataFrame, kernel: Kernel, schema: str,
-            query_rows: int = QUERY_BLOCK_ROWS, song_rows: int = SONG_BLOCK_ROWS) -> DataFrame:
-    """Both sides cut into blocks by hash; group (i, j) holds song block i and query block j."""
-    n_query_blocks = -(-queries.count() // query_rows)
-    n_song_blocks = max(1, -(-songs.count() // song_rows))
-    song_blocks = songs.withColumn("sb", F.pmod(F.xxhash64("song_id"), F.lit(n_song_blocks))).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))).cast("bigint"))
-    query_blocks = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_query_blocks))).withColumn(
-        "sb", F.explode(F.sequence(F.lit(0), F.lit(n_song_blocks - 1))).cast("bigint"))
-
-    def meet(song_block: pa.Table, query_block: pa.Table) -> pa.Table:
-        if not song_block.num_rows or not query_block.num_rows:
-            return _arrow_schema(schema).empty_table()
-        query_ids = query_block.column("query_id").to_numpy()
-        return kernel(*_songs(song_block), query_ids, _matrix(query_block.column("q")))
-
-    return song_blocks.groupBy("sb", "qb").cogroup(query_blocks.groupBy("sb", "qb")).applyInArrow(meet, schema)
-
-
 def topk_batch(songs: DataFrame, queries: DataFrame, k: int = TOP_K_SEARCH_CHUNKS, fused: bool = True,
                overfetch: int = OVERFETCH_ALL, max_sent: int = MAX_SENT_QUERIES) -> DataFrame:
     """Top-k songs for every query: ``query_id, rank`` and the columns of a search result.
@@ -153,11 +153,10 @@ def topk_batch(songs: DataFrame, queries: DataFrame, k: int = TOP_K_SEARCH_CHUNK
     weight = views_multiplier(numeric(F.col("views"))) if fused else F.lit(1.0)
     local = _against_all(songs.withColumn("weight", weight), queries, partial(_best, k=depth), _BEST_SCHEMA, max_sent)
     near = top_k_per_group(local, ["query_id"], best_first("ranked_score"), depth, "song_id")
-    named = near.select("query_id", "song_id", "raw_score").join(
+    named = near.select(F.col("query_id").alias("request_id"), "song_id", "raw_score").join(
         songs.select("song_id", "title", "artist", "views"), "song_id")
     # The similarity cut of a two-stage search has been made above.
-    ranked = rank_pairs(named.withColumnRenamed("query_id", "request_id"), k, overfetch=None)
-    return ranked.withColumnRenamed("request_id", "query_id")
+    return rank_pairs(named, k, overfetch=None).withColumnRenamed("request_id", "query_id")
 
 
 def similarity_profile(songs: DataFrame, queries: DataFrame, max_sent: int = MAX_SENT_QUERIES) -> DataFrame:
@@ -169,3 +168,26 @@ def similarity_profile(songs: DataFrame, queries: DataFrame, max_sent: int = MAX
         F.min("lowest").alias("lowest_score"),
         F.max("highest").alias("highest_score"),
     )
+
+
+def best_within_names(songs: DataFrame, asks: DataFrame, depth: int) -> DataFrame:
+    """Per request the best songs of each name it found, for names too common to pair up row by row.
+
+    ``songs``: name, song_id, embedding, weight; ``asks``: name, request_id, q. Each
+    name's songs and requests are cut into blocks; a block pair returns ``depth`` songs per
+    request at most, whatever the name's size.
+    """
+    n_songs = _block_count(songs.groupBy("name").count().agg(F.max("count")).first()[0] or 0, SONG_BLOCK_ROWS)
+    n_asks = _block_count(asks.groupBy("name").count().agg(F.max("count")).first()[0] or 0, QUERY_BLOCK_ROWS)
+    left = _blocks(songs, "sb", n_songs, "song_id", "qb", n_asks)
+    right = _blocks(asks, "qb", n_asks, "request_id", "sb", n_songs)
+    schema = "request_id bigint, song_id bigint, raw_score double"
+
+    def meet(song_block: pa.Table, ask_block: pa.Table) -> pa.Table:
+        if not song_block.num_rows or not ask_block.num_rows:
+            return _empty(schema)
+        best = _best(song_block, _numbers(ask_block, "request_id"), _matrix(ask_block, "q"), k=depth)
+        return best.rename_columns({"query_id": "request_id"}).select(["request_id", "song_id", "raw_score"])
+
+    keys = ["name", "sb", "qb"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema)

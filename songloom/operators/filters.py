@@ -52,11 +52,14 @@ def genre_filter(songs: DataFrame, genres: list[str]) -> DataFrame:
     return songs.filter(F.lower("tag").isin(wanted))
 
 
+def passes_genres(tags: Column, tag: Column) -> Column:
+    """Whether a corpus tag is among the wanted tags; no wanted tag lets every row pass."""
+    return (F.size(tags) == 0) | F.coalesce(F.array_contains(tags, F.lower(tag)), F.lit(False))
+
+
 def genre_filter_per_request(candidates: DataFrame, genres: str = "genres", tag: str = "tag") -> DataFrame:
     """As :func:`genre_filter`, each row carrying the label list of its own request."""
-    wanted = wanted_tags(F.col(genres))
-    hit = F.array_contains(wanted, F.lower(F.col(tag)))
-    return candidates.filter((F.size(wanted) == 0) | F.coalesce(hit, F.lit(False)))
+    return candidates.filter(passes_genres(wanted_tags(F.col(genres)), F.col(tag)))
 
 
 def drop_unidentified(songs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from songloom.constants import DEFAULT_ALBUM, DEFAULT_DURATION_MS, DEFAULT_GENRE
-from songloom.functions.keys import corpus_key, normalise_key, numeric
+from songloom.functions.keys import corpus_key, normalise_key, numeric, wanted_tags
 from songloom.functions.payload import first_artist, first_image, track_url
 from songloom.operators.groups import first_per_key
 
@@ -84,11 +84,28 @@ def attach_track_attrs(matched: DataFrame, tracks: DataFrame, order: list[str])
     return matched.join(first, KEYS, "left")
 
 
-def match_requests(songs: DataFrame, tracks: DataFrame, order: list[str]) -> DataFrame:
-    """(request, corpus row) for the tracks each request found, with the first track's url and image."""
-    seen_once = dedup_tracks(tracks, order, ["request_id"])
-    first = dedup_keys_first(seen_once, order, ["request_id"]).select("request_id", *KEYS, "url", "image_url")
-    return with_corpus_keys(songs).join(first, KEYS).drop(*KEYS)
+def request_keys(requests: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Per request the distinct keys of its tracks, with the first track's url and image and the wanted tags."""
+    asked = requests.select("request_id", wanted_tags(F.col("genres")).alias("tags"))
+    mine = tracks.join(asked.select("request_id"), "request_id", "left_semi")
+    once = dedup_tracks(mine, SEEN_ORDER, ["request_id"])
+    first = dedup_keys_first(once, SEEN_ORDER, ["request_id"]).select("request_id", *KEYS, "url", "image_url")
+    return first.join(asked, "request_id")
+
+
+def match_names(songs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(request, name) for the names each request found, a name being a title, artist and tag.
+
+    ``copies`` counts the songs that share the name and ``song_id, views`` are those of the
+    first. However often a name occurs it is one row per request here, which is all that
+    counting and describing need.
+    """
+    slim = with_corpus_keys(songs.select("song_id", "title", "artist", "tag", "views"))
+    found = slim.join(keys.select(*KEYS).distinct(), KEYS, "left_semi")
+    names = found.groupBy(*KEYS, "title", "artist", "tag").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("song_id").alias("song_id"),
+        F.min_by("views", "song_id").alias("views"))
+    return names.join(keys, KEYS)
 
 
 def restrict_to_hits(matched: DataFrame, hits: DataFrame) -> DataFrame:
@@ -163,12 +180,13 @@ def pick_playlists(tracks: DataFrame, min_tracks: int, max_tracks: int, max_song
     return once.withColumn("rank", F.row_number().over(seen)).filter(F.col("rank") <= max_songs)
 
 
-def run_summary(requests: DataFrame, tracks: DataFrame, matched: DataFrame, filtered: DataFrame,
+def run_summary(requests: DataFrame, tracks: DataFrame, names: DataFrame, kept: DataFrame,
                 hits: DataFrame) -> DataFrame:
     """Per request: distinct candidates, corpus matches, matches left by genre, hits."""
-    found = tracks.groupBy("request_id", "track_id").agg(F.lit(1).alias("one")).groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("total_candidates"))
-    out = requests.select("request_id").join(found, "request_id", "left")
-    for name, rows in (("dataset_matches", matched), ("after_genre", filtered), ("hits", hits)):
-        out = out.join(rows.groupBy("request_id").agg(F.count(F.lit(1)).alias(name)), "request_id", "left")
+    once = tracks.join(requests.select("request_id"), "request_id", "left_semi").select("request_id", "track_id").distinct()
+    one = F.lit(1)
+    out = requests.select("request_id")
+    for column, rows, count in (("total_candidates", once, F.count(one)), ("dataset_matches", names, F.sum("copies")),
+                                ("after_genre", kept, F.sum("copies")), ("hits", hits, F.count(one))):
+        out = out.join(rows.groupBy("request_id").agg(count.alias(column)), "request_id", "left")
     return out.fillna(0)

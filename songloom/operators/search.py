@@ -38,7 +38,8 @@ def normalise_vectors(songs: DataFrame) -> DataFrame:
 
 def normalise_if_needed(vectors: DataFrame) -> DataFrame:
     """Normalise only the chunks whose first rows do not look normalised."""
-    unit = vector_profile(vectors).select("chunk_index", "already_unit")
+    # One row per chunk file: a broadcast keeps the vectors where they are.
+    unit = F.broadcast(vector_profile(vectors).select("chunk_index", "already_unit"))
     return vectors.join(unit, "chunk_index").withColumn(
         "embedding",
         F.when(F.col("already_unit"), F.col("embedding").cast("array<double>"))

@@ -19,6 +19,7 @@ from songloom.constants import (
     PLAYLIST_MAX_SONGS,
     PLAYLIST_MAX_TRACKS,
     PLAYLIST_MIN_TRACKS,
+    RERANK_DEPTH,
 )
 from songloom.functions import payload, present, text
 from songloom.functions.keys import genre_tag, normalise_key, numeric
@@ -107,14 +108,14 @@ class Data:
 
     @property
     def hits(self) -> DataFrame:
-        """All identified songs scored against the centre, with a relevance from elsewhere.
+        """The best 100 songs of each label query, with a relevance from elsewhere.
 
         No lyrics (NULL relevance) and failed calls are in it too.
         """
-        scored = search.with_popularity(search.cosine_scan(filters.drop_unidentified(self.song_vectors), self.centre))
+        found = block.topk_batch(self.song_vectors, self.label_queries, RERANK_DEPTH)
         last = F.col("song_id") % 10
-        return scored.select(
-            F.col("label").cast("bigint").alias("request_id"), "song_id", "title", "artist", "views",
+        return found.select(
+            F.col("query_id").alias("request_id"), "song_id", "title", "artist", "views",
             F.col("score").alias("vector_score"),
             F.when(last != 0, F.col("song_id") % 101).cast("int").alias("relevance"),
             (last == 1).alias("failed"))
@@ -335,7 +336,7 @@ def training_columns(d: Data) -> DataFrame:
 
 @query
 def min_score_filter(d: Data) -> DataFrame:
-    scores = d.hits.filter(F.col("relevance").isNotNull()).select("song_id", "relevance")
+    scores = d.hits.filter(F.col("relevance").isNotNull()).select("song_id", "relevance").distinct()
     return rank.min_score_filter(filters.drop_blank_lyrics(d.songs), scores).select("song_id", "title", "artist", "relevance")
 
 
@@ -378,15 +379,15 @@ def fetch_lyrics(d: Data) -> DataFrame:
 
 @query
 def lookup_ids(d: Data) -> DataFrame:
-    found = matching.lookup_ids(d.hits.select("song_id", "vector_score"), d.metadata)
+    found = matching.lookup_ids(d.hits.select("request_id", "song_id", "vector_score"), d.metadata)
     return found.orderBy(*search.best_first("vector_score")).select(
-        "song_id", "title", "artist", "tag", "language", r6("vector_score").alias("vector_score"))
+        "request_id", "song_id", "title", "artist", "tag", "language", r6("vector_score").alias("vector_score"))
 
 
 @query
 def enrich_hits(d: Data) -> DataFrame:
     matched = matching.attach_track_attrs(d.matched, d.tracks, ["request_id", *matching.SEEN_ORDER])
-    return matching.enrich_hits(d.hits.select("song_id", "title", "artist"), matched)
+    return matching.enrich_hits(d.hits.select("request_id", "song_id", "title", "artist"), matched)
 
 
 @query
@@ -459,11 +460,10 @@ def vector_profile(d: Data) -> DataFrame:
 @query
 def run_summary(d: Data) -> DataFrame:
     asked = d.requests
-    tracks = d.tracks.join(asked.select("request_id"), "request_id", "left_semi")
-    slim = d.metadata.select("song_id", "title", "artist", "tag", "views")
-    found = matching.match_requests(slim, tracks, matching.SEEN_ORDER).select("request_id", "song_id")
-    kept = plan.matched_songs(asked, d.tracks, d.metadata)
-    return matching.run_summary(asked, tracks, found, kept, plan.vector_hits(asked, kept, d.bare_vectors))
+    found = plan.matched_names(asked, d.tracks, d.metadata)
+    kept = plan.wanted_names(asked, d.tracks, d.metadata)
+    hits = plan.vector_hits(asked, kept, d.metadata, d.bare_vectors)
+    return matching.run_summary(asked, d.tracks, found, kept, hits)
 
 
 @query
@@ -538,7 +538,7 @@ def topk_batch_two_stage(d: Data) -> DataFrame:
 @query
 def blend_scores(d: Data) -> DataFrame:
     known = d.hits.withColumn("relevance", F.coalesce("relevance", F.lit(NEUTRAL_RELEVANCE)))
-    return rank.blend_scores(known).select("song_id", "relevance", r6("score").alias("score"))
+    return rank.blend_scores(known).select("request_id", "song_id", "relevance", r6("score").alias("score"))
 
 
 @query
@@ -555,9 +555,9 @@ def rerank_strict(d: Data) -> DataFrame:
 
 @query
 def score_watchlist(d: Data) -> DataFrame:
-    kept = plan.matched_songs(d.requests, d.tracks, d.metadata)
-    named = filters.watchlist_matches(filters.drop_unidentified(kept), WATCH_TERMS).drop("term")
-    watched = matching.first_song_per_name(named.select("request_id", "song_id", "title", "artist", "views"), ["request_id"])
+    kept = plan.wanted_names(d.requests, d.tracks, d.metadata).select("request_id", "song_id", "title", "artist", "views")
+    named = filters.watchlist_matches(kept, WATCH_TERMS).drop("term")
+    watched = matching.first_song_per_name(named, ["request_id"])
     scored = plan.score_watchlist(d.requests, watched, d.bare_vectors, d.song_lyrics, d.recommend_cli())
     return scored.select("request_id", "rank", "song_id", "title", "artist", "views", "relevance", "in_final",
                          r6("vector_score").alias("vector_score"), r6("score").alias("score"))

@@ -1,47 +1,82 @@
-"""From requests and the tracks found for them to ranked, described songs."""
+"""From requests and the tracks found for them to ranked, described songs.
+
+Three intermediate tables are settled on the way - the names each request found, the
+(request, song) pairs to score and the best of them - so that the joins with the large
+tables (metadata, vectors, lyrics) know how small their other side is.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from songloom.constants import OVERFETCH_CANDIDATES, RERANK_DEPTH, TOP_K_CLI, TOP_K_SERVICE
+from songloom.functions.keys import numeric
 from songloom.functions.present import result_id, streams
+from songloom.functions.scores import views_multiplier
 from songloom.functions.vectors import dot
+from songloom.operators.block import best_within_names
 from songloom.operators.encode import Scorer, score_relevance
-from songloom.operators.filters import genre_filter_per_request
+from songloom.operators.filters import passes_genres
 from songloom.operators.groups import top_k_per_group
-from songloom.operators.matching import SEEN_ORDER, enrich_hits, match_requests
+from songloom.operators.matching import enrich_hits, match_names, request_keys
 from songloom.operators.rank import fetch_lyrics, rank_results, rerank_neutral, rerank_strict
 from songloom.operators.search import best_first, rank_pairs, with_popularity
+from songloom.session import settle
+
+# A name shared by this many (request, song) pairs or more is scored block by block.
+MAX_PAIRS_PER_NAME = 1_000_000
 
 RESULT = ["request_id", "rank", "song_id", "id", "title", "artist", "album", "genre", "duration_ms", "score",
           "streams", "relevance", "url", "image_url", "vector_score"]
 
 
-def matched_songs(requests: DataFrame, tracks: DataFrame, songs: DataFrame) -> DataFrame:
-    """(request, song) for the songs found for a request that pass its genres; no lyrics, no vectors."""
-    slim = songs.select("song_id", "title", "artist", "tag", "views")
-    asked = requests.select("request_id", "genres")
-    matched = match_requests(slim, tracks.join(asked.select("request_id"), "request_id", "left_semi"), SEEN_ORDER)
-    return genre_filter_per_request(matched.join(asked, "request_id")).drop("genres")
+def matched_names(requests: DataFrame, tracks: DataFrame, songs: DataFrame) -> DataFrame:
+    """Names found for each request, before its genres are applied (``passes`` says which do)."""
+    names = match_names(songs, request_keys(requests, tracks))
+    return names.withColumn("passes", passes_genres(F.col("tags"), F.col("tag"))).drop("tags")
+
+
+def wanted_names(requests: DataFrame, tracks: DataFrame, songs: DataFrame) -> DataFrame:
+    names = matched_names(requests, tracks, songs).filter("passes").drop("passes")
+    return settle(names.withColumn("name", _name()), "names")
+
 
+def _name() -> Column:
+    """Title, artist and tag as one key; matched songs always have a title and an artist."""
+    tag = F.coalesce(F.concat(F.lit("="), F.col("tag")), F.lit(""))
+    return F.concat_ws("\x1f", F.col("title"), F.col("artist"), tag)
 
-def vector_hits(requests: DataFrame, matched: DataFrame, vectors: DataFrame, depth: int = RERANK_DEPTH,
-                overfetch: int | None = OVERFETCH_CANDIDATES) -> DataFrame:
-    """Per request the best matched songs by vector search: two-stage, or fused without ``overfetch``."""
-    pairs = matched.select("request_id", "song_id", "title", "artist", "views").join(vectors, "song_id").join(
-        requests.select("request_id", "q"), "request_id")
-    scored = pairs.withColumn("raw_score", dot(F.col("embedding"), F.col("q"))).drop("embedding", "q")
+
+def vector_hits(requests: DataFrame, names: DataFrame, songs: DataFrame, vectors: DataFrame,
+                depth: int = RERANK_DEPTH, overfetch: int | None = OVERFETCH_CANDIDATES,
+                max_pairs: int = MAX_PAIRS_PER_NAME) -> DataFrame:
+    """Per request the best songs of its names by vector search: two-stage, or fused without ``overfetch``."""
+    slim = songs.select("song_id", "title", "artist", "views", _name().alias("name"))
+    asks = names.select("request_id", "name")
+    queries = requests.select("request_id", "q")
+    common = names.groupBy("name").agg(F.sum("copies").alias("pairs")).filter(F.col("pairs") >= max_pairs).select("name")
+    some_common = not common.isEmpty()
+
+    rare = asks.join(common, "name", "left_anti") if some_common else asks
+    pairs = settle(slim.join(rare, "name").drop("name"), "pairs")
+    scored = pairs.join(vectors, "song_id").join(queries, "request_id").withColumn(
+        "raw_score", dot(F.col("embedding"), F.col("q"))).drop("embedding", "q")
+    if some_common:
+        weight = F.lit(1.0) if overfetch else views_multiplier(numeric(F.col("views")))
+        blocks = slim.join(common, "name").join(vectors, "song_id").select(
+            "name", "song_id", "embedding", weight.alias("weight"))
+        best = best_within_names(blocks, asks.join(common, "name").join(queries, "request_id"), depth * (overfetch or 1))
+        scored = scored.unionByName(best.join(slim.drop("name"), "song_id"))
     return rank_pairs(scored, depth, overfetch)
 
 
-def _describe(requests, matched, hits, lyrics, scorer, rerank, top_k) -> DataFrame:
-    asked = requests.select("request_id", "prompt")
-    read = fetch_lyrics(hits.drop("rank"), lyrics, ["song_id"]).join(asked, "request_id")
-    scored = score_relevance(read.withColumnRenamed("score", "vector_score"), scorer).drop("prompt", "lyrics")
+def _describe(requests, names, hits, lyrics, scorer, rerank, top_k) -> DataFrame:
+    hits = settle(hits.drop("rank").withColumnRenamed("score", "vector_score"), "hits")
+    read = fetch_lyrics(hits, lyrics, ["song_id"]).join(requests.select("request_id", "prompt"), "request_id")
+    scored = score_relevance(read, scorer).drop("prompt", "lyrics")
     best = top_k_per_group(rerank(scored), ["request_id"], best_first(), top_k, "song_id")
-    described = enrich_hits(best, matched, ["request_id"])
+    described = enrich_hits(best, names, ["request_id"])
     return described.withColumn("id", result_id(F.col("rank") - 1, F.col("title"), F.col("artist"))).withColumn(
         "streams", streams(F.col("views"))).select(*RESULT)
 
@@ -53,17 +88,17 @@ def recommend(requests: DataFrame, tracks: DataFrame, songs: DataFrame, vectors:
     ``requests``: request_id, prompt, genres, q; ``tracks``: what :func:`track_fields`
     gives; ``songs``: metadata; ``vectors``: song_id, embedding; ``lyrics``: song_id, lyrics.
     """
-    matched = matched_songs(requests, tracks, songs)
-    hits = vector_hits(requests, matched, vectors, depth, OVERFETCH_CANDIDATES)
-    return _describe(requests, matched, hits, lyrics, scorer, rerank_neutral, top_k)
+    names = wanted_names(requests, tracks, songs)
+    hits = vector_hits(requests, names, songs, vectors, depth, OVERFETCH_CANDIDATES)
+    return _describe(requests, names, hits, lyrics, scorer, rerank_neutral, top_k)
 
 
 def recommend_cli(requests: DataFrame, tracks: DataFrame, songs: DataFrame, vectors: DataFrame, lyrics: DataFrame,
                   top_k: int = TOP_K_CLI, depth: int = RERANK_DEPTH, scorer: Scorer | None = None) -> DataFrame:
     """Command-line form: fused search, missing lyrics leave the vector score as it is."""
-    matched = matched_songs(requests, tracks, songs)
-    hits = vector_hits(requests, matched, vectors, depth, None)
-    return _describe(requests, matched, hits, lyrics, scorer, rerank_strict, top_k)
+    names = wanted_names(requests, tracks, songs)
+    hits = vector_hits(requests, names, songs, vectors, depth, None)
+    return _describe(requests, names, hits, lyrics, scorer, rerank_strict, top_k)
 
 
 def score_watchlist(requests: DataFrame, watched: DataFrame, vectors: DataFrame, lyrics: DataFrame,
@@ -72,16 +107,12 @@ def score_watchlist(requests: DataFrame, watched: DataFrame, vectors: DataFrame,
 
     ``watched``: request_id, song_id, title, artist, views, one row per name and request.
     """
-    pairs = watched.join(vectors, "song_id").join(requests.select("request_id", "q", "prompt"), "request_id")
-    fused = unranked_scores(pairs)
-    read = fetch_lyrics(fused, lyrics, ["song_id"])
-    scored = rerank_strict(score_relevance(read, scorer)).drop("prompt", "lyrics")
+    pairs = settle(watched, "watched").join(vectors, "song_id").join(
+        requests.select("request_id", "q", "prompt"), "request_id")
+    scored = with_popularity(pairs.withColumn("raw_score", dot(F.col("embedding"), F.col("q"))).drop("embedding", "q"))
+    fused = scored.withColumnRenamed("score", "vector_score").drop("raw_score", "views_multiplier")
+    judged = score_relevance(fetch_lyrics(fused, lyrics, ["song_id"]), scorer).drop("prompt", "lyrics")
     names = final.select("request_id", "title", "artist").distinct().withColumn("_in", F.lit(True))
-    return rank_results(scored, ["request_id"]).join(names, ["request_id", "title", "artist"], "left").withColumn(
+    ranked = rank_results(rerank_strict(judged), ["request_id"])
+    return ranked.join(names, ["request_id", "title", "artist"], "left").withColumn(
         "in_final", F.coalesce("_in", F.lit(False))).drop("_in")
-
-
-def unranked_scores(pairs: DataFrame) -> DataFrame:
-    """Fused vector score of (request, song) rows, none cut."""
-    scored = pairs.withColumn("raw_score", dot(F.col("embedding"), F.col("q"))).drop("embedding", "q")
-    return with_popularity(scored).withColumnRenamed("score", "vector_score").drop("raw_score", "views_multiplier")

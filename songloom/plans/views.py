@@ -45,7 +45,8 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                     ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS INT) AS track_pos,
                l_partkey % 59 <> 0 AS has_track,
                CASE WHEN l_partkey % 53 = 0 THEN NULL ELSE concat('t', CAST(l_partkey AS VARCHAR(20))) END AS track_id,
-               concat('SONG ', CAST(CAST(floor(l_partkey / 80) AS BIGINT) * 20 + l_partkey % 20 AS VARCHAR(20))) AS name,
+               concat('SONG ', CAST(CAST(floor(l_partkey / 40) AS BIGINT) * 20 + l_partkey % 20 AS VARCHAR(20)),
+                      CASE WHEN l_partkey % 5 = 0 THEN ' (live)' ELSE '' END) AS name,
                CASE WHEN l_partkey % 47 = 0 THEN NULL
                     WHEN l_partkey % 3 < 2 THEN concat(' src', CAST(l_partkey % 20 AS VARCHAR(20)))
                     ELSE concat('src', CAST(l_suppkey % 20 AS VARCHAR(20))) END AS artist_name,

@@ -23,3 +23,9 @@ def write_clean(songs: DataFrame, path: str) -> DataFrame:
 
 def append_vectors(vectors: DataFrame, path: str) -> None:
     vectors.write.mode("append").parquet(path)
+
+
+def store_bucketed(rows: DataFrame, table: str, buckets: int) -> DataFrame:
+    """Keep rows as a table bucketed by song: tables with equal buckets join without a shuffle."""
+    rows.write.mode("overwrite").bucketBy(buckets, "song_id").sortBy("song_id").saveAsTable(table)
+    return rows.sparkSession.table(table)

@@ -18,7 +18,7 @@ from songloom.constants import VECTOR_FILE_PATTERN
 
 ROWS_PER_TASK = 100_000
 ROWS_PER_BATCH = 10_000
-ROWS_PER_FILE = 65_536
+ROWS_PER_FILE = 16_384
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
