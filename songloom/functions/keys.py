@@ -9,15 +9,20 @@ from pyspark.sql import functions as F
 
 from songloom.constants import GENRE_LABELS
 
-# Unicode-aware, so that a no-break space counts as whitespace too.
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+# Every character that counts as whitespace, the no-break and wide spaces included.
+WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 # Plain decimal text; keeps Java-only spellings such as "1d" and "0x1p3" out.
 _NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)\s*$"
 
 
 def strip(text: Column) -> Column:
     """Remove whitespace of any kind from both ends."""
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    return F.btrim(text, F.lit(WHITESPACE))
+
+
+def has_text(text: Column) -> Column:
+    """Whether there is anything but whitespace; stops at the first such character."""
+    return text.rlike(f"[^{WHITESPACE}]")
 
 
 def normalise_key(text: Column) -> Column:

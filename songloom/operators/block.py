@@ -103,8 +103,8 @@ def _empty(ddl: str) -> pa.Table:
 
 def _blocks(rows: DataFrame, mine: str, n_mine: int, key: str, other: str, n_other: int) -> DataFrame:
     """Rows with their own block number, once for each block of the other side."""
-    return rows.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(n_mine))).withColumn(
-        other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).cast("bigint"))
+    others = F.sequence(F.lit(0).cast("bigint"), F.lit(n_other - 1).cast("bigint"))
+    return rows.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(n_mine))).withColumn(other, F.explode(others))
 
 
 def _block_count(rows: int, size: int) -> int:

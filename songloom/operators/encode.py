@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from songloom.functions.payload import parse_score
@@ -35,8 +36,8 @@ def hashing_encoder(dim: int = HASH_DIM) -> Callable[[], Encoder]:
         def encode(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dim), dtype=np.float64)
             for row, text in enumerate(texts):
-                slots = [_slot(t, dim) for t in word.findall(text.lower())]
-                out[row] = np.bincount(slots, minlength=dim) if slots else 0.0
+                for token, n in Counter(word.findall(text.lower())).items():
+                    out[row, _slot(token, dim)] += n
             lengths = np.linalg.norm(out, axis=1, keepdims=True)
             return out / np.where(lengths == 0.0, 1.0, lengths)
 
@@ -72,23 +73,18 @@ def without_vectors(songs: DataFrame, stored: DataFrame) -> DataFrame:
     return songs.join(stored.select("song_id"), "song_id", "left_anti")
 
 
-def overlap_response(prompt: Column, lyrics: Column) -> Column:
-    """Built-in scorer: share of the prompt's words found in the lyrics, as a JSON response."""
-    asked = tokens(prompt)
-    shared = F.size(F.array_intersect(asked, tokens(lyrics)))
-    score = F.floor(F.lit(100.0) * shared / F.greatest(F.size(asked), F.lit(1)))
-    return F.concat(F.lit('{"score": '), score.cast("string"), F.lit("}"))
-
-
 def score_relevance(pairs: DataFrame, scorer: Scorer | None = None, concurrency: int | None = None) -> DataFrame:
     """(prompt, title, artist, lyrics) rows with a 0-100 ``relevance``; NULL where there are no lyrics.
 
     ``scorer`` takes a batch of request texts and returns the responses; ``concurrency``
-    bounds how many tasks call it at once.
+    bounds how many tasks call it at once. Without one the score is the share of the
+    prompt's words that occur in the lyrics.
     """
     if scorer is None:
-        response = overlap_response(F.col("prompt"), F.col("lyrics"))
-        return pairs.withColumn("relevance", F.when(F.col("lyrics").isNotNull(), parse_score(response)))
+        asked = pairs.withColumn("_asked", tokens(F.col("prompt")))
+        shared = F.size(F.array_intersect("_asked", tokens(F.col("lyrics"))))
+        share = F.floor(F.lit(100.0) * shared / F.greatest(F.size("_asked"), F.lit(1))).cast("int")
+        return asked.withColumn("relevance", F.when(F.col("lyrics").isNotNull(), share)).drop("_asked")
     if concurrency:
         pairs = pairs.repartition(concurrency)
 

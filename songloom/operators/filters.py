@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from songloom.constants import KEPT_LANGUAGES, MIN_YEAR
-from songloom.functions.keys import numeric, strip, wanted_tags
+from songloom.functions.keys import has_text, numeric, wanted_tags
 from songloom.schema import require
 
 
@@ -67,7 +67,7 @@ def drop_unidentified(songs: DataFrame) -> DataFrame:
 
 
 def drop_blank_lyrics(songs: DataFrame) -> DataFrame:
-    return songs.filter(strip(F.col("lyrics")) != "")
+    return songs.filter(has_text(F.col("lyrics")))
 
 
 def valid_views(songs: DataFrame) -> DataFrame:

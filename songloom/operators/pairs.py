@@ -6,7 +6,7 @@ song once and shuffles nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from songloom.constants import MIN_SONGS_PER_CHUNK, QUERY_TEMPLATES
@@ -24,35 +24,54 @@ def passage_rows(songs: DataFrame) -> DataFrame:
     return with_passages(songs).select("song_id", F.posexplode("passages").alias("passage_no", "passage"))
 
 
-def _draws(samples: int):
-    return F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("draw_no")
+def _positives(samples: int, seed: int) -> Column:
+    """Pairs drawn from a row's passages: the first two in a random order, once per draw."""
+    def pair(draw_no: Column) -> Column:
+        ordered = F.array_sort(F.transform("passages", lambda p, i: F.struct(
+            draw(seed, F.col("song_id"), draw_no, i).alias("key"), i.alias("no"), p.alias("text"))))
+        return _pair(draw_no, "positive", F.get(ordered, F.lit(0))["text"], F.get(ordered, F.lit(1))["text"])
+
+    pairs = F.transform(F.sequence(F.lit(1), F.lit(samples)), pair)
+    return F.when(F.size("passages") >= 2, pairs).otherwise(F.slice(pairs, 1, 0))
+
+
+def _synthetics(samples: int, seed: int) -> Column:
+    """Made-up requests: the first words of a random passage in a random template, once per draw."""
+    templates = F.array(*[F.lit(t) for t in QUERY_TEMPLATES])
+
+    def pair(draw_no: Column) -> Column:
+        passage = F.array_min(F.transform("passages", lambda p, i: F.struct(
+            draw(seed, "passage", F.col("song_id"), draw_no, i).alias("key"), p.alias("text"))))["text"]
+        which = draw_number(seed, len(QUERY_TEMPLATES), "template", F.col("song_id"), draw_no)
+        query = F.replace(F.get(templates, which), F.lit("{}"), first_words(passage))
+        return _pair(draw_no, "synthetic", query, passage)
+
+    pairs = F.transform(F.sequence(F.lit(1), F.lit(samples)), pair)
+    return F.when(F.size("passages") > 0, pairs).otherwise(F.slice(pairs, 1, 0))
+
+
+def _pair(draw_no: Column, kind: str, first: Column, second: Column) -> Column:
+    return F.struct(draw_no.alias("draw_no"), F.lit(kind).alias("kind"),
+                    first.alias("sentence_0"), second.alias("sentence_1"))
+
+
+def _drawn(songs: DataFrame, pairs: Column) -> DataFrame:
+    return with_passages(songs).select("song_id", F.explode(pairs).alias("p")).select("song_id", "p.*")
 
 
 def positive_pairs(songs: DataFrame, samples_per_song: int = 2, seed: int = 42) -> DataFrame:
     """Pairs of two different passages of the same song, for songs that have two."""
-    drawn = with_passages(songs).filter(F.size("passages") >= 2).select("song_id", "passages", _draws(samples_per_song))
-    ordered = F.array_sort(F.transform("passages", lambda p, i: F.struct(
-        draw(seed, F.col("song_id"), F.col("draw_no"), i).alias("key"), i.alias("no"), p.alias("text"))))
-    return drawn.withColumn("o", ordered).select(
-        "song_id", "draw_no", F.lit("positive").alias("kind"),
-        F.col("o")[0]["text"].alias("sentence_0"), F.col("o")[1]["text"].alias("sentence_1"))
+    return _drawn(songs, _positives(samples_per_song, seed))
 
 
 def synthetic_queries(songs: DataFrame, samples_per_song: int = 1, seed: int = 42) -> DataFrame:
     """A made-up request built from the first words of a passage, paired with that passage."""
-    drawn = with_passages(songs).filter(F.size("passages") > 0).select("song_id", "passages", _draws(samples_per_song))
-    keyed = F.transform("passages", lambda p, i: F.struct(
-        draw(seed, "passage", F.col("song_id"), F.col("draw_no"), i).alias("key"), p.alias("text")))
-    templates = F.array(*[F.lit(t) for t in QUERY_TEMPLATES])
-    which = draw_number(seed, len(QUERY_TEMPLATES), "template", F.col("song_id"), F.col("draw_no"))
-    return drawn.withColumn("passage", F.array_min(keyed)["text"]).select(
-        "song_id", "draw_no", F.lit("synthetic").alias("kind"),
-        F.replace(F.get(templates, which), F.lit("{}"), first_words(F.col("passage"))).alias("sentence_0"),
-        F.col("passage").alias("sentence_1"))
+    return _drawn(songs, _synthetics(samples_per_song, seed))
 
 
 def training_pairs(songs: DataFrame, samples_per_song: int = 1, seed: int = 42) -> DataFrame:
-    return positive_pairs(songs, samples_per_song, seed).unionByName(synthetic_queries(songs, samples_per_song, seed))
+    """Both kinds of pairs, from one reading of the lyrics."""
+    return _drawn(songs, F.concat(_positives(samples_per_song, seed), _synthetics(samples_per_song, seed)))
 
 
 def pair_counts(songs: DataFrame, samples_per_song: int = 1) -> DataFrame:
@@ -66,9 +85,13 @@ def pair_counts(songs: DataFrame, samples_per_song: int = 1) -> DataFrame:
 
 
 def shuffle_pairs(pairs: DataFrame, seed: int = 42) -> DataFrame:
-    """Pairs in random but repeatable order; the order key stays on the row."""
+    """Pairs in random but repeatable order; the order key stays on the row.
+
+    The keys are random already, so spreading the rows by them and sorting each part is a
+    full shuffle; a global sort would compute the pairs a second time to find its bounds.
+    """
     keyed = pairs.withColumn("shuffle_key", draw(seed, "shuffle", F.col("song_id"), F.col("kind"), F.col("draw_no")))
-    return keyed.orderBy("shuffle_key")
+    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def quota_sample(songs: DataFrame, total: int, samples_per_song: int = 1, seed: int = 42) -> DataFrame:

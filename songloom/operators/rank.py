@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from songloom.constants import MIN_RELEVANCE
 from songloom.functions.scores import blend, neutral_rule, strict_rule
-from songloom.functions.keys import strip
+from songloom.functions.keys import has_text, strip
 
 Rule = Callable[[Column, Column, Column], dict[str, Column]]
 
@@ -40,9 +40,14 @@ def rank_results(hits: DataFrame, per: list[str], score: str = "score") -> DataF
 
 
 def fetch_lyrics(candidates: DataFrame, lyrics: DataFrame, by: list[str]) -> DataFrame:
-    """Candidates with their lyrics, stripped; blank or absent lyrics are NULL."""
-    text = lyrics.select(*by, strip(F.col("lyrics")).alias("lyrics"))
-    return candidates.drop("lyrics").join(text.filter(F.col("lyrics") != ""), by, "left")
+    """Candidates with their lyrics, stripped; blank or absent lyrics are NULL.
+
+    The lyrics are cut down to the candidates' first: an outer join alone could only
+    broadcast or shuffle the lyrics, never leave them in place.
+    """
+    wanted = lyrics.join(candidates.select(*by).distinct(), by, "left_semi")
+    text = wanted.filter(has_text(F.col("lyrics"))).select(*by, strip(F.col("lyrics")).alias("lyrics"))
+    return candidates.drop("lyrics").join(text, by, "left")
 
 
 def min_score_filter(candidates: DataFrame, scores: DataFrame, min_score: int = MIN_RELEVANCE) -> DataFrame:

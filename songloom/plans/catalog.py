@@ -28,7 +28,7 @@ from songloom.functions.vectors import l2_normalise, norm
 from songloom.operators import block, chunks, encode, filters, histogram, matching, pairs, rank, search
 from songloom.plans import recommend as plan
 from songloom.plans.views import register
-from songloom.session import scratch_path, tune
+from songloom.session import scratch_path, spread, tune
 from songloom.sources import corpus, csv_corpus, npy, playlists
 from songloom.streaming.jobs import job_status, stream_job_status
 from songloom.streaming.requests import recommend_stream
@@ -134,6 +134,11 @@ class Data:
         vectors = self.vectors.select(F.col("song_id").alias("request_id"), F.col("embedding").alias("q"))
         return self.genre_requests.join(vectors, "request_id")
 
+    @property
+    def texts(self) -> DataFrame:
+        """Songs for work that is heavy per lyric."""
+        return spread(self.songs, "song_id")
+
     @property
     def song_lyrics(self) -> DataFrame:
         return self.songs.select("song_id", "lyrics")
@@ -461,14 +466,14 @@ def vector_profile(d: Data) -> DataFrame:
 def run_summary(d: Data) -> DataFrame:
     asked = d.requests
     found = plan.matched_names(asked, d.tracks, d.metadata)
-    kept = plan.wanted_names(asked, d.tracks, d.metadata)
+    kept = found.filter("passes")
     hits = plan.vector_hits(asked, kept, d.metadata, d.bare_vectors)
     return matching.run_summary(asked, d.tracks, found, kept, hits)
 
 
 @query
 def pair_counts(d: Data) -> DataFrame:
-    return pairs.pair_counts(d.songs)
+    return pairs.pair_counts(d.texts)
 
 
 @query
@@ -555,10 +560,12 @@ def rerank_strict(d: Data) -> DataFrame:
 
 @query
 def score_watchlist(d: Data) -> DataFrame:
-    kept = plan.wanted_names(d.requests, d.tracks, d.metadata).select("request_id", "song_id", "title", "artist", "views")
-    named = filters.watchlist_matches(kept, WATCH_TERMS).drop("term")
-    watched = matching.first_song_per_name(named, ["request_id"])
-    scored = plan.score_watchlist(d.requests, watched, d.bare_vectors, d.song_lyrics, d.recommend_cli())
+    asked = d.requests
+    names = plan.wanted_names(asked, d.tracks, d.metadata)
+    kept = names.select("request_id", "song_id", "title", "artist", "views")
+    watched = matching.first_song_per_name(filters.watchlist_matches(kept, WATCH_TERMS).drop("term"), ["request_id"])
+    final = plan.recommend_cli(asked, d.tracks, d.metadata, d.bare_vectors, d.song_lyrics, names=names)
+    scored = plan.score_watchlist(asked, watched, d.bare_vectors, d.song_lyrics, final)
     return scored.select("request_id", "rank", "song_id", "title", "artist", "views", "relevance", "in_final",
                          r6("vector_score").alias("vector_score"), r6("score").alias("score"))
 
@@ -601,7 +608,7 @@ def quota_sample(d: Data) -> DataFrame:
 
 @query
 def shuffle_pairs(d: Data) -> DataFrame:
-    return pairs.shuffle_pairs(pairs.training_pairs(d.songs)).select(
+    return pairs.shuffle_pairs(pairs.training_pairs(d.texts)).select(
         "song_id", "kind", "draw_no", "shuffle_key",
         F.md5("sentence_0").alias("md5_0"), F.md5("sentence_1").alias("md5_1"))
 
@@ -618,18 +625,18 @@ def union_chunks(d: Data) -> DataFrame:
 
 @query
 def passages(d: Data) -> DataFrame:
-    return pairs.passage_rows(d.songs).select(
+    return pairs.passage_rows(d.texts).select(
         "song_id", "passage_no", F.length("passage").alias("chars"), F.md5("passage").alias("passage_md5"))
 
 
 @query
 def positive_pairs(d: Data) -> DataFrame:
-    return pairs.positive_pairs(d.songs)
+    return pairs.positive_pairs(d.texts)
 
 
 @query
 def synthetic_queries(d: Data) -> DataFrame:
-    return pairs.synthetic_queries(d.songs)
+    return pairs.synthetic_queries(d.texts)
 
 
 @query
@@ -689,7 +696,7 @@ def first_nested(d: Data) -> DataFrame:
 def clean_lyrics(d: Data) -> DataFrame:
     """Lyrics as a scraper finds them, with page text at the end."""
     found = F.concat(F.coalesce("lyrics", F.lit("")), F.lit("\n12"), F.lit("EmbedShare URLCopyEmbedCopy"))
-    cleaned = d.songs.select("song_id", text.clean_lyrics(found).alias("lyrics"))
+    cleaned = d.texts.select("song_id", text.clean_lyrics(found).alias("lyrics"))
     return cleaned.filter(F.col("lyrics").isNotNull()).select(
         "song_id", F.length("lyrics").alias("chars"), F.md5("lyrics").alias("lyrics_md5"))
 
@@ -732,7 +739,7 @@ def message_count(d: Data) -> DataFrame:
 @query
 def embed_texts(d: Data) -> DataFrame:
     vector = F.col("embedding")
-    embedded = encode.embed_texts(filters.drop_blank_lyrics(d.songs).select("song_id", "lyrics"), "lyrics")
+    embedded = encode.embed_texts(filters.drop_blank_lyrics(d.texts).select("song_id", "lyrics"), "lyrics")
     return embedded.select(
         "song_id", F.size(vector).alias("dim"), F.size(F.filter(vector, lambda x: x != 0)).alias("nonzero"),
         F.round(norm(vector), 4).alias("length"), F.round(checksum(vector), 3).alias("checksum"))
@@ -741,7 +748,7 @@ def embed_texts(d: Data) -> DataFrame:
 @query
 def score_relevance(d: Data) -> DataFrame:
     asked = d.openings.withColumnRenamed("request_id", "asked")
-    rows = d.songs.join(asked, F.col("song_id") % 20 == F.col("asked"))
+    rows = d.texts.join(asked, F.col("song_id") % 20 == F.col("asked"))
     return encode.score_relevance(rows).select("song_id", "relevance")
 
 

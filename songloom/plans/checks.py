@@ -273,6 +273,9 @@ _INVENTORY = """SELECT c.chunk_index::INT AS chunk_index, coalesce(m.n, 0) AS me
     LEFT JOIN (SELECT chunk_index, count(*) AS n FROM songs GROUP BY 1) m ON m.chunk_index = c.chunk_index
     LEFT JOIN (SELECT chunk_index, count(*) AS n FROM vectors GROUP BY 1) v ON v.chunk_index = c.chunk_index"""
 
+_PLACED = """SELECT *, (row_number() OVER (PARTITION BY playlist_id ORDER BY track_pos) - 1)::INT AS pos
+    FROM playlist_items"""
+
 _KEPT_YEAR = f"{_number('year')} >= 1800"
 _KEPT = f"({_KEPT_YEAR} AND language IN ('en', 'es'))"
 _BLANK = f"lyrics IS NOT NULL AND {_strip('lyrics')} <> ''"
@@ -305,7 +308,9 @@ _CHECKS: dict[str, tuple[str, str]] = {
               FROM (SELECT chunk_index, count(*) AS n FROM songs GROUP BY 1)) c ON s.i >= c.start AND s.i < c.stop"""),
     "write_clean": ("songs", f"""
         SELECT song_id, chunk_index, original_index, year, language, md5(lyrics) AS lyrics_md5 FROM songs WHERE {_KEPT}"""),
-    "flatten_playlists": ("tracks", "SELECT * FROM tracks"),
+    "flatten_playlists": ("playlist_items", f"""
+        SELECT request_id, query_no, page_no, playlist_pos, playlist_id, pos AS track_pos, track_id, name,
+               coalesce(artist_name, '') AS artist_name, url, image_url FROM ({_PLACED}) WHERE has_track"""),
     "playlist_sink": ("neutral genre_requests", f"""
         SELECT r.request_id AS id, CASE WHEN length(prompt) <= 50 THEN prompt ELSE substr(prompt, 1, 47) || '...' END AS title,
                array_to_string(genres, '|') AS genres, count(*)::INT AS n_songs,
@@ -532,7 +537,9 @@ _CHECKS: dict[str, tuple[str, str]] = {
         SELECT request_id, prompt || '(' || array_to_string(genres, ' ') || ')' AS context,
                CASE WHEN len(genres) > 0 THEN ' Focus on ' || array_to_string(genres, ', ') || ' music.' ELSE '' END AS focus
         FROM genre_requests"""),
-    "first_nested": ("tracks", "SELECT playlist_id, track_pos, artist_name AS artist, url, image_url FROM tracks"),
+    "first_nested": ("playlist_items", f"""
+        SELECT playlist_id, pos AS track_pos, coalesce(artist_name, '') AS artist, url, image_url
+        FROM ({_PLACED}) WHERE has_track"""),
     "clean_lyrics": ("songs", f"""
         SELECT song_id, length(t) AS chars, md5(t) AS lyrics_md5 FROM (SELECT song_id, {_CLEANED} AS t FROM songs)
         WHERE t <> ''"""),
@@ -553,7 +560,7 @@ _CHECKS: dict[str, tuple[str, str]] = {
         LEFT JOIN genre_requests r ON r.request_id = s.song_id % 20"""),
     "message_count": ("job_events", """
         SELECT event_id, CASE WHEN message LIKE '%songs%' OR message LIKE '%candidates%'
-                 THEN TRY_CAST(replace(regexp_extract(message, '[0-9][0-9,]*'), ',', '') AS BIGINT) END AS songs
+                 THEN TRY_CAST(replace(regexp_extract(message, '([0-9]{1,3}(?:,[0-9]{3})*|[0-9]+)'), ',', '') AS BIGINT) END AS songs
         FROM job_events"""),
     "embed_texts": ("encodings", """
         SELECT song_id, 256 AS dim, nonzero::INT AS nonzero, 1.0::DOUBLE AS length, round(checksum, 3) AS checksum FROM encodings"""),

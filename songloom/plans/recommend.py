@@ -1,6 +1,6 @@
 """From requests and the tracks found for them to ranked, described songs.
 
-Three intermediate tables are settled on the way - the names each request found, the
+Intermediate tables are settled on the way - the keys and names each request found, the
 (request, song) pairs to score and the best of them - so that the joins with the large
 tables (metadata, vectors, lyrics) know how small their other side is.
 """
@@ -32,20 +32,19 @@ RESULT = ["request_id", "rank", "song_id", "id", "title", "artist", "album", "ge
 
 
 def matched_names(requests: DataFrame, tracks: DataFrame, songs: DataFrame) -> DataFrame:
-    """Names found for each request, before its genres are applied (``passes`` says which do)."""
-    names = match_names(songs, request_keys(requests, tracks))
-    return names.withColumn("passes", passes_genres(F.col("tags"), F.col("tag"))).drop("tags")
+    """Names found for each request; ``passes`` says whether the request's genres let a name pass."""
+    names = match_names(songs, settle(request_keys(requests, tracks), "keys"))
+    passes = passes_genres(F.col("tags"), F.col("tag"))
+    return settle(names.select("*", passes.alias("passes"), _name().alias("name")).drop("tags"), "names")
 
 
 def wanted_names(requests: DataFrame, tracks: DataFrame, songs: DataFrame) -> DataFrame:
-    names = matched_names(requests, tracks, songs).filter("passes").drop("passes")
-    return settle(names.withColumn("name", _name()), "names")
+    return matched_names(requests, tracks, songs).filter("passes")
 
 
 def _name() -> Column:
-    """Title, artist and tag as one key; matched songs always have a title and an artist."""
-    tag = F.coalesce(F.concat(F.lit("="), F.col("tag")), F.lit(""))
-    return F.concat_ws("\x1f", F.col("title"), F.col("artist"), tag)
+    """Title, artist and tag as one key that joins and groups also when the tag is missing."""
+    return F.to_json(F.array("title", "artist", "tag"), {"ignoreNullFields": "false"})
 
 
 def vector_hits(requests: DataFrame, names: DataFrame, songs: DataFrame, vectors: DataFrame,
@@ -67,7 +66,7 @@ def vector_hits(requests: DataFrame, names: DataFrame, songs: DataFrame, vectors
         blocks = slim.join(common, "name").join(vectors, "song_id").select(
             "name", "song_id", "embedding", weight.alias("weight"))
         best = best_within_names(blocks, asks.join(common, "name").join(queries, "request_id"), depth * (overfetch or 1))
-        scored = scored.unionByName(best.join(slim.drop("name"), "song_id"))
+        scored = scored.unionByName(settle(best, "best").join(slim.drop("name"), "song_id"))
     return rank_pairs(scored, depth, overfetch)
 
 
@@ -82,21 +81,24 @@ def _describe(requests, names, hits, lyrics, scorer, rerank, top_k) -> DataFrame
 
 
 def recommend(requests: DataFrame, tracks: DataFrame, songs: DataFrame, vectors: DataFrame, lyrics: DataFrame,
-              top_k: int = TOP_K_SERVICE, depth: int = RERANK_DEPTH, scorer: Scorer | None = None) -> DataFrame:
+              top_k: int = TOP_K_SERVICE, depth: int = RERANK_DEPTH, scorer: Scorer | None = None,
+              names: DataFrame | None = None) -> DataFrame:
     """Service form: two-stage search, missing lyrics count as neutral.
 
     ``requests``: request_id, prompt, genres, q; ``tracks``: what :func:`track_fields`
     gives; ``songs``: metadata; ``vectors``: song_id, embedding; ``lyrics``: song_id, lyrics.
+    ``names``: the requests' :func:`wanted_names`, where they are at hand already.
     """
-    names = wanted_names(requests, tracks, songs)
+    names = names or wanted_names(requests, tracks, songs)
     hits = vector_hits(requests, names, songs, vectors, depth, OVERFETCH_CANDIDATES)
     return _describe(requests, names, hits, lyrics, scorer, rerank_neutral, top_k)
 
 
 def recommend_cli(requests: DataFrame, tracks: DataFrame, songs: DataFrame, vectors: DataFrame, lyrics: DataFrame,
-                  top_k: int = TOP_K_CLI, depth: int = RERANK_DEPTH, scorer: Scorer | None = None) -> DataFrame:
+                  top_k: int = TOP_K_CLI, depth: int = RERANK_DEPTH, scorer: Scorer | None = None,
+                  names: DataFrame | None = None) -> DataFrame:
     """Command-line form: fused search, missing lyrics leave the vector score as it is."""
-    names = wanted_names(requests, tracks, songs)
+    names = names or wanted_names(requests, tracks, songs)
     hits = vector_hits(requests, names, songs, vectors, depth, None)
     return _describe(requests, names, hits, lyrics, scorer, rerank_strict, top_k)
 

@@ -41,8 +41,8 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "playlist_items": (["orders", "lineitem"], """
         SELECT o.o_custkey AS request_id, CAST(o.o_orderkey % 5 + 1 AS INT) AS query_no, o.o_orderkey AS page_no,
                CASE WHEN o.o_orderkey % 31 = 0 THEN 1 ELSE 0 END AS playlist_pos, o.o_orderkey AS playlist_id,
-               CAST(row_number() OVER (PARTITION BY o.o_orderkey
-                    ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS INT) AS track_pos,
+               l_linenumber * 1000000000000000 + l_partkey * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT)
+                 AS track_pos,
                l_partkey % 59 <> 0 AS has_track,
                CASE WHEN l_partkey % 53 = 0 THEN NULL ELSE concat('t', CAST(l_partkey AS VARCHAR(20))) END AS track_id,
                concat('SONG ', CAST(CAST(floor(l_partkey / 40) AS BIGINT) * 20 + l_partkey % 20 AS VARCHAR(20)),
