@@ -11,17 +11,11 @@ SALTS = 64
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row that comes first in ``order`` for each key (NULL is a key like any other).
 
-    An aggregate rather than a window: each task keeps one row per key before the
+    Spark's limit on the row number keeps one row per key in each task ahead of the
     shuffle, so a key holding a large share of the rows costs no more than any other.
     """
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    row = F.struct(*order, *rest)
-    position = F.struct(*order)
-    return (
-        df.groupBy(*keys)
-        .agg(F.min_by(row, position).alias("_first"))
-        .select(*[c if c in keys else F.col("_first")[c].alias(c) for c in df.columns])
-    )
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")
 
 
 def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, salt_on: str,

@@ -78,10 +78,19 @@ def match_candidates_strict(songs: DataFrame, tracks: DataFrame) -> DataFrame:
     return with_corpus_keys(songs).join(keys, KEYS, "left_semi").select("song_id", "title", "artist")
 
 
+def first_tracks(tracks: DataFrame, order: list[str]) -> DataFrame:
+    """Each key once, with id, url and image of its first track."""
+    return dedup_keys_first(tracks, order).select(*KEYS, "track_id", "url", "image_url")
+
+
 def attach_track_attrs(matched: DataFrame, tracks: DataFrame, order: list[str]) -> DataFrame:
-    """Matched rows with the url and image of the first track that has their key."""
-    first = dedup_keys_first(tracks, order).select(*KEYS, "track_id", "url", "image_url")
-    return matched.join(first, KEYS, "left")
+    """Matched rows with id, url and image of the first track that has their key."""
+    return matched.join(first_tracks(tracks, order), KEYS, "left")
+
+
+def match_and_attach(songs: DataFrame, tracks: DataFrame, order: list[str]) -> DataFrame:
+    """Matching and attaching in one join, from one reading of the tracks."""
+    return with_corpus_keys(songs).join(first_tracks(tracks, order), KEYS)
 
 
 def request_keys(requests: DataFrame, tracks: DataFrame) -> DataFrame:

@@ -106,7 +106,27 @@ def quota_sample(songs: DataFrame, total: int, samples_per_song: int = 1, seed:
     for chunk, size in sizes.items():
         before[chunk] = left
         left = max(0, left - min(quota, size))
-    allowed = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
     keyed = songs.withColumn("_key", draw(seed, "song", F.col("song_id")))
-    sampled = top_k_per_group(keyed, ["chunk_index"], [F.col("_key"), F.col("song_id")], quota, "song_id", "sample_no")
-    return sampled.filter(F.col("sample_no") <= allowed[F.col("chunk_index")]).drop("_key")
+    near = _likely_sampled(keyed, sizes, quota)
+    sampled = top_k_per_group(near, ["chunk_index"], [F.col("_key"), F.col("song_id")], quota, "song_id", "sample_no")
+    return sampled.filter(F.col("sample_no") <= _per_chunk(before)).drop("_key")
+
+
+def _per_chunk(values: dict[int, int]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("chunk_index")]
+
+
+def _likely_sampled(keyed: DataFrame, sizes: dict[int, int], quota: int) -> DataFrame:
+    """Rows whose random key is low enough to be among a chunk's first ``quota``.
+
+    Keys are even, so the bound is known from the chunk's size, with a margin of ten
+    standard deviations. The counts are checked: should a chunk still come out short, all
+    rows are kept.
+    """
+    wanted = quota + 10 * quota ** 0.5 + 100
+    bounds = {chunk: int(min(1.0, wanted / size) * 2**32) for chunk, size in sizes.items()}
+    low = F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint") < _per_chunk(bounds)
+    near = keyed.filter(low)
+    found = {r["chunk_index"]: r["count"] for r in near.groupBy("chunk_index").count().collect()}
+    enough = all(found.get(chunk, 0) >= min(quota, size) for chunk, size in sizes.items())
+    return near if enough else keyed

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from songloom.constants import (
+    LYRICS_FOOTER,
     NEUTRAL_RELEVANCE,
     PLAYLIST_MAX_SONGS,
     PLAYLIST_MAX_TRACKS,
@@ -391,7 +392,7 @@ def lookup_ids(d: Data) -> DataFrame:
 
 @query
 def enrich_hits(d: Data) -> DataFrame:
-    matched = matching.attach_track_attrs(d.matched, d.tracks, ["request_id", *matching.SEEN_ORDER])
+    matched = matching.match_and_attach(d.metadata, d.tracks, ["request_id", *matching.SEEN_ORDER])
     return matching.enrich_hits(d.hits.select("request_id", "song_id", "title", "artist"), matched)
 
 
@@ -695,7 +696,7 @@ def first_nested(d: Data) -> DataFrame:
 @query
 def clean_lyrics(d: Data) -> DataFrame:
     """Lyrics as a scraper finds them, with page text at the end."""
-    found = F.concat(F.coalesce("lyrics", F.lit("")), F.lit("\n12"), F.lit("EmbedShare URLCopyEmbedCopy"))
+    found = F.concat(F.coalesce("lyrics", F.lit("")), F.lit("\n12"), F.lit(LYRICS_FOOTER))
     cleaned = d.texts.select("song_id", text.clean_lyrics(found).alias("lyrics"))
     return cleaned.filter(F.col("lyrics").isNotNull()).select(
         "song_id", F.length("lyrics").alias("chars"), F.md5("lyrics").alias("lyrics_md5"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from songloom.session import spread
+
 TABLES = ["documents", "embeddings", "orders", "lineitem", "events", "conversations"]
 
 # name -> (what it reads, text)
@@ -104,6 +106,8 @@ def register(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view over the tables in ``sf_dir``, with whatever it reads registered first."""
     if name in TABLES:
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if name == "lineitem":
+            df = spread(df, "l_orderkey", "l_partkey", "l_extendedprice")
     else:
         reads, text = VIEWS[name]
         for other in reads:

@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even when that costs the next operator a shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Cut ranked groups before their shuffle also when many rows per group are asked for.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -94,7 +96,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give work that is heavy per row a task per core when the scan has fewer splits than that."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give heavy work a task per core when a table is too small to have that many splits."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

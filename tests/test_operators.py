@@ -222,6 +222,14 @@ def test_top_k_per_group_with_one_hot_group(spark):
     assert found == {g: v[:5] for g, v in wanted.items()}
 
 
+def test_ranked_groups_are_cut_before_the_shuffle(spark):
+    rows = spark.range(100_000).select((F.col("id") % 3).alias("g"), "id")
+    for cut in (groups.first_per_key(rows, ["g"], ["id"]), groups.top_k_per_group(rows, ["g"], [F.col("id")], 2000, "id")):
+        plan = cut._jdf.queryExecution().executedPlan().toString()
+        below = plan[plan.rindex("Exchange hashpartitioning"):]
+        assert "WindowGroupLimit" in below and "Partial" in below
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     numbers = random.Random(3)
@@ -370,3 +378,11 @@ def test_quota_sample(spark):
     counts = {r["chunk_index"]: r["count"] for r in pairs.quota_sample(rows, 250).groupBy("chunk_index").count().collect()}
     assert counts == {1: 100, 2: 100, 3: 50}
     assert pairs.quota_sample(rows, 100).count() == 100
+
+
+def test_quota_sample_of_a_large_chunk_is_the_lowest_keys(spark):
+    from songloom.functions.sampling import draw
+    rows = spark.range(20_000).select(F.col("id").alias("song_id"), F.lit(1).alias("chunk_index"))
+    found = ids(pairs.quota_sample(rows, 400))
+    lowest = rows.orderBy(draw(42, "song", F.col("song_id"))).limit(200)
+    assert found == ids(lowest)
