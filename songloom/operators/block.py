@@ -13,7 +13,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from songloom.constants import OVERFETCH_ALL, TOP_K_SEARCH_CHUNKS
@@ -101,29 +101,33 @@ def _empty(ddl: str) -> pa.Table:
     return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in ddl.split(", "))]).empty_table()
 
 
-def _blocks(rows: DataFrame, mine: str, n_mine: int, key: str, other: str, n_other: int) -> DataFrame:
+def _blocks(rows: DataFrame, mine: str, n_mine: Column, key: str, other: str, n_other: Column) -> DataFrame:
     """Rows with their own block number, once for each block of the other side."""
-    others = F.sequence(F.lit(0).cast("bigint"), F.lit(n_other - 1).cast("bigint"))
-    return rows.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(n_mine))).withColumn(other, F.explode(others))
+    return rows.withColumn(mine, F.pmod(F.xxhash64(key), n_mine)).withColumn(
+        other, F.explode(F.sequence(F.lit(0).cast("bigint"), n_other - 1)))
 
 
-def _block_count(rows: int, size: int) -> int:
-    return max(1, -(-rows // size))
+def _block_count(rows: Column, size: int) -> Column:
+    return F.greatest(F.ceil(rows / F.lit(size)), F.lit(1)).cast("bigint")
 
 
-def _spread(songs: DataFrame, queries: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
-    """Both sides cut into blocks by hash; group (i, j) holds song block i and query block j."""
-    n_songs = _block_count(songs.count(), SONG_BLOCK_ROWS)
-    n_queries = _block_count(queries.count(), QUERY_BLOCK_ROWS)
-    left = _blocks(songs, "sb", n_songs, "song_id", "qb", n_queries)
-    right = _blocks(queries, "qb", n_queries, "query_id", "sb", n_songs)
-
+def _meet(songs: DataFrame, queries: DataFrame, keys: list[str], kernel: Kernel, schema: str) -> DataFrame:
+    """Kernel results of the song block and the query block in each group."""
     def meet(song_block: pa.Table, query_block: pa.Table) -> pa.Table:
         if not song_block.num_rows or not query_block.num_rows:
             return _empty(schema)
         return kernel(song_block, _numbers(query_block, "query_id"), _matrix(query_block, "q"))
 
-    return left.groupBy("sb", "qb").cogroup(right.groupBy("sb", "qb")).applyInArrow(meet, schema)
+    return songs.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(meet, schema)
+
+
+def _spread(songs: DataFrame, queries: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
+    """Both sides cut into blocks by hash; group (i, j) holds song block i and query block j."""
+    n_songs = _block_count(F.lit(songs.count()), SONG_BLOCK_ROWS)
+    n_queries = _block_count(F.lit(queries.count()), QUERY_BLOCK_ROWS)
+    left = _blocks(songs, "sb", n_songs, "song_id", "qb", n_queries)
+    right = _blocks(queries, "qb", n_queries, "query_id", "sb", n_songs)
+    return _meet(left, right, ["sb", "qb"], kernel, schema)
 
 
 def _against_all(songs: DataFrame, queries: DataFrame, kernel: Kernel, schema: str,
@@ -170,24 +174,19 @@ def similarity_profile(songs: DataFrame, queries: DataFrame, max_sent: int = MAX
     )
 
 
-def best_within_names(songs: DataFrame, asks: DataFrame, depth: int) -> DataFrame:
+def best_within_names(songs: DataFrame, asks: DataFrame, names: DataFrame, depth: int) -> DataFrame:
     """Per request the best songs of each name it found, for names too common to pair up row by row.
 
-    ``songs``: name, song_id, embedding, weight; ``asks``: name, request_id, q. Each
-    name's songs and requests are cut into blocks; a block pair returns ``depth`` songs per
-    request at most, whatever the name's size.
+    ``songs``: name, song_id, embedding, weight; ``asks``: name, request_id, q; ``names``:
+    the names, with how many ``songs`` and ``asks`` each has. Either side of a name is cut
+    into blocks; a block pair returns ``depth`` songs per request at most, whatever the
+    name's size.
     """
-    n_songs = _block_count(songs.groupBy("name").count().agg(F.max("count")).first()[0] or 0, SONG_BLOCK_ROWS)
-    n_asks = _block_count(asks.groupBy("name").count().agg(F.max("count")).first()[0] or 0, QUERY_BLOCK_ROWS)
-    left = _blocks(songs, "sb", n_songs, "song_id", "qb", n_asks)
-    right = _blocks(asks, "qb", n_asks, "request_id", "sb", n_songs)
-    schema = "request_id bigint, song_id bigint, raw_score double"
-
-    def meet(song_block: pa.Table, ask_block: pa.Table) -> pa.Table:
-        if not song_block.num_rows or not ask_block.num_rows:
-            return _empty(schema)
-        best = _best(song_block, _numbers(ask_block, "request_id"), _matrix(ask_block, "q"), k=depth)
-        return best.rename_columns({"query_id": "request_id"}).select(["request_id", "song_id", "raw_score"])
-
-    keys = ["name", "sb", "qb"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema)
+    blocks = names.select("name", _block_count(F.col("songs"), SONG_BLOCK_ROWS).alias("n_songs"),
+                          _block_count(F.col("asks"), QUERY_BLOCK_ROWS).alias("n_asks"))
+    n_songs, n_asks = F.col("n_songs"), F.col("n_asks")
+    left = _blocks(songs.join(blocks, "name"), "sb", n_songs, "song_id", "qb", n_asks)
+    right = _blocks(asks.withColumnRenamed("request_id", "query_id").join(blocks, "name"),
+                    "qb", n_asks, "query_id", "sb", n_songs)
+    best = _meet(left, right, ["name", "sb", "qb"], partial(_best, k=depth), _BEST_SCHEMA)
+    return best.select(F.col("query_id").alias("request_id"), "song_id", "raw_score")

@@ -8,13 +8,13 @@ per key by then, so a hot key never multiplies.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from songloom.constants import DEFAULT_ALBUM, DEFAULT_DURATION_MS, DEFAULT_GENRE
 from songloom.functions.keys import corpus_key, normalise_key, numeric, wanted_tags
 from songloom.functions.payload import first_artist, first_image, track_url
-from songloom.operators.groups import first_per_key
+from songloom.operators.groups import first_per_key, top_k_per_group
 
 KEYS = ["norm_title", "norm_artist"]
 SEEN_ORDER = ["query_no", "page_no", "playlist_pos", "track_pos"]
@@ -183,10 +183,9 @@ def pick_playlists(tracks: DataFrame, min_tracks: int, max_tracks: int, max_song
     fitting = sizes.filter(F.col("n").between(min_tracks, max_tracks)).drop("n")
     chosen = first_per_key(fitting, ["request_id", "query_no"], ["page_no", "playlist_id"])
     keys = ["request_id", "query_no", "page_no", "playlist_id"]
-    # At most max_tracks rows per phrase are left from here on.
-    once = dedup_tracks(tracks.join(chosen, keys, "left_semi"), ["query_no", "page_no", "track_pos"], ["request_id"])
-    seen = Window.partitionBy("request_id").orderBy("query_no", "page_no", "track_pos")
-    return once.withColumn("rank", F.row_number().over(seen)).filter(F.col("rank") <= max_songs)
+    seen = ["query_no", "page_no", "track_pos"]
+    once = dedup_tracks(tracks.join(chosen, keys, "left_semi"), seen, ["request_id"])
+    return top_k_per_group(once, ["request_id"], [F.col(c) for c in seen], max_songs, "track_pos")
 
 
 def run_summary(requests: DataFrame, tracks: DataFrame, names: DataFrame, kept: DataFrame,

@@ -22,17 +22,15 @@ from songloom.constants import (
     PLAYLIST_MIN_TRACKS,
     RERANK_DEPTH,
 )
-from songloom.functions import payload, present, text
-from songloom.functions.keys import genre_tag, normalise_key, numeric
-from songloom.functions.scores import views_multiplier
-from songloom.functions.vectors import l2_normalise, norm
+from songloom.functions import payload, present, scores, text, vectors
+from songloom.functions.keys import genre_tag, numeric
+from songloom.functions.vectors import norm
 from songloom.operators import block, chunks, encode, filters, histogram, matching, pairs, rank, search
 from songloom.plans import recommend as plan
 from songloom.plans.views import register
 from songloom.session import scratch_path, spread, tune
 from songloom.sources import corpus, csv_corpus, npy, playlists
-from songloom.streaming.jobs import job_status, stream_job_status
-from songloom.streaming.requests import recommend_stream
+from songloom.streaming import jobs, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,14 +84,14 @@ class Data:
     def centre(self) -> list[float]:
         """Mean of all vectors, as a unit vector: one row comes to the driver."""
         mean = self.vectors.agg(vector_to_array(Summarizer.mean(array_to_vector("embedding"))).alias("q"))
-        return mean.select(l2_normalise(F.col("q")).alias("q")).first()["q"]
+        return mean.select(vectors.l2_normalise(F.col("q")).alias("q")).first()["q"]
 
     @property
     def label_queries(self) -> DataFrame:
         """One query per label: the mean of its vectors, as a unit vector."""
         mean = self.vectors.groupBy(F.col("label").cast("bigint").alias("query_id")).agg(
             vector_to_array(Summarizer.mean(array_to_vector("embedding"))).alias("q"))
-        return mean.select("query_id", l2_normalise(F.col("q")).alias("q"))
+        return mean.select("query_id", vectors.l2_normalise(F.col("q")).alias("q"))
 
     @property
     def raw_vectors(self) -> DataFrame:
@@ -132,8 +130,8 @@ class Data:
     @property
     def requests(self) -> DataFrame:
         """Requests with their query vector; the vector table holds one per request number."""
-        vectors = self.vectors.select(F.col("song_id").alias("request_id"), F.col("embedding").alias("q"))
-        return self.genre_requests.join(vectors, "request_id")
+        encoded = self.vectors.select(F.col("song_id").alias("request_id"), F.col("embedding").alias("q"))
+        return self.genre_requests.join(encoded, "request_id")
 
     @property
     def texts(self) -> DataFrame:
@@ -150,7 +148,10 @@ class Data:
 
     @property
     def pages(self) -> DataFrame:
-        """Playlists as search-result pages; some pages hold a missing playlist, some items no track."""
+        """Playlists as search-result pages; some pages hold a missing playlist, some items no track.
+
+        A playlist is an order and its items the order's few lines, which one page holds.
+        """
         image = F.when(F.col("image_url").isNotNull(), F.array(F.struct(F.col("image_url").alias("url")))).otherwise(
             F.array().cast("array<struct<url:string>>"))
         track = F.struct(
@@ -263,7 +264,7 @@ def incremental_embed(d: Data) -> DataFrame:
 
 
 @query
-def normalise_keys(d: Data) -> DataFrame:
+def normalise_key(d: Data) -> DataFrame:
     return matching.with_track_keys(d.tracks).select(
         "request_id", "playlist_id", "track_pos", "norm_title", "norm_artist")
 
@@ -342,8 +343,8 @@ def training_columns(d: Data) -> DataFrame:
 
 @query
 def min_score_filter(d: Data) -> DataFrame:
-    scores = d.hits.filter(F.col("relevance").isNotNull()).select("song_id", "relevance").distinct()
-    return rank.min_score_filter(filters.drop_blank_lyrics(d.songs), scores).select("song_id", "title", "artist", "relevance")
+    judged = d.hits.filter(F.col("relevance").isNotNull()).select("song_id", "relevance").distinct()
+    return rank.min_score_filter(filters.drop_blank_lyrics(d.songs), judged).select("song_id", "title", "artist", "relevance")
 
 
 @query
@@ -486,7 +487,7 @@ def candidates_by_chunk(d: Data) -> DataFrame:
 
 
 @query
-def l2_normalise_vectors(d: Data) -> DataFrame:
+def l2_normalise(d: Data) -> DataFrame:
     done = search.normalise_vectors(d.raw_vectors)
     return done.select("song_id", r6(norm(F.col("embedding"))).alias("length"), r6(checksum(F.col("embedding"))).alias("checksum"))
 
@@ -502,8 +503,8 @@ def cosine_raw(d: Data) -> DataFrame:
 
 
 @query
-def popularity(d: Data) -> DataFrame:
-    return d.metadata.select("song_id", r6(views_multiplier(numeric(F.col("views")))).alias("views_multiplier"))
+def views_multiplier(d: Data) -> DataFrame:
+    return d.metadata.select("song_id", r6(scores.views_multiplier(numeric(F.col("views")))).alias("views_multiplier"))
 
 
 def _shown(hits: DataFrame, *keys: str) -> DataFrame:
@@ -567,7 +568,7 @@ def score_watchlist(d: Data) -> DataFrame:
     watched = matching.first_song_per_name(filters.watchlist_matches(kept, WATCH_TERMS).drop("term"), ["request_id"])
     final = plan.recommend_cli(asked, d.tracks, d.metadata, d.bare_vectors, d.song_lyrics, names=names)
     scored = plan.score_watchlist(asked, watched, d.bare_vectors, d.song_lyrics, final)
-    return scored.select("request_id", "rank", "song_id", "title", "artist", "views", "relevance", "in_final",
+    return scored.select("request_id", "song_id", "title", "artist", "views", "relevance", "in_final",
                          r6("vector_score").alias("vector_score"), r6("score").alias("score"))
 
 
@@ -757,12 +758,12 @@ def score_relevance(d: Data) -> DataFrame:
 
 
 @query
-def job_states(d: Data) -> DataFrame:
-    return job_status(d.job_events)
+def job_status(d: Data) -> DataFrame:
+    return jobs.job_status(d.job_events)
 
 
 @query
-def job_states_stream(d: Data) -> DataFrame:
+def job_status_stream(d: Data) -> DataFrame:
     """The same states kept up to date from event files that arrive one after the other."""
     arriving, output = d.scratch("events-in"), d.scratch("states-out")
     events = d.job_events
@@ -772,23 +773,23 @@ def job_states_stream(d: Data) -> DataFrame:
         states.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
 
     stream = d.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
-    stream_job_status(stream, d.scratch("states-checkpoint"), publish).awaitTermination()
+    jobs.stream_job_status(stream, d.scratch("states-checkpoint"), publish).awaitTermination()
     stored = d.spark.read.parquet(output)
     rest = [c for c in stored.columns if c not in ("job_id", "batch_id")]
     return stored.groupBy("job_id").agg(F.max_by(F.struct(*rest), "batch_id").alias("s")).select("job_id", "s.*")
 
 
 @query
-def recommend_requests_stream(d: Data) -> DataFrame:
+def recommend_stream(d: Data) -> DataFrame:
     """Requests that arrive as files, answered batch by batch."""
     arriving, output = d.scratch("requests-in"), d.scratch("answers-out")
-    requests = d.requests
-    requests.repartitionByRange(2, "request_id").write.parquet(arriving)
-    stream = d.spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    asked = d.requests
+    asked.repartitionByRange(2, "request_id").write.parquet(arriving)
+    stream = d.spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
 
     def answer(batch: DataFrame) -> DataFrame:
         return plan.recommend(batch, d.tracks, d.metadata, d.bare_vectors, d.song_lyrics)
 
-    recommend_stream(stream, answer, output, d.scratch("answers-checkpoint")).awaitTermination()
+    requests.recommend_stream(stream, answer, output, d.scratch("answers-checkpoint")).awaitTermination()
     return d.spark.read.parquet(output).drop("batch_id").withColumn("score", r6("score")).withColumn(
         "vector_score", r6("vector_score"))

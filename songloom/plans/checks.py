@@ -253,7 +253,7 @@ def _histogram(edges: list[float]) -> str:
         GROUP BY ALL"""
 
 
-_JOB_STATES = """
+_JOB_STATUS = """
     SELECT job_id, d.status AS status,
            CASE d.status WHEN 'completed' THEN 100 WHEN 'failed' THEN 0 WHEN 'cancelled' THEN 0 ELSE d.progress END::INT
              AS progress,
@@ -321,7 +321,7 @@ _CHECKS: dict[str, tuple[str, str]] = {
         SELECT song_id, len(embedding)::INT AS dim, round({_checksum('embedding')}, 3) AS checksum FROM vectors
         UNION ALL SELECT song_id, 256, round(checksum, 3) FROM encodings
         WHERE song_id NOT IN (SELECT song_id FROM vectors)"""),
-    "normalise_keys": ("tracks", f"SELECT request_id, playlist_id, track_pos, {KEYS} FROM tracks"),
+    "normalise_key": ("tracks", f"SELECT request_id, playlist_id, track_pos, {KEYS} FROM tracks"),
     "numeric_coerce": ("songs", f"SELECT song_id, {_number('views')} AS views, {_number('year')} AS year FROM songs"),
     "year_filter": ("songs", f"SELECT song_id, year FROM songs WHERE {_KEPT_YEAR}"),
     "language_filter": ("songs", "SELECT song_id, language FROM songs WHERE language IN ('en', 'es')"),
@@ -421,7 +421,7 @@ _CHECKS: dict[str, tuple[str, str]] = {
     "candidates_by_chunk": ("matched", """
         SELECT chunk_index, count(*) AS candidates, min(original_index) AS first_index, max(original_index) AS last_index
         FROM matched GROUP BY chunk_index"""),
-    "l2_normalise_vectors": ("raw_vectors", f"""
+    "l2_normalise": ("raw_vectors", f"""
         SELECT song_id, round(CASE WHEN {_norm('embedding')} = 0 THEN 0 ELSE 1 END::DOUBLE, 6) AS length,
                round({_checksum('embedding')} / CASE WHEN {_norm('embedding')} = 0 THEN 1 ELSE {_norm('embedding')} END, 6)
                  AS checksum FROM raw_vectors"""),
@@ -431,7 +431,7 @@ _CHECKS: dict[str, tuple[str, str]] = {
           SELECT song_id, title, artist, CASE WHEN {_norm('embedding')} = 0 THEN 0
                  ELSE list_dot_product(embedding, q) / ({_norm('embedding')} * {_norm('q')}) END AS score
           FROM raw_vectors, centre) ORDER BY score DESC, song_id LIMIT 10"""),
-    "popularity": ("songs", f"SELECT song_id, round({_mult(_number('views'))}, 6) AS views_multiplier FROM songs"),
+    "views_multiplier": ("songs", f"SELECT song_id, round({_mult(_number('views'))}, 6) AS views_multiplier FROM songs"),
     "topk_fused": ("song_vectors centre", f"""
         SELECT {_HIT} FROM {_scored()} WHERE title IS NOT NULL AND artist IS NOT NULL
         ORDER BY raw_score * mult DESC, song_id LIMIT 7"""),
@@ -455,8 +455,7 @@ _CHECKS: dict[str, tuple[str, str]] = {
     "rerank_neutral": ("neutral", "SELECT request_id, rank, song_id, relevance, round(score, 6) AS score FROM neutral"),
     "rerank_strict": ("strict", "SELECT request_id, rank, song_id, relevance, round(score, 6) AS score FROM strict"),
     "score_watchlist": ("request_songs request_scores " + _CLI_READS, f"""
-        SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY s DESC, song_id) AS rank, song_id, title, artist,
-               views, relevance, (request_id, title, artist) IN (SELECT (request_id, title, artist) FROM ({_CLI})) AS in_final,
+        SELECT request_id, song_id, title, artist, views, relevance, (request_id, title, artist) IN (SELECT (request_id, title, artist) FROM ({_CLI})) AS in_final,
                round(v, 6) AS vector_score, round(s, 6) AS score
         FROM (SELECT w.request_id, w.song_id, w.title, w.artist, greatest(coalesce({_number('w.views')}, 1), 1) AS views,
                      c.raw_score * c.mult AS v, coalesce(x.llm, 0) AS relevance,
@@ -568,9 +567,9 @@ _CHECKS: dict[str, tuple[str, str]] = {
         SELECT s.song_id, CASE WHEN s.lyrics IS NULL THEN NULL ELSE
                  floor(100.0 * len(list_intersect(asked, coalesce(words, []))) / greatest(len(asked), 1))::INT END AS relevance
         FROM songs s JOIN ask_lists a ON a.request_id = s.song_id % 20 LEFT JOIN word_lists w ON w.song_id = s.song_id"""),
-    "job_states": ("job_events", _JOB_STATES),
-    "job_states_stream": ("job_events", _JOB_STATES),
-    "recommend_requests_stream": (_SERVICE_READS, _SERVICE),
+    "job_status": ("job_events", _JOB_STATUS),
+    "job_status_stream": ("job_events", _JOB_STATUS),
+    "recommend_stream": (_SERVICE_READS, _SERVICE),
 }
 
 CHECKS: dict[str, str] = {name: _statement(*check) for name, check in _CHECKS.items()}

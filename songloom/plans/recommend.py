@@ -20,7 +20,7 @@ from songloom.operators.encode import Scorer, score_relevance
 from songloom.operators.filters import passes_genres
 from songloom.operators.groups import top_k_per_group
 from songloom.operators.matching import enrich_hits, match_names, request_keys
-from songloom.operators.rank import fetch_lyrics, rank_results, rerank_neutral, rerank_strict
+from songloom.operators.rank import fetch_lyrics, rerank_neutral, rerank_strict
 from songloom.operators.search import best_first, rank_pairs, with_popularity
 from songloom.session import settle
 
@@ -54,7 +54,8 @@ def vector_hits(requests: DataFrame, names: DataFrame, songs: DataFrame, vectors
     slim = songs.select("song_id", "title", "artist", "views", _name().alias("name"))
     asks = names.select("request_id", "name")
     queries = requests.select("request_id", "q")
-    common = names.groupBy("name").agg(F.sum("copies").alias("pairs")).filter(F.col("pairs") >= max_pairs).select("name")
+    common = names.groupBy("name").agg(F.max("copies").alias("songs"), F.count(F.lit(1)).alias("asks")).filter(
+        F.col("songs") * F.col("asks") >= max_pairs)
     some_common = not common.isEmpty()
 
     rare = asks.join(common, "name", "left_anti") if some_common else asks
@@ -63,9 +64,9 @@ def vector_hits(requests: DataFrame, names: DataFrame, songs: DataFrame, vectors
         "raw_score", dot(F.col("embedding"), F.col("q"))).drop("embedding", "q")
     if some_common:
         weight = F.lit(1.0) if overfetch else views_multiplier(numeric(F.col("views")))
-        blocks = slim.join(common, "name").join(vectors, "song_id").select(
+        blocks = slim.join(common.select("name"), "name").join(vectors, "song_id").select(
             "name", "song_id", "embedding", weight.alias("weight"))
-        best = best_within_names(blocks, asks.join(common, "name").join(queries, "request_id"), depth * (overfetch or 1))
+        best = best_within_names(blocks, asks.join(queries, "request_id"), common, depth * (overfetch or 1))
         scored = scored.unionByName(settle(best, "best").join(slim.drop("name"), "song_id"))
     return rank_pairs(scored, depth, overfetch)
 
@@ -115,6 +116,5 @@ def score_watchlist(requests: DataFrame, watched: DataFrame, vectors: DataFrame,
     fused = scored.withColumnRenamed("score", "vector_score").drop("raw_score", "views_multiplier")
     judged = score_relevance(fetch_lyrics(fused, lyrics, ["song_id"]), scorer).drop("prompt", "lyrics")
     names = final.select("request_id", "title", "artist").distinct().withColumn("_in", F.lit(True))
-    ranked = rank_results(rerank_strict(judged), ["request_id"])
-    return ranked.join(names, ["request_id", "title", "artist"], "left").withColumn(
+    return rerank_strict(judged).join(names, ["request_id", "title", "artist"], "left").withColumn(
         "in_final", F.coalesce("_in", F.lit(False))).drop("_in")

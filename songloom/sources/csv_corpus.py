@@ -37,7 +37,7 @@ def _scan(spark: SparkSession, path: str, needed: list[str], columns: list[str]
     files = rows.groupBy("chunk_index", "_file").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
     shifts = files.select(
         "_file", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
-    return rows.join(shifts, "_file").select(
+    return rows.join(F.broadcast(shifts), "_file").select(
         "chunk_index", (F.col("_row") + F.col("_shift")).alias("original_index"), *kept)
 
 

@@ -97,17 +97,15 @@ def test_message_count(one, given, wanted):
     assert one(payload.message_count(V), "v string", given) == wanted
 
 
-def python_passages(lyrics):
-    """The rule, one text at a time."""
-    merged, current = [], ""
-    for part in [p.strip() for p in lyrics.split("\n\n") if p.strip()]:
-        if current and len(current) + len(part) < 200:
-            current = f"{current}\n\n{part}"
-            continue
-        merged += [current] if current else []
-        current = part
-    merged += [current] if current else []
-    return [m[i:i + 800] for m in merged for i in range(0, len(m), 800)]
+def expected_passages(lyrics):
+    """Parts grouped while the text of a group and the next part stay short, then cut."""
+    together = []
+    for part in filter(None, map(str.strip, lyrics.split("\n\n"))):
+        if together and len("\n\n".join(together[-1])) + len(part) < 200:
+            together[-1].append(part)
+        else:
+            together.append([part])
+    return [whole[at:at + 800] for whole in map("\n\n".join, together) for at in range(0, len(whole), 800)]
 
 
 @pytest.mark.parametrize("lyrics", [
@@ -115,7 +113,7 @@ def python_passages(lyrics):
     "\n\n".join("word " * n for n in (1, 30, 2, 50, 400, 3, 3, 3)), "line\nline\n\n  verse  \n\n\n"])
 def test_passages(one, lyrics):
     found = one(text.passages(V), "v string", lyrics)
-    assert found == python_passages(lyrics)
+    assert found == expected_passages(lyrics)
     assert all(0 < len(p) <= 800 for p in found)
     assert "".join("".join(found).split()) == "".join(lyrics.split())
 
