@@ -188,5 +188,7 @@ def best_within_names(songs: DataFrame, asks: DataFrame, names: DataFrame, depth
     left = _blocks(songs.join(blocks, "name"), "sb", n_songs, "song_id", "qb", n_asks)
     right = _blocks(asks.withColumnRenamed("request_id", "query_id").join(blocks, "name"),
                     "qb", n_asks, "query_id", "sb", n_songs)
-    best = _meet(left, right, ["name", "sb", "qb"], partial(_best, k=depth), _BEST_SCHEMA)
+    keys = ["name", "sb", "qb"]
+    best = _meet(left.select(*keys, "song_id", "embedding", "weight"), right.select(*keys, "query_id", "q"),
+                 keys, partial(_best, k=depth), _BEST_SCHEMA)
     return best.select(F.col("query_id").alias("request_id"), "song_id", "raw_score")
