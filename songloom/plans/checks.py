@@ -572,4 +572,21 @@ _CHECKS: dict[str, tuple[str, str]] = {
     "recommend_stream": (_SERVICE_READS, _SERVICE),
 }
 
-CHECKS: dict[str, str] = {name: _statement(*check) for name, check in _CHECKS.items()}
+# Lengths and row numbers are 32-bit in Spark, 64-bit here.
+_NARROW: dict[str, list[str]] = {
+    "chars": ["scan_lyrics_csv", "clean_corpus", "fetch_lyrics", "dedup_corpus", "passages", "truncate_lyrics",
+              "render_prompt", "clean_lyrics"],
+    "rank": ["topk_batch", "topk_batch_two_stage", "rerank_neutral", "rerank_strict", "recommend", "recommend_cli",
+             "recommend_stream", "rank_results", "pick_playlist_in_range"],
+    "sample_no": ["quota_sample"],
+}
+
+
+def _narrowed(name: str, select: str) -> str:
+    for column, names in _NARROW.items():
+        if name in names:
+            select = f"SELECT * REPLACE ({column}::INT AS {column}) FROM ({select})"
+    return select
+
+
+CHECKS: dict[str, str] = {name: _statement(reads, _narrowed(name, select)) for name, (reads, select) in _CHECKS.items()}
