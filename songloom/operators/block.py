@@ -22,6 +22,7 @@ from songloom.functions.scores import views_multiplier
 from songloom.operators.filters import drop_unidentified
 from songloom.operators.groups import top_k_per_group
 from songloom.operators.search import best_first, rank_pairs
+from songloom.session import settle
 
 # Queries sent to every task: at most this many, and at most this much memory.
 MAX_SENT_QUERIES = 4096
@@ -157,7 +158,8 @@ def topk_batch(songs: DataFrame, queries: DataFrame, k: int = TOP_K_SEARCH_CHUNK
     weight = views_multiplier(numeric(F.col("views"))) if fused else F.lit(1.0)
     local = _against_all(songs.withColumn("weight", weight), queries, partial(_best, k=depth), _BEST_SCHEMA, max_sent)
     near = top_k_per_group(local, ["query_id"], best_first("ranked_score"), depth, "song_id")
-    named = near.select(F.col("query_id").alias("request_id"), "song_id", "raw_score").join(
+    # At most depth rows per query, but only a stored table tells Spark so.
+    named = settle(near, "near").select(F.col("query_id").alias("request_id"), "song_id", "raw_score").join(
         songs.select("song_id", "title", "artist", "views"), "song_id")
     # The similarity cut of a two-stage search has been made above.
     return rank_pairs(named, k, overfetch=None).withColumnRenamed("request_id", "query_id")

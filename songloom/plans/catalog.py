@@ -254,7 +254,7 @@ def playlist_sink(d: Data) -> DataFrame:
 def incremental_embed(d: Data) -> DataFrame:
     path = d.scratch("stored-vectors")
     corpus.append_vectors(d.bare_vectors, path)
-    new = encode.without_vectors(filters.drop_blank_lyrics(d.songs), d.spark.read.parquet(path))
+    new = encode.without_vectors(filters.drop_blank_lyrics(d.texts), d.spark.read.parquet(path))
     corpus.append_vectors(encode.embed_texts(new, "lyrics").select("song_id", "embedding"), path)
     return d.spark.read.parquet(path).select(
         "song_id", F.size("embedding").alias("dim"), F.round(checksum(F.col("embedding")), 3).alias("checksum"))

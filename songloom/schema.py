@@ -5,24 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-METADATA = T.StructType([
-    T.StructField("song_id", T.LongType()),
-    T.StructField("title", T.StringType()),
-    T.StructField("artist", T.StringType()),
-    T.StructField("tag", T.StringType()),
-    T.StructField("language", T.StringType()),
-    T.StructField("year", T.StringType()),
-    T.StructField("views", T.StringType()),
-    T.StructField("chunk_index", T.IntegerType()),
-    T.StructField("original_index", T.LongType()),
-])
-
-VECTORS = T.StructType([
-    T.StructField("chunk_index", T.IntegerType()),
-    T.StructField("original_index", T.LongType()),
-    T.StructField("embedding", T.ArrayType(T.FloatType())),
-])
-
 TRACK = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("name", T.StringType()),

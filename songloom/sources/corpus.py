@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from songloom.schema import require
+
 
 def scan_metadata(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """All present chunks; a filter on ``chunk_index`` reads only those folders."""
-    rows = spark.read.parquet(path)
+    rows = require(spark.read.parquet(path), "title", "artist", "chunk_index", *(columns or []))
     return rows.select(*columns) if columns else rows
 
 

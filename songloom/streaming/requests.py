@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from songloom.session import settle
+
 Answer = Callable[[DataFrame], DataFrame]
 
 
@@ -19,7 +21,8 @@ def recommend_stream(requests: DataFrame, answer: Answer, output: str, checkpoin
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        answer(batch).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+        # Answering reads the requests several times, their source only once.
+        answer(settle(batch, "requests")).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
 
     return (
         requests.writeStream.option("checkpointLocation", checkpoint)

@@ -85,10 +85,13 @@ def test_npy_gap_is_an_error(spark, tmp_path):
 
 def test_write_clean_overwrites_and_prunes(spark, tmp_path):
     path = str(tmp_path / "c")
-    rows = spark.range(10).select("id", (F.col("id") % 2).cast("int").alias("chunk_index"))
+    rows = spark.range(10).select(
+        "id", F.lit("t").alias("title"), F.lit("a").alias("artist"), (F.col("id") % 2).cast("int").alias("chunk_index"))
     assert corpus.write_clean(rows, path).count() == 10
     stored = corpus.write_clean(rows.filter("id < 4"), path)
-    assert stored.columns == ["id", "chunk_index"] and stored.count() == 4
+    assert stored.columns == rows.columns and stored.count() == 4
+    with pytest.raises(ValueError, match="year"):
+        corpus.scan_metadata(spark, path, ["id", "year"])
     plan = corpus.scan_metadata(spark, path).filter("chunk_index = 1")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(chunk_index" in plan
 
