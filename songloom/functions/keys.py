@@ -11,8 +11,6 @@ from songloom.constants import GENRE_LABELS
 
 # Every character that counts as whitespace, the no-break and wide spaces included.
 WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
-# Plain decimal text; keeps Java-only spellings such as "1d" and "0x1p3" out.
-_NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)\s*$"
 
 
 def strip(text: Column) -> Column:
@@ -36,9 +34,16 @@ def corpus_key(text: Column) -> Column:
 
 
 def numeric(text: Column) -> Column:
-    """Number held in text, NULL when it is not one (NaN included)."""
-    value = text.cast("string").try_cast("double")
-    return F.when(text.cast("string").rlike(_NUMBER), value)
+    """Number held in text, NULL when it is not one (NaN included).
+
+    The cast also takes Java's own spellings, such as "1d" and "0x1p3"; these are told
+    by their letters and left out.
+    """
+    plain = text.cast("string")
+    value = plain.try_cast("double")
+    decimal = F.translate(plain, "dDfFxX", "") == plain
+    infinite = F.abs(value) == F.lit(float("inf"))
+    return F.when(~F.isnan(value) & (decimal | infinite), value)
 
 
 def genre_tag(label: Column) -> Column:

@@ -1,6 +1,6 @@
 """From requests and the tracks found for them to ranked, described songs.
 
-Intermediate tables are settled on the way - the keys and names each request found, the
+Intermediate tables are settled on the way - the requests, the keys and names they found, the
 (request, song) pairs to score and the best of them - so that the joins with the large
 tables (metadata, vectors, lyrics) know how small their other side is.
 """
@@ -90,6 +90,7 @@ def recommend(requests: DataFrame, tracks: DataFrame, songs: DataFrame, vectors:
     gives; ``songs``: metadata; ``vectors``: song_id, embedding; ``lyrics``: song_id, lyrics.
     ``names``: the requests' :func:`wanted_names`, where they are at hand already.
     """
+    requests = settle(requests, "requests")
     names = names or wanted_names(requests, tracks, songs)
     hits = vector_hits(requests, names, songs, vectors, depth, OVERFETCH_CANDIDATES)
     return _describe(requests, names, hits, lyrics, scorer, rerank_neutral, top_k)
@@ -99,6 +100,7 @@ def recommend_cli(requests: DataFrame, tracks: DataFrame, songs: DataFrame, vect
                   top_k: int = TOP_K_CLI, depth: int = RERANK_DEPTH, scorer: Scorer | None = None,
                   names: DataFrame | None = None) -> DataFrame:
     """Command-line form: fused search, missing lyrics leave the vector score as it is."""
+    requests = settle(requests, "requests")
     names = names or wanted_names(requests, tracks, songs)
     hits = vector_hits(requests, names, songs, vectors, depth, None)
     return _describe(requests, names, hits, lyrics, scorer, rerank_strict, top_k)
