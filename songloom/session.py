@@ -20,6 +20,8 @@ RUNTIME_CONF = {
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Long texts and vectors go to the Python workers in batches of a bounded size.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
 }
 
 _own_scratch: dict[str, str] = {}
