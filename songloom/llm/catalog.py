@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songloom.llm import arrow_tokens, chat, decontaminate, mixing, secrets
+from songloom.llm import arrow_tokens, chat, decontaminate, jaccard, mixing, secrets
 from songloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_tokens.read_tokens(spark, files)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = "<|im_end|><|im_start|>assistant ok"
@@ -69,7 +73,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_secret_scan, op2_decontaminate, op3_source_mix, op4_token_files, op9_chat_format,
+    op1_secret_scan, op2_decontaminate, op3_source_mix, op4_token_files, op6_ngram_join, op9_chat_format,
 )}
 
 CHECKS: dict[str, str] = {
