@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songloom.llm import arrow_tokens, chat, decontaminate, jaccard, mixing, secrets
+from songloom.llm import arrow_tokens, chat, decontaminate, jaccard, language, mixing, secrets
+from songloom.llm.features import fold
 from songloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +60,13 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(language.labelled_sample(documents, fold("doc_id") != 2))
+    scored = language.identify(documents.select("doc_id", (fold("doc_id") == 2).alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = "<|im_end|><|im_start|>assistant ok"
@@ -73,7 +81,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_secret_scan, op2_decontaminate, op3_source_mix, op4_token_files, op6_ngram_join, op9_chat_format,
+    op1_secret_scan, op2_decontaminate, op3_source_mix, op4_token_files, op6_ngram_join, op7_language_id, op9_chat_format,
 )}
 
 CHECKS: dict[str, str] = {
