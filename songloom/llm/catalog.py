@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songloom.llm import arrow_tokens, chat, decontaminate, jaccard, language, mixing, secrets
+from songloom.llm import arrow_tokens, chat, decontaminate, jaccard, language, mixing, quality, secrets
 from songloom.llm.features import fold
 from songloom.session import tune
 
@@ -56,6 +56,15 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_tokens.read_tokens(spark, files)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.fit(*quality.training_texts(documents, labels, fold("doc_id") != 2))
+    scored = quality.score_quality(documents, model)
+    return scored.select("doc_id", (fold("doc_id") == 2).alias("held_out"), "score",
+                         (F.col("score") >= quality.GOOD).cast("int").alias("predicted"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -81,7 +90,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_secret_scan, op2_decontaminate, op3_source_mix, op4_token_files, op6_ngram_join, op7_language_id, op9_chat_format,
+    op1_secret_scan, op2_decontaminate, op3_source_mix, op4_token_files, op5_quality, op6_ngram_join, op7_language_id, op9_chat_format,
 )}
 
 CHECKS: dict[str, str] = {
