@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songloom.llm import arrow_tokens, chat, decontaminate, jaccard, language, mixing, quality, secrets
+from songloom.llm import arrow_tokens, chat, decontaminate, jaccard, language, mixing, multi_index, quality, secrets
 from songloom.llm.features import fold
 from songloom.session import tune
 
@@ -76,6 +76,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = "<|im_end|><|im_start|>assistant ok"
@@ -90,7 +94,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_secret_scan, op2_decontaminate, op3_source_mix, op4_token_files, op5_quality, op6_ngram_join, op7_language_id, op9_chat_format,
+    op1_secret_scan, op2_decontaminate, op3_source_mix, op4_token_files, op5_quality, op6_ngram_join, op7_language_id, op8_nearest, op9_chat_format,
 )}
 
 CHECKS: dict[str, str] = {
