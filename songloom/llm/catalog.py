@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songloom.llm import arrow_tokens, chat, decontaminate, jaccard, language, mixing, multi_index, quality, secrets
+from songloom.llm import arrow_tokens, chat, decontaminate, jaccard, language, mixing, multi_index, quality, repeats, secrets
 from songloom.llm.features import fold
 from songloom.session import tune
 
@@ -93,8 +93,13 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("bigint").alias("formatted_chars"), "escaped")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_secret_scan, op2_decontaminate, op3_source_mix, op4_token_files, op5_quality, op6_ngram_join, op7_language_id, op8_nearest, op9_chat_format,
+    op1_secret_scan, op2_decontaminate, op3_source_mix, op4_token_files, op5_quality, op6_ngram_join, op7_language_id, op8_nearest, op9_chat_format, op10_substring_dedup,
 )}
 
 CHECKS: dict[str, str] = {
