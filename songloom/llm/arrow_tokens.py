@@ -21,6 +21,7 @@ import itertools
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,13 +31,17 @@ from pyarrow import fs, ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from songloom.llm.words import blocks
 from songloom.session import scratch_path
 
 LENGTH = 2048
 SEQUENCES = 64
 END_ID = 1
 # Pieces of text whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
+# Bytes of text that are cut into pieces at once, and pieces that the tokenizer gets at once.
+BLOCK_BYTES = 1 << 20
+PIECES_AT_ONCE = 4096
 
 # Texts of these characters only, without ' and <|, can be lower-cased and cut between letters and
 # other characters ahead of the tokenizer: it does the same, and never joins across such a cut.
@@ -79,10 +84,14 @@ class Encoder:
         pieces = list(itertools.chain.from_iterable(parts))
         fresh = [p for p in dict.fromkeys(pieces) if p not in self.known]
         if fresh:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+            ids, sizes = array("I"), array("I")
+            for a in range(0, len(fresh), PIECES_AT_ONCE):
+                for e in self.tokenizer.encode_batch_fast(fresh[a:a + PIECES_AT_ONCE], add_special_tokens=False):
+                    ids.extend(own := e.ids)
+                    sizes.append(len(own))
             self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
-            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), self.dtype)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(f) for f in found])])
+            self.ids = np.concatenate([self.ids, np.frombuffer(ids, np.uint32).astype(self.dtype)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.frombuffer(sizes, np.uint32))])
         number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         starts, sizes = self.ends[number], self.ends[number + 1] - self.ends[number]
         total = np.concatenate([[0], np.cumsum(sizes)])
@@ -124,6 +133,13 @@ class _Output:
         self.system.move(self.own, self.path)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in runs of about ``BLOCK_BYTES`` of text."""
+    for batch in batches:
+        for first, end, _, _ in blocks(batch.column(1), BLOCK_BYTES):
+            yield batch.slice(first, end - first)
+
+
 def _write(batches: Iterator[pa.RecordBatch], folder: str, definition, length: int, fold: bool
            ) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
@@ -131,9 +147,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, definition, length: i
     shard, encoder = TaskContext.get().partitionId(), _encoder(definition.value, fold)
     tokens = documents = None
     kept, done, n_docs, whole = np.zeros(0, encoder.dtype), 0, 0, length * SEQUENCES
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _parts(batches):
         ids, counts = encoder.encode(batch.column(1).to_pylist())
         ends = done + np.cumsum(counts)
         rows = pa.RecordBatch.from_arrays(
