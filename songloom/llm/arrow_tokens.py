@@ -91,7 +91,7 @@ class Encoder:
                     sizes.append(len(own))
             self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
             self.ids = np.concatenate([self.ids, np.frombuffer(ids, np.uint32).astype(self.dtype)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.frombuffer(sizes, np.uint32))])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.frombuffer(sizes, np.uint32).astype(np.int64))])
         number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         starts, sizes = self.ends[number], self.ends[number + 1] - self.ends[number]
         total = np.concatenate([[0], np.cumsum(sizes)])
