@@ -73,10 +73,9 @@ def _code(character: Column) -> Column:
 def labelled_samples(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      docs: int = SAMPLE_DOCS) -> DataFrame:
     """(value, secret) from at most ``docs`` documents: what the patterns find, and the words."""
-    key = F.xxhash64(id_col)
-    chosen = documents.select(key.alias("key")).distinct().orderBy("key").limit(docs)
-    text = documents.join(F.broadcast(chosen), key == F.col("key"), "left_semi").select(
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = documents.select(F.xxhash64(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    chosen = rows.select("key").distinct().orderBy("key").limit(docs)
+    text = rows.join(F.broadcast(chosen), "key", "left_semi").select("text")
     found = F.concat(
         F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)),
         F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))
