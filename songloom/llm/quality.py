@@ -33,8 +33,12 @@ GOOD = 0.7
 # Where nothing is labelled.
 DEFAULT_PRIOR = 0.5
 TABLES = (Grams(raw, 3, 4096), Grams(shape, 3, 1024))
-STEPS = 800
+STEPS = 1500
 BATCH = 256
+RATE = 0.02
+DECAY = 3e-3
+# How much of a step is taken back where the corrected risk is negative.
+BACK = -0.2
 
 
 def properties(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -104,7 +108,7 @@ def training_texts(documents: DataFrame, labels: DataFrame, learn: Column, id_co
 
 def _gradient(x: np.ndarray, z: np.ndarray, sign: float) -> np.ndarray:
     """Of the mean logistic loss of calling all rows ``sign``, by the weights."""
-    return (-sign / (1.0 + np.exp(np.clip(sign * z, -40, 40)))) @ x / len(x)
+    return (-sign / (1.0 + np.exp(np.clip(sign * z, -40, 40)))).astype(np.float32) @ x / np.float32(len(x))
 
 
 def fit(positive: list[str], unlabelled: list[str], prior: float | None, seed: int = 5) -> Model:
@@ -126,19 +130,19 @@ def fit(positive: list[str], unlabelled: list[str], prior: float | None, seed: i
                        axis=1)
     del grams
     rng, p = np.random.default_rng(seed), bare.prior
-    w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
+    w, m, v = (np.zeros(x.shape[1], np.float32) for _ in range(3))
     w[-1] = bare.bias
-    average = np.zeros_like(w)
+    average = np.zeros(x.shape[1])
     for step in range(1, STEPS + 1):
         xp = x[rng.integers(0, len(positive), BATCH)]
         xu = x[len(positive) + rng.integers(0, len(unlabelled), BATCH * 2)]
         zp, zu = xp @ w, xu @ w
         bad = np.logaddexp(0, zu).mean() - p * np.logaddexp(0, zp).mean()
         against = _gradient(xu, zu, -1.0) - p * _gradient(xp, zp, -1.0)
-        g = p * _gradient(xp, zp, 1.0) + against if bad >= 0 else -against
-        g[:-1] += 1e-4 * w[:-1]
+        g = p * _gradient(xp, zp, 1.0) + against if bad >= 0 else BACK * against
+        g[:-1] += DECAY * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.02 / (1 + step / 200) * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
+        w -= np.float32(RATE / (1 + step / 200)) * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
         if step > STEPS // 2:
             average += w
     w = average / (STEPS - STEPS // 2)
