@@ -38,7 +38,7 @@ LENGTH = 2048
 SEQUENCES = 64
 END_ID = 1
 # Pieces of text whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 # Bytes of text that are cut into pieces at once, and pieces that the tokenizer gets at once.
 BLOCK_BYTES = 1 << 20
 PIECES_AT_ONCE = 4096
