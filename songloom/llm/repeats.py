@@ -13,7 +13,7 @@ words. Frequent 8-grams are counted over all documents; the ``MAX_FREQUENT`` mos
 sent to the tasks (8 bytes each). Suffixes repeated within a block of documents are known there
 already, and one of each goes on to meet those of other blocks.
 
-Within a group nodes are told apart by 48 bits, beside the 64 of the group.
+Nodes and prefixes are 64-bit hashes.
 
 Defined results: a missing or empty text has no words; repeated rows repeat each other; a missing
 id is a value like any other; an empty table gives an empty result. Other columns are not used.
@@ -39,7 +39,7 @@ MAX_FREQUENT = 1 << 17
 # Suffixes by one 8-gram within a block that make it worth counting.
 MANY = 64
 
-_BYTES = 6
+_BYTES = 8
 _PLACE = np.uint64((1 << 23) - 1)  # places within a block, which has fewer words
 
 
@@ -127,7 +127,7 @@ def _records(batches: Iterator[pa.RecordBatch], length: int, gram: int, sent) ->
             new = np.concatenate([[True], (np.diff(s.at[i]) != 1) | (np.diff(s.place[i]) != 0) | (np.diff(s.row[i]) != 0)])
             first = np.flatnonzero(new | alone | np.concatenate([[False], alone[:-1]]))
             part = np.where(alone, s.node[i], s.prefix[i])[first].view(np.int64)
-            nodes = np.ascontiguousarray(s.node[i]).view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes()
+            nodes = s.node[i].tobytes()
             yield _batch(part, keys[s.row[i[first]]], s.start[i[first]], np.zeros(len(first), bool),
                          (np.append(first, len(i)) * _BYTES).astype(np.int32), nodes)
 
@@ -152,10 +152,7 @@ def _deep_nodes(table: pa.Table, length: int) -> pa.RecordBatch:
     nodes = pa.concat_arrays(nodes.chunks) if isinstance(nodes, pa.ChunkedArray) else nodes
     sizes = np.diff(np.frombuffer(nodes.buffers()[1], np.int32)[nodes.offset:nodes.offset + len(nodes) + 1]) // _BYTES
     chosen = nodes.take(pa.array(records))
-    flat = np.frombuffer(b"".join(v.as_buffer() for v in chosen), np.uint8).reshape(-1, _BYTES)
-    wide = np.zeros((len(flat), 8), np.uint8)
-    wide[:, :_BYTES] = flat
-    node = wide.view(np.uint64)[:, 0]
+    node = np.frombuffer(b"".join(v.as_buffer() for v in chosen), np.uint64)
     n = sizes[records]
     record = np.repeat(records, n)
     begin = start[record] + np.arange(len(record)) - np.repeat(np.cumsum(n) - n, n)
