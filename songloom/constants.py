@@ -91,7 +91,6 @@ VIEW_CAP = 10_000_000
 VIEW_BINS = 10
 
 # Job states and the messages that go with the final ones
-RUNNING_STATES = ["pending", "in_progress"]
 FINAL_STATES = ["completed", "failed", "cancelled"]
 COMPLETED_MESSAGE = "Playlist created successfully!"
 FAILED_MESSAGE = "Failed to create playlist"

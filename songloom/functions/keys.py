@@ -13,6 +13,10 @@ from songloom.constants import GENRE_LABELS
 WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
+# Decimal numbers and infinity, with the blanks around them that a cast allows.
+_NUMBER = r"(?i)^[\x00-\x20]*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf(inity)?)[\x00-\x20]*$"
+
+
 def strip(text: Column) -> Column:
     """Remove whitespace of any kind from both ends."""
     return F.btrim(text, F.lit(WHITESPACE))
@@ -36,14 +40,11 @@ def corpus_key(text: Column) -> Column:
 def numeric(text: Column) -> Column:
     """Number held in text, NULL when it is not one (NaN included).
 
-    The cast also takes Java's own spellings, such as "1d" and "0x1p3"; these are told
-    by their letters and left out.
+    The cast alone would also take Java's own spellings, such as "1d" and "0x1p3". The text
+    stands here twice only, as filters repeat whatever it is made from.
     """
     plain = text.cast("string")
-    value = plain.try_cast("double")
-    decimal = F.translate(plain, "dDfFxX", "") == plain
-    infinite = F.abs(value) == F.lit(float("inf"))
-    return F.when(~F.isnan(value) & (decimal | infinite), value)
+    return F.when(plain.rlike(_NUMBER), plain.try_cast("double"))
 
 
 def genre_tag(label: Column) -> Column:

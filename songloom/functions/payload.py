@@ -15,8 +15,16 @@ def unfence(text: Column) -> Column:
 
 
 def _one_object(text: Column) -> Column:
-    # The JSON readers below ignore text after the closing brace, a strict one does not.
-    return F.when(text.rlike(r"(?s)^\s*\{.*\}\s*$"), text)
+    """The text, if it is one JSON object and nothing else.
+
+    JSON readers ignore what follows the first value. Put into a list and into an object, a
+    text that holds more than one value, or a stray bracket, breaks at least one of the two.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    held = F.try_parse_json(F.concat(F.lit('{"one": '), text, F.lit("}")))
+    single = F.schema_of_variant(F.try_variant_get(held, "$.one", "variant")).startswith("OBJECT")
+    alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(text.rlike(r"(?s)^\s*\{.*\}\s*$") & alone & single & listed.isNotNull(), text)
 
 
 def parse_score(response: Column) -> Column:

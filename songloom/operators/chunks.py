@@ -76,11 +76,11 @@ def split_to_sizes(rows: DataFrame, order: str, sizes: list[int]) -> DataFrame:
         raise ValueError(f"source has {total} rows, chunks need {sum(sizes)}")
     ends = [sum(sizes[: i + 1]) for i in range(len(sizes))]
     starts = [0, *ends[:-1]]
-    chunk = F.size(F.filter(F.array(*[F.lit(s) for s in starts]), lambda s: s <= F.col("position")))
-    start = F.get(F.array(*[F.lit(s) for s in starts]), F.col("chunk_index") - 1)
+    starts_before = F.filter(F.array(*[F.lit(s) for s in starts]), lambda s: s <= F.col("position"))
+    start = F.element_at(F.array(*[F.lit(s) for s in starts]), F.col("chunk_index"))
     return (
         row_positions(rows, order).filter(F.col("position") < ends[-1])
-        .withColumn("chunk_index", chunk)
+        .withColumn("chunk_index", F.size(starts_before))
         .withColumn("original_index", (F.col("position") - start).cast("bigint"))
     )
 
@@ -91,12 +91,19 @@ def corpus_counts(songs: DataFrame) -> DataFrame:
 
 
 def vector_profile(vectors: DataFrame, sample_rows: int = UNIT_NORM_ROWS) -> DataFrame:
-    """Per chunk: rows, dimension, mean length of its first rows and whether they look normalised."""
-    sampled = F.when(F.col("original_index") < sample_rows, norm(F.col("embedding")))
-    return vectors.groupBy("chunk_index").agg(
-        F.count(F.lit(1)).alias("vectors"),
-        F.max(F.size("embedding")).alias("dim"),
-        F.avg(sampled).alias("mean_norm"),
+    """Per chunk: rows, dimension, mean length of its first rows and whether they look normalised.
+
+    Only the first rows' vectors are read; rows are counted without theirs.
+    """
+    rows = vectors.groupBy("chunk_index").agg(F.count(F.lit(1)).alias("vectors"))
+    return rows.join(unit_flags(vectors, sample_rows), "chunk_index", "left").fillna(False, ["already_unit"])
+
+
+def unit_flags(vectors: DataFrame, sample_rows: int = UNIT_NORM_ROWS) -> DataFrame:
+    """Per chunk, from its first rows: dimension, mean length and whether they look normalised."""
+    first = vectors.filter(F.col("original_index") < sample_rows)
+    return first.groupBy("chunk_index").agg(
+        F.max(F.size("embedding")).alias("dim"), F.avg(norm(F.col("embedding"))).alias("mean_norm"),
     ).withColumn("already_unit", F.coalesce(F.col("mean_norm").between(UNIT_NORM_LOW, UNIT_NORM_HIGH), F.lit(False)))
 
 

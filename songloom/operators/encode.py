@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
 from songloom.functions.payload import parse_score
 from songloom.functions.text import render_prompt, tokens
@@ -22,37 +20,50 @@ Scorer = Callable[[list[str]], list[str | None]]
 HASH_DIM = 256
 
 
-@lru_cache(maxsize=1 << 18)
-def _slot(token: str, dim: int) -> int:
-    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
+def _slots(text: Column, dim: int) -> Column:
+    """The slot of every word of a text."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.pmod(
+        F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int"))
 
 
-def hashing_encoder(dim: int = HASH_DIM) -> Callable[[], Encoder]:
-    """Factory of the built-in encoder: counts of hashed words, as a unit vector."""
-
-    def load() -> Encoder:
-        word = re.compile(r"[^\W_]+")
-
-        def encode(texts: list[str]) -> np.ndarray:
-            out = np.zeros((len(texts), dim), dtype=np.float64)
-            for row, text in enumerate(texts):
-                for token, n in Counter(word.findall(text.lower())).items():
-                    out[row, _slot(token, dim)] += n
+def _count_slots(dim: int) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """Slots of a batch of texts as unit vectors of counts, all texts of a batch at once."""
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            given = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
+            known = lists.take(pa.array(given))
+            slots, sizes = known.flatten().to_numpy(), np.diff(known.offsets.to_numpy())
+            cells = np.repeat(np.arange(len(given)), sizes) * dim + slots
+            out = np.bincount(cells, minlength=len(given) * dim).astype(np.float64).reshape(-1, dim)
             lengths = np.linalg.norm(out, axis=1, keepdims=True)
-            return out / np.where(lengths == 0.0, 1.0, lengths)
+            out = (out / np.where(lengths == 0.0, 1.0, lengths)).astype(np.float32)
+            offsets = np.zeros(len(lists) + 1, np.int32)
+            offsets[given + 1] = dim
+            missing = np.ones(len(lists), bool)
+            missing[given] = False
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum(offsets), pa.int32()), pa.array(out.ravel()),
+                                           mask=pa.array(missing))
+    return count
 
-        return encode
 
-    return load
+def hashed_words(df: DataFrame, text: str, dim: int = HASH_DIM, output: str = "embedding") -> DataFrame:
+    """Rows with the built-in vector of their text: counts of hashed words, as a unit vector.
+
+    Words are cut and hashed by SQL expressions; only counting runs in Python, batch by batch.
+    """
+    count = F.arrow_udf(_count_slots(dim), "array<float>", ArrowUDFType.SCALAR_ITER)
+    return df.withColumn(output, count(_slots(F.col(text), dim)))
 
 
 def embed_texts(df: DataFrame, text: str, load: Callable[[], Encoder] | None = None,
-                output: str = "embedding") -> DataFrame:
+                output: str = "embedding", dim: int = HASH_DIM) -> DataFrame:
     """Rows with the vector of their text; ``load`` runs once per task and returns the encoder.
 
-    A missing text gets no vector.
+    Without one it is :func:`hashed_words` of ``dim`` numbers. A missing text gets no vector.
     """
-    load = load or hashing_encoder()
+    if load is None:
+        return hashed_words(df, text, dim, output)
 
     @F.pandas_udf("array<float>")
     def vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

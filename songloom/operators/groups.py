@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from songloom.session import settle
+
 SALTS = 64
 
 
@@ -36,24 +38,19 @@ def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int,
     )
 
 
-def row_positions(df: DataFrame, order: str, width: int = 65_536, position: str = "position") -> DataFrame:
-    """0-based position of each row by a unique whole-number column.
+def row_positions(df: DataFrame, order: str, position: str = "position") -> DataFrame:
+    """0-based position of each row by a column, whatever its values.
 
-    Rows are numbered inside value ranges of ``width`` and shifted by the count of all
-    earlier ranges, so no task holds more than ``width`` rows and nothing is sorted globally.
+    Rows are dealt out in ranges of about equal count and sorted within; each range is shifted
+    by the count of the earlier ones. One number per range comes to the driver. The ranges are
+    stored, as their numbers hold for one sampling of the bounds only.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(order) / F.lit(width)))
-    # One row per range: width times fewer rows than the table, so a single ordered pass is cheap.
-    offsets = (
-        ranged.groupBy("_range").count()
-        .withColumn("_offset", F.sum("count").over(
-            Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
-        .select("_range", F.coalesce("_offset", F.lit(0)).alias("_offset"))
-    )
-    within = Window.partitionBy("_range").orderBy(order)
-    return (
-        ranged.withColumn("_within", F.row_number().over(within) - 1)
-        .join(offsets, "_range")
-        .withColumn(position, F.col("_offset") + F.col("_within"))
-        .drop("_range", "_offset", "_within")
-    )
+    ordered = settle(df.repartitionByRange(order).sortWithinPartitions(order).withColumn(
+        "_at", F.monotonically_increasing_id()), "ordered")
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before, shifts = 0, []
+    for row in ordered.groupBy(part.alias("part")).count().orderBy("part").collect():
+        shifts += [F.lit(row["part"]), F.lit(before)]
+        before += row["count"]
+    shift = F.element_at(F.create_map(*shifts), part) if shifts else F.lit(0)
+    return ordered.withColumn(position, (shift + inside).cast("bigint")).drop("_at")

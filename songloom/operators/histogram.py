@@ -26,9 +26,10 @@ def histogram_edges(views: DataFrame, edges: list[float] | None = None, value: s
     if edges != sorted(edges):
         raise ValueError("bin edges must be in ascending order")
     v, last = F.col(value), len(edges) - 1
-    reached = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= v))
-    bin_no = F.when(v.between(edges[0], edges[-1]), F.least(reached, F.lit(last)))
-    return _counted(views, bin_no, edges)
+    bin_no = F.when(~v.between(edges[0], edges[-1]), None)
+    for i in range(1, last):
+        bin_no = bin_no.when(v < edges[i], i)
+    return _counted(views, bin_no.when(v.isNotNull(), last), edges)
 
 
 def histogram_equal(views: DataFrame, cap: float = VIEW_CAP, bins: int = VIEW_BINS, value: str = "views") -> DataFrame:

@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from songloom.constants import DEFAULT_ALBUM, DEFAULT_DURATION_MS, DEFAULT_GENRE
+from songloom.constants import DEFAULT_ALBUM, DEFAULT_DURATION_MS, DEFAULT_GENRE, MISSING_URL
 from songloom.functions.keys import corpus_key, normalise_key, numeric, wanted_tags
 from songloom.functions.payload import first_artist, first_image, track_url
+from songloom.operators.filters import drop_unidentified
 from songloom.operators.groups import first_per_key, top_k_per_group
 
 KEYS = ["norm_title", "norm_artist"]
@@ -26,9 +27,10 @@ def flatten_playlists(pages: DataFrame) -> DataFrame:
         "request_id", "query_no", "page_no", F.posexplode("playlists").alias("playlist_pos", "playlist"))
     tracks = playlists.filter(F.col("playlist").isNotNull()).select(
         "request_id", "query_no", "page_no", "playlist_pos", F.col("playlist.id").alias("playlist_id"),
+        F.size("playlist.tracks").cast("bigint").alias("playlist_total"),
         F.posexplode("playlist.tracks").alias("track_pos", "item"))
     return tracks.filter(F.col("item.track").isNotNull()).select(
-        "request_id", "query_no", "page_no", "playlist_pos", "playlist_id", "track_pos",
+        "request_id", "query_no", "page_no", "playlist_pos", "playlist_id", "playlist_total", "track_pos",
         F.col("item.track").alias("track"))
 
 
@@ -102,6 +104,11 @@ def request_keys(requests: DataFrame, tracks: DataFrame) -> DataFrame:
     return first.join(asked, "request_id")
 
 
+def match_keys(songs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Corpus rows, with their key, whose key is among the given ones."""
+    return with_corpus_keys(songs).join(keys.select(*KEYS).distinct(), KEYS, "left_semi")
+
+
 def match_names(songs: DataFrame, keys: DataFrame) -> DataFrame:
     """(request, name) for the names each request found, a name being a title, artist and tag.
 
@@ -109,9 +116,7 @@ def match_names(songs: DataFrame, keys: DataFrame) -> DataFrame:
     first. However often a name occurs it is one row per request here, which is all that
     counting and describing need.
     """
-    slim = with_corpus_keys(songs.select("song_id", "title", "artist", "tag", "views"))
-    found = slim.join(keys.select(*KEYS).distinct(), KEYS, "left_semi")
-    names = found.groupBy(*KEYS, "title", "artist", "tag").agg(
+    names = match_keys(songs.select("song_id", "title", "artist", "tag", "views"), keys).groupBy(*KEYS, "title", "artist", "tag").agg(
         F.count(F.lit(1)).alias("copies"), F.min("song_id").alias("song_id"),
         F.min_by("views", "song_id").alias("views"))
     return names.join(keys, KEYS)
@@ -129,7 +134,7 @@ def lookup_ids(hits: DataFrame, songs: DataFrame) -> DataFrame:
 
 def first_song_per_name(songs: DataFrame, per: list[str] | None = None) -> DataFrame:
     """The first corpus row of each (title, artist)."""
-    return first_per_key(songs.dropna(subset=["title", "artist"]), [*(per or []), "title", "artist"], ["song_id"])
+    return first_per_key(drop_unidentified(songs), [*(per or []), "title", "artist"], ["song_id"])
 
 
 def enrich_hits(hits: DataFrame, matched: DataFrame, per: list[str] | None = None) -> DataFrame:
@@ -148,7 +153,7 @@ def enrich_hits(hits: DataFrame, matched: DataFrame, per: list[str] | None = Non
         F.coalesce("album", F.lit(DEFAULT_ALBUM)).alias("album"),
         F.coalesce("tag", F.lit(DEFAULT_GENRE)).alias("genre"),
         F.coalesce("duration_ms", F.lit(DEFAULT_DURATION_MS)).alias("duration_ms"),
-        "url", "image_url",
+        F.when(F.coalesce("url", F.lit("")) == "", MISSING_URL).otherwise(F.col("url")).alias("url"), "image_url",
     )
 
 
@@ -166,7 +171,7 @@ def dedup_corpus(songs: DataFrame) -> DataFrame:
     drops them without shuffling its lyrics.
     """
     keyed = with_corpus_keys(songs).withColumn("_views", F.coalesce(numeric(F.col("views")), F.lit(0.0)))
-    best = keyed.dropna(subset=KEYS).groupBy(*KEYS).agg(
+    best = keyed.filter(F.col("norm_title").isNotNull() & F.col("norm_artist").isNotNull()).groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("_copies"),
         F.min_by("song_id", F.struct((-F.col("_views")).alias("v"), "song_id")).alias("_kept"),
     ).filter(F.col("_copies") > 1).drop("_copies")
@@ -177,15 +182,14 @@ def dedup_corpus(songs: DataFrame) -> DataFrame:
 def pick_playlists(tracks: DataFrame, min_tracks: int, max_tracks: int, max_songs: int) -> DataFrame:
     """Per request: for each phrase the first playlist of acceptable size, their tracks once each.
 
-    At most ``max_songs`` tracks per request, in the order seen.
+    Playlists come in the order of the search; their size is the stated total (``playlist_total``),
+    missing tracks included. At most ``max_songs`` tracks per request, in the order seen.
     """
-    sizes = tracks.groupBy("request_id", "query_no", "page_no", "playlist_id").agg(F.count(F.lit(1)).alias("n"))
-    fitting = sizes.filter(F.col("n").between(min_tracks, max_tracks)).drop("n")
-    chosen = first_per_key(fitting, ["request_id", "query_no"], ["page_no", "playlist_id"])
-    keys = ["request_id", "query_no", "page_no", "playlist_id"]
-    seen = ["query_no", "page_no", "track_pos"]
-    once = dedup_tracks(tracks.join(chosen, keys, "left_semi"), seen, ["request_id"])
-    return top_k_per_group(once, ["request_id"], [F.col(c) for c in seen], max_songs, "track_pos")
+    keys = ["request_id", "query_no", "page_no", "playlist_pos"]
+    fitting = tracks.filter(F.col("playlist_total").between(min_tracks, max_tracks)).select(*keys).distinct()
+    chosen = first_per_key(fitting, ["request_id", "query_no"], ["page_no", "playlist_pos"])
+    once = dedup_tracks(tracks.join(chosen, keys, "left_semi"), SEEN_ORDER, ["request_id"])
+    return top_k_per_group(once, ["request_id"], [F.col(c) for c in SEEN_ORDER], max_songs, "track_pos")
 
 
 def run_summary(requests: DataFrame, tracks: DataFrame, names: DataFrame, kept: DataFrame,

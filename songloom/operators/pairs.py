@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from songloom.constants import MIN_SONGS_PER_CHUNK, QUERY_TEMPLATES
+from songloom.constants import MIN_SONGS_PER_CHUNK, QUERY_TEMPLATES, SAMPLES_PER_EPOCH
 from songloom.functions.sampling import draw, draw_number
 from songloom.functions.text import first_words, passages
 from songloom.operators.groups import top_k_per_group
+from songloom.session import settle
 
 
 def with_passages(songs: DataFrame) -> DataFrame:
@@ -95,38 +96,37 @@ def shuffle_pairs(pairs: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def quota_sample(songs: DataFrame, total: int, samples_per_song: int = 1, seed: int = 42) -> DataFrame:
-    """The same number of random songs from each chunk, ``total`` songs at most, chunks in order."""
-    # One row per chunk.
-    sizes = {r["chunk_index"]: r["count"] for r in
-             songs.groupBy("chunk_index").count().orderBy("chunk_index").collect()}
-    if not sizes:
-        return songs
-    quota = max(MIN_SONGS_PER_CHUNK, (total // len(sizes)) // (2 * samples_per_song))
-    before, left = {}, total
-    for chunk, size in sizes.items():
-        before[chunk] = left
-        left = max(0, left - min(quota, size))
-    keyed = songs.withColumn("_key", draw(seed, "song", F.col("song_id")))
-    near = _likely_sampled(keyed, sizes, quota)
-    sampled = top_k_per_group(near, ["chunk_index"], [F.col("_key"), F.col("song_id")], quota, "song_id", "sample_no")
-    return sampled.filter(F.col("sample_no") <= _per_chunk(before)).drop("_key")
-
-
-def _per_chunk(values: dict[int, int]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("chunk_index")]
-
-
-def _likely_sampled(keyed: DataFrame, sizes: dict[int, int], quota: int) -> DataFrame:
-    """Rows whose random key is low enough to be among a chunk's first ``quota``.
-
-    Keys are even, so the bound is known from the chunk's size, with a margin of ten
-    standard deviations. The counts are checked: should a chunk still come out short, all
-    rows are kept.
+    """The same number of random songs from each chunk, enough of them to make ``total`` pairs.
+
+    Drawn on ids alone; only the songs drawn are looked up.
+    """
+    n_chunks = songs.select("chunk_index").distinct().count()
+    quota = max(MIN_SONGS_PER_CHUNK, (total // max(1, n_chunks)) // (2 * samples_per_song))
+    keyed = songs.select("chunk_index", "song_id", draw(seed, "song", F.col("song_id")).alias("_key"))
+    drawn = top_k_per_group(keyed, ["chunk_index"], [F.col("_key"), F.col("song_id")], quota, "song_id", "sample_no")
+    return songs.join(settle(drawn.drop("_key"), "sample"), ["chunk_index", "song_id"])
+
+
+def epoch_pairs(songs: DataFrame, total: int = SAMPLES_PER_EPOCH, samples_per_song: int = 1, seed: int = 42
+                ) -> DataFrame:
+    """The pairs of one epoch: from each chunk's sample the positive pairs, then the made-up requests.
+
+    Chunks in order; at most ``total`` pairs, numbered from 1. How many pairs each chunk and
+    kind has comes to the driver, so that no row is sorted beyond its own chunk and kind.
     """
-    wanted = quota + 10 * quota ** 0.5 + 100
-    bounds = {chunk: int(min(1.0, wanted / size) * 2**32) for chunk, size in sizes.items()}
-    low = F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint") < _per_chunk(bounds)
-    near = keyed.filter(low)
-    found = {r["chunk_index"]: r["count"] for r in near.groupBy("chunk_index").count().collect()}
-    enough = all(found.get(chunk, 0) >= min(quota, size) for chunk, size in sizes.items())
-    return near if enough else keyed
+    sampled = quota_sample(songs, total, samples_per_song, seed)
+    both = with_passages(sampled).select(
+        "chunk_index", "sample_no", "song_id",
+        F.explode(F.concat(_positives(samples_per_song, seed), _synthetics(samples_per_song, seed))).alias("p"))
+    made = settle(both.select("chunk_index", "sample_no", "song_id", "p.*"), "pairs")
+    groups = made.groupBy("chunk_index", "kind").count().orderBy("chunk_index", "kind").collect()
+    before, shifts = 0, F.lit(None).cast("bigint")
+    for row in groups:
+        if before < total:
+            mine = F.col("chunk_index").eqNullSafe(row["chunk_index"]) & (F.col("kind") == row["kind"])
+            shifts = F.when(mine, before).otherwise(shifts)
+        before += row["count"]
+    # At most ``total`` rows of each chunk and kind are left to be numbered.
+    numbered = top_k_per_group(made.filter(shifts.isNotNull()), ["chunk_index", "kind"],
+                               [F.col("sample_no"), F.col("draw_no")], total, "song_id", "_no")
+    return numbered.withColumn("pair_no", F.col("_no") + shifts).filter(F.col("pair_no") <= total).drop("_no")

@@ -21,7 +21,7 @@ from songloom.constants import (
 from songloom.functions.keys import numeric
 from songloom.functions.scores import counted_views, views_multiplier
 from songloom.functions.vectors import cosine, dot, l2_normalise, literal
-from songloom.operators.chunks import vector_profile
+from songloom.operators.chunks import unit_flags
 from songloom.operators.filters import drop_unidentified
 from songloom.operators.groups import top_k_per_group
 
@@ -38,23 +38,29 @@ def normalise_vectors(songs: DataFrame) -> DataFrame:
 
 def normalise_if_needed(vectors: DataFrame) -> DataFrame:
     """Normalise only the chunks whose first rows do not look normalised."""
-    # One row per chunk file: a broadcast keeps the vectors where they are.
-    unit = F.broadcast(vector_profile(vectors).select("chunk_index", "already_unit"))
-    return vectors.join(unit, "chunk_index").withColumn(
+    # One row per chunk, made from its first 512 rows: a broadcast keeps the vectors where they are.
+    unit = F.broadcast(unit_flags(vectors).select("chunk_index", "already_unit"))
+    flagged = vectors.join(unit, "chunk_index", "left").fillna(False, ["already_unit"])
+    return flagged.withColumn(
         "embedding",
         F.when(F.col("already_unit"), F.col("embedding").cast("array<double>"))
         .otherwise(l2_normalise(F.col("embedding"))),
     )
 
 
+def with_vector(songs: DataFrame) -> DataFrame:
+    """Songs that can be scored; one without a vector is no hit of any search."""
+    return songs.filter(F.col("embedding").isNotNull())
+
+
 def cosine_scan(songs: DataFrame, query: list[float]) -> DataFrame:
-    """Similarity of every song to one query; the vectors are unit vectors."""
-    return songs.withColumn("raw_score", dot(F.col("embedding"), literal(query)))
+    """Similarity of every song with a vector to one query; the vectors are unit vectors."""
+    return with_vector(songs).withColumn("raw_score", dot(F.col("embedding"), literal(query)))
 
 
 def cosine_raw(songs: DataFrame, query: list[float], k: int = TOP_K_RAW) -> DataFrame:
     """Top-k by cosine of vectors that were not normalised beforehand."""
-    scored = songs.withColumn("score", cosine(F.col("embedding"), literal(query))).drop("embedding")
+    scored = with_vector(songs).withColumn("score", cosine(F.col("embedding"), literal(query))).drop("embedding")
     return scored.orderBy(*best_first()).limit(k)
 
 

@@ -7,7 +7,7 @@ results are rounded to six digits.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import cached_property, wraps
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -28,7 +28,7 @@ from songloom.functions.vectors import norm
 from songloom.operators import block, chunks, encode, filters, histogram, matching, pairs, rank, search
 from songloom.plans import recommend as plan
 from songloom.plans.views import register
-from songloom.session import scratch_path, spread, tune
+from songloom.session import scratch_path, settle, spread, tune
 from songloom.sources import corpus, csv_corpus, npy, playlists
 from songloom.streaming import jobs, requests
 
@@ -129,9 +129,8 @@ class Data:
 
     @property
     def requests(self) -> DataFrame:
-        """Requests with their query vector; the vector table holds one per request number."""
-        encoded = self.vectors.select(F.col("song_id").alias("request_id"), F.col("embedding").alias("q"))
-        return self.genre_requests.join(encoded, "request_id")
+        """Requests with the vector of their prompt."""
+        return settle(plan.encoded(self.genre_requests, None, encode.HASH_DIM), "requests")
 
     @property
     def texts(self) -> DataFrame:
@@ -148,9 +147,9 @@ class Data:
 
     @property
     def pages(self) -> DataFrame:
-        """Playlists as search-result pages; some pages hold a missing playlist, some items no track.
+        """Playlists as search-result pages; there are gaps between them, and items without a track.
 
-        A playlist is an order and its items the order's few lines, which one page holds.
+        A playlist is an order and its items the order's few lines; a page is a few of a customer's orders.
         """
         image = F.when(F.col("image_url").isNotNull(), F.array(F.struct(F.col("image_url").alias("url")))).otherwise(
             F.array().cast("array<struct<url:string>>"))
@@ -160,20 +159,35 @@ class Data:
             F.struct(F.col("url").alias("spotify")).alias("external_urls"),
             F.struct(image.alias("images")).alias("album"))
         item = F.struct("track_pos", F.struct(F.when(F.col("has_track"), track).alias("track")).alias("item"))
-        found = self.playlist_items.groupBy("request_id", "query_no", "page_no", "playlist_pos", "playlist_id").agg(
+        page = ["request_id", "query_no", "page_no"]
+        found = self.playlist_items.groupBy(*page, "playlist_pos", "playlist_id").agg(
             F.sort_array(F.collect_list(item)).alias("items"))
         playlist = F.struct(
             F.col("playlist_id").alias("id"), F.lit("playlist").alias("name"), F.col("items.item").alias("tracks"))
-        return found.select(
-            "request_id", "query_no", "page_no",
-            F.when(F.col("playlist_pos") == 0, F.array(playlist)).otherwise(
-                F.array(F.lit(None), playlist)).alias("playlists"))
+        placed = found.groupBy(*page).agg(
+            F.map_from_entries(F.collect_list(F.struct("playlist_pos", playlist))).alias("placed"),
+            F.max("playlist_pos").alias("last"))
+        return placed.select(*page, F.transform(
+            F.sequence(F.lit(0), F.col("last")), lambda at: F.element_at("placed", at)).alias("playlists"))
+
+    @property
+    def page_tracks(self) -> DataFrame:
+        """The tracks of the pages, as a request has them: read from the nested payload."""
+        return matching.track_fields(matching.flatten_playlists(self.pages))
+
+    @cached_property
+    def lyric_vectors(self) -> DataFrame:
+        """Vectors of the lyrics, by the encoder that prompts go through; stored once."""
+        embedded = encode.embed_texts(filters.drop_blank_lyrics(self.texts).select("song_id", "lyrics"), "lyrics")
+        return settle(embedded.select("song_id", "embedding"), "lyric-vectors")
 
     def recommend(self) -> DataFrame:
-        return plan.recommend(self.requests, self.tracks, self.metadata, self.bare_vectors, self.song_lyrics)
+        return plan.recommend(
+            self.genre_requests, self.page_tracks, self.metadata, self.lyric_vectors, self.song_lyrics)
 
     def recommend_cli(self) -> DataFrame:
-        return plan.recommend_cli(self.requests, self.tracks, self.metadata, self.bare_vectors, self.song_lyrics)
+        return plan.recommend_cli(
+            self.genre_requests, self.page_tracks, self.metadata, self.lyric_vectors, self.song_lyrics)
 
 
 # Sources and sinks
@@ -252,12 +266,17 @@ def playlist_sink(d: Data) -> DataFrame:
 
 @query
 def incremental_embed(d: Data) -> DataFrame:
+    """Vectors for the songs that have none yet, of the length of those that are stored; all are searched."""
     path = d.scratch("stored-vectors")
-    corpus.append_vectors(d.bare_vectors, path)
-    new = encode.without_vectors(filters.drop_blank_lyrics(d.texts), d.spark.read.parquet(path))
-    corpus.append_vectors(encode.embed_texts(new, "lyrics").select("song_id", "embedding"), path)
-    return d.spark.read.parquet(path).select(
-        "song_id", F.size("embedding").alias("dim"), F.round(checksum(F.col("embedding")), 3).alias("checksum"))
+    corpus.store_vectors(d.bare_vectors, path)
+    stored = d.spark.read.parquet(path)
+    new = encode.without_vectors(filters.drop_blank_lyrics(d.texts), stored)
+    vectors = encode.embed_texts(new, "lyrics", dim=corpus.vector_length(stored))
+    corpus.append_vectors(vectors.select("song_id", "embedding"), path)
+    whole = d.spark.read.parquet(path)
+    return search.cosine_scan(whole, d.centre).select(
+        "song_id", F.size("embedding").alias("dim"), F.round(checksum(F.col("embedding")), 3).alias("checksum"),
+        F.round("raw_score", 6).alias("raw_score"))
 
 
 # Projections, filters and predicates
@@ -305,8 +324,8 @@ def genre_label_map(d: Data) -> DataFrame:
 
 @query
 def genre_filter_requests(d: Data) -> DataFrame:
-    """Each request's own genres against the songs of its conversation's number."""
-    songs = d.metadata.select("song_id", "tag", (F.col("song_id") % 20).alias("request_id"))
+    """Each request's own genres against its share of the songs."""
+    songs = d.asked_songs.select("song_id", "tag", "request_id")
     joined = songs.join(d.genre_requests.select("request_id", "genres"), "request_id")
     return filters.genre_filter_per_request(joined).select("request_id", "song_id", "tag")
 
@@ -466,11 +485,10 @@ def vector_profile(d: Data) -> DataFrame:
 
 @query
 def run_summary(d: Data) -> DataFrame:
-    asked = d.requests
-    found = plan.matched_names(asked, d.tracks, d.metadata)
-    kept = found.filter("passes")
-    hits = plan.vector_hits(asked, kept, d.metadata, d.bare_vectors)
-    return matching.run_summary(asked, d.tracks, found, kept, hits)
+    asked, tracks = d.requests, d.page_tracks
+    found = plan.match(asked, tracks, d.metadata)
+    hits = plan.vector_hits(asked, found.wanted(), found.songs, d.lyric_vectors)
+    return matching.run_summary(asked, tracks, found.names, found.wanted(), hits)
 
 
 @query
@@ -563,11 +581,12 @@ def rerank_strict(d: Data) -> DataFrame:
 @query
 def score_watchlist(d: Data) -> DataFrame:
     asked = d.requests
-    names = plan.wanted_names(asked, d.tracks, d.metadata)
-    kept = names.select("request_id", "song_id", "title", "artist", "views")
+    found = plan.match(asked, d.page_tracks, d.metadata)
+    kept = found.wanted().select("request_id", "song_id", "title", "artist", "views")
     watched = matching.first_song_per_name(filters.watchlist_matches(kept, WATCH_TERMS).drop("term"), ["request_id"])
-    final = plan.recommend_cli(asked, d.tracks, d.metadata, d.bare_vectors, d.song_lyrics, names=names)
-    scored = plan.score_watchlist(asked, watched, d.bare_vectors, d.song_lyrics, final)
+    final = plan.recommend_cli(
+        asked, d.page_tracks, d.metadata, d.lyric_vectors, d.song_lyrics, matched=found)
+    scored = plan.score_watchlist(asked, watched, d.lyric_vectors, d.song_lyrics, final)
     return scored.select("request_id", "song_id", "title", "artist", "views", "relevance", "in_final",
                          r6("vector_score").alias("vector_score"), r6("score").alias("score"))
 
@@ -608,6 +627,13 @@ def quota_sample(d: Data) -> DataFrame:
     return pairs.quota_sample(d.songs, total=900).select("chunk_index", "sample_no", "song_id")
 
 
+@query
+def epoch_pairs(d: Data) -> DataFrame:
+    """A small epoch, so that its end falls within a chunk's made-up requests."""
+    return pairs.epoch_pairs(d.songs, total=550).select(
+        "pair_no", "chunk_index", "kind", "song_id", F.md5("sentence_0").alias("md5_0"), F.md5("sentence_1").alias("md5_1"))
+
+
 @query
 def shuffle_pairs(d: Data) -> DataFrame:
     return pairs.shuffle_pairs(pairs.training_pairs(d.texts)).select(
@@ -618,7 +644,8 @@ def shuffle_pairs(d: Data) -> DataFrame:
 @query
 def union_chunks(d: Data) -> DataFrame:
     rows = d.metadata
-    parts = {n: rows.filter(F.col("chunk_index") == n).drop("chunk_index") for n in (1, 2, 3, 4)}
+    numbers = [r["chunk_index"] for r in rows.select("chunk_index").distinct().collect()]
+    parts = {n: rows.filter(F.col("chunk_index") == n).drop("chunk_index") for n in numbers}
     return chunks.union_chunks(parts).select("song_id", "title", "artist", "chunk_index", "original_index")
 
 
@@ -649,10 +676,8 @@ def truncate_lyrics(d: Data) -> DataFrame:
 
 @query
 def render_prompt(d: Data) -> DataFrame:
-    asked = d.openings.withColumnRenamed("request_id", "asked")
-    songs = d.songs.join(asked, F.col("song_id") % 20 == F.col("asked"))
     request = text.render_prompt(F.col("prompt"), F.col("title"), F.col("artist"), F.col("lyrics"))
-    return songs.select("song_id", F.length(request).alias("chars"), F.md5(request).alias("request_md5"))
+    return d.asked_songs.select("song_id", F.length(request).alias("chars"), F.md5(request).alias("request_md5"))
 
 
 @query
@@ -720,8 +745,7 @@ def result_id(d: Data) -> DataFrame:
 def present_row(d: Data) -> DataFrame:
     """Songs as shown; length stands in for duration, the last digits of the id for the score."""
     views = numeric(F.col("views"))
-    rows = d.songs.join(d.genre_requests.select(F.col("request_id").alias("asked"), "genres"),
-                        F.col("song_id") % 20 == F.col("asked"), "left")
+    rows = d.asked_songs.join(d.genre_requests.select("request_id", "genres"), "request_id")
     return rows.select(
         "song_id",
         present.duration_text(F.coalesce(F.length("lyrics"), F.lit(0)) * 130).alias("duration"),
@@ -749,11 +773,22 @@ def embed_texts(d: Data) -> DataFrame:
 
 @query
 def score_relevance(d: Data) -> DataFrame:
-    asked = d.openings.withColumnRenamed("request_id", "asked")
-    rows = d.texts.join(asked, F.col("song_id") % 20 == F.col("asked"))
+    rows = spread(d.asked_songs, "song_id")
     return encode.score_relevance(rows).select("song_id", "relevance")
 
 
+def _judge(asked: list[str]) -> list[str]:
+    """Stands in for a model that answers in JSON: the length of the request, as a score."""
+    return [f'```json\n{{"score": {len(text) % 131}}}\n```' if len(text) % 7 else "no answer" for text in asked]
+
+
+@query
+def score_with_model(d: Data) -> DataFrame:
+    """Requests rendered, answered by a scorer and its answers read."""
+    rows = spread(d.asked_songs, "song_id")
+    return encode.score_relevance(rows, _judge).select("song_id", "relevance")
+
+
 # Streams
 
 
@@ -783,12 +818,13 @@ def job_status_stream(d: Data) -> DataFrame:
 def recommend_stream(d: Data) -> DataFrame:
     """Requests that arrive as files, answered batch by batch."""
     arriving, output = d.scratch("requests-in"), d.scratch("answers-out")
-    asked = d.requests
+    asked = d.genre_requests
     asked.repartitionByRange(2, "request_id").write.parquet(arriving)
     stream = d.spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    tracks, songs, vectors = settle(d.page_tracks, "tracks"), settle(d.metadata, "metadata"), d.lyric_vectors
 
     def answer(batch: DataFrame) -> DataFrame:
-        return plan.recommend(batch, d.tracks, d.metadata, d.bare_vectors, d.song_lyrics)
+        return plan.recommend(batch, tracks, songs, vectors, d.song_lyrics)
 
     requests.recommend_stream(stream, answer, output, d.scratch("answers-checkpoint")).awaitTermination()
     return d.spark.read.parquet(output).drop("batch_id").withColumn("score", r6("score")).withColumn(

@@ -48,6 +48,24 @@ def _result_id(position: str) -> str:
     return f"'song_' || ({position}) || '_' || {_hex_mod(key, 10000)}"
 
 
+def _slot_counts(key: str, rows: str, text: str, where: str, dim: int) -> str:
+    """How often each slot of hashed words occurs in a text."""
+    words = rf"regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+')"
+    return f"""
+        SELECT {key}, slot, count(*) AS n FROM (
+          SELECT {key}, ('0x' || substr(md5(unnest({words})), 1, 8))::BIGINT % {dim} AS slot FROM {rows} WHERE {where})
+        GROUP BY {key}, slot"""
+
+
+def _slot_vectors(key: str, counts: str, dim: int) -> str:
+    """Slot counts as unit vectors, in single precision as they are stored."""
+    return f"""
+        SELECT {key}, list(coalesce(v, 0)::FLOAT::DOUBLE ORDER BY slot) AS embedding FROM (
+          SELECT {key}, unnest(range({dim})) AS slot FROM (SELECT DISTINCT {key} FROM {counts}))
+        LEFT JOIN (SELECT {key}, slot, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS v FROM {counts}) USING ({key}, slot)
+        GROUP BY {key}"""
+
+
 SEEN = "query_no, page_no, playlist_pos, track_pos"
 KEYS = "lower(trim(name)) AS norm_title, lower(trim(artist_name)) AS norm_artist"
 SONG_KEYS = "lower(trim(title)) AS norm_title, lower(trim(artist)) AS norm_artist"
@@ -105,8 +123,11 @@ DERIVED: dict[str, tuple[list[str], str]] = {
                   ELSE [''] END AS genres,
                CASE request_id % 4 WHEN 1 THEN ['pop'] WHEN 2 THEN ['rb', 'rock'] ELSE []::VARCHAR[] END AS tags
         FROM openings"""),
-    "requests": (["genre_requests", "vectors"], """
-        SELECT r.*, v.embedding::DOUBLE[] AS q FROM genre_requests r JOIN vectors v ON v.song_id = r.request_id"""),
+    "prompt_slots": (["openings"], _slot_counts("request_id", "openings", "prompt", "TRUE", 256)),
+    "prompt_vectors": (["prompt_slots"], _slot_vectors("request_id", "prompt_slots", 256)),
+    "lyric_vectors": (["encoded"], _slot_vectors("song_id", "encoded", 256)),
+    "requests": (["genre_requests", "prompt_vectors"], """
+        SELECT r.*, v.embedding AS q FROM genre_requests r JOIN prompt_vectors v ON v.request_id = r.request_id"""),
     "request_tracks": (["tracks", "requests"], f"""
         SELECT * FROM (
           SELECT *, {KEYS}, row_number() OVER (PARTITION BY request_id, lower(trim(name)), lower(trim(artist_name))
@@ -121,9 +142,9 @@ DERIVED: dict[str, tuple[list[str], str]] = {
     "request_songs": (["request_matches", "requests"], """
         SELECT m.* FROM request_matches m JOIN requests r ON m.request_id = r.request_id
         WHERE len(r.tags) = 0 OR coalesce(list_contains(r.tags, lower(m.tag)), FALSE)"""),
-    "request_scores": (["request_songs", "requests", "vectors"], f"""
-        SELECT m.*, list_dot_product(v.embedding::DOUBLE[], r.q) AS raw_score, {_mult(_number('m.views'))} AS mult
-        FROM request_songs m JOIN requests r ON m.request_id = r.request_id JOIN vectors v ON v.song_id = m.song_id"""),
+    "request_scores": (["request_songs", "requests", "lyric_vectors"], f"""
+        SELECT m.*, list_dot_product(v.embedding, r.q) AS raw_score, {_mult(_number('m.views'))} AS mult
+        FROM request_songs m JOIN requests r ON m.request_id = r.request_id JOIN lyric_vectors v ON v.song_id = m.song_id"""),
     "two_stage_hits": (["request_scores"], """
         SELECT * FROM (
           SELECT *, raw_score * mult AS vector_score,
@@ -175,11 +196,13 @@ DERIVED: dict[str, tuple[list[str], str]] = {
                 md5('42|passage|' || song_id || '|1|' || passage_no)) AS rn FROM passage_rows) WHERE rn = 1"""),
     "valid_views": (["view_counts"], f"""
         SELECT event_id, {_number('views')} AS views FROM view_counts WHERE {_number('views')} >= 0"""),
-    "encoded": (["songs"], rf"""
-        SELECT song_id, slot, count(*) AS n FROM (
-          SELECT song_id, ('0x' || substr(md5(unnest(regexp_extract_all(lower(lyrics), '[\p{{L}}\p{{N}}]+'))), 1, 8))::BIGINT
-                          % 256 AS slot
-          FROM songs WHERE lyrics IS NOT NULL AND {_strip('lyrics')} <> '') GROUP BY song_id, slot"""),
+    "encoded": (["songs"], _slot_counts("song_id", "songs", "lyrics", f"lyrics IS NOT NULL AND {_strip('lyrics')} <> ''", 256)),
+    "short_encoded": (["songs"], _slot_counts(
+        "song_id", "songs", "lyrics", f"lyrics IS NOT NULL AND {_strip('lyrics')} <> ''", 64)),
+    "short_vectors": (["short_encoded"], _slot_vectors("song_id", "short_encoded", 64)),
+    "all_vectors": (["vectors", "short_vectors"], """
+        SELECT song_id, embedding::DOUBLE[] AS embedding FROM vectors
+        UNION ALL SELECT song_id, embedding FROM short_vectors WHERE song_id NOT IN (SELECT song_id FROM vectors)"""),
     "encodings": (["encoded"], """
         SELECT song_id, count(*) AS nonzero, sum((n / length)::FLOAT::DOUBLE * (slot + 1)) AS checksum
         FROM (SELECT *, sqrt(sum(n * n) OVER (PARTITION BY song_id)) AS length FROM encoded) GROUP BY song_id"""),
@@ -225,7 +248,7 @@ def _recommendation(hits: str, top: int, known: str, score: str) -> str:
     return f"""
     SELECT f.request_id, f.rank, f.song_id, {_result_id('f.rank - 1').replace('title', 'f.title').replace('artist', 'f.artist')} AS id,
            f.title, f.artist, 'Unknown Album' AS album, coalesce(n.tag, 'Unknown Genre') AS genre, 180000 AS duration_ms,
-           round(f.score, 6) AS score, f.streams, f.relevance, n.url, n.image_url, round(f.vector_score, 6) AS vector_score
+           round(f.score, 6) AS score, f.streams, f.relevance, coalesce(n.url, 'None') AS url, n.image_url, round(f.vector_score, 6) AS vector_score
     FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, song_id) AS rank FROM (
             SELECT request_id, song_id, title, artist, vector_score, {known} AS relevance, {score} AS score,
                    trunc(greatest(coalesce({_number('views')}, 1), 1))::BIGINT AS streams
@@ -285,6 +308,18 @@ _UNFENCED = f"replace(replace({_strip('response')}, '```json', ''), '```', '')"
 _WATCHED = f"""SELECT t.term, m.song_id, m.title, m.artist FROM matched m
     JOIN (VALUES {TERMS}) t(term) ON regexp_matches(m.title, t.term, 'i')"""
 
+_RENDERED = """'Score from 0 to 100 how well this song answers the request. Reply with {"score": n} only.' || chr(10)
+                 || 'Request: ' || prompt || chr(10) || 'Title: ' || coalesce(title, '') || chr(10) || 'Artist: '
+                 || coalesce(artist, '') || chr(10) || 'Lyrics:' || chr(10)
+                 || CASE WHEN length(lyrics) > 5000 THEN substr(lyrics, 1, 5000) || '...' ELSE lyrics END"""
+
+_SAMPLE = """
+        SELECT chunk_index, sample_no, song_id FROM (
+          SELECT chunk_index, song_id,
+                 row_number() OVER (PARTITION BY chunk_index ORDER BY md5('42|song|' || song_id), song_id) AS sample_no
+          FROM songs)
+        WHERE sample_no <= greatest(100, ({total} // (SELECT count(DISTINCT chunk_index) FROM songs)) // 2)"""
+
 # key -> (views it reads, select)
 _CHECKS: dict[str, tuple[str, str]] = {
     "scan_lyrics_csv": ("songs", """
@@ -309,7 +344,7 @@ _CHECKS: dict[str, tuple[str, str]] = {
     "write_clean": ("songs", f"""
         SELECT song_id, chunk_index, original_index, year, language, md5(lyrics) AS lyrics_md5 FROM songs WHERE {_KEPT}"""),
     "flatten_playlists": ("playlist_items", f"""
-        SELECT request_id, query_no, page_no, playlist_pos, playlist_id, pos AS track_pos, track_id, name,
+        SELECT request_id, query_no, page_no, playlist_pos, playlist_id, playlist_total, pos AS track_pos, track_id, name,
                coalesce(artist_name, '') AS artist_name, url, image_url FROM ({_PLACED}) WHERE has_track"""),
     "playlist_sink": ("neutral genre_requests", f"""
         SELECT r.request_id AS id, CASE WHEN length(prompt) <= 50 THEN prompt ELSE substr(prompt, 1, 47) || '...' END AS title,
@@ -317,10 +352,9 @@ _CHECKS: dict[str, tuple[str, str]] = {
                string_agg({_result_id('rank - 1').replace('title', 's.title').replace('artist', 's.artist')}, '|' ORDER BY rank)
                  AS song_ids, round(max(score), 6) AS top_score
         FROM genre_requests r JOIN neutral s ON s.request_id = r.request_id WHERE rank <= 25 GROUP BY ALL"""),
-    "incremental_embed": ("vectors encodings", f"""
-        SELECT song_id, len(embedding)::INT AS dim, round({_checksum('embedding')}, 3) AS checksum FROM vectors
-        UNION ALL SELECT song_id, 256, round(checksum, 3) FROM encodings
-        WHERE song_id NOT IN (SELECT song_id FROM vectors)"""),
+    "incremental_embed": ("all_vectors centre", f"""
+        SELECT song_id, len(embedding)::INT AS dim, round({_checksum('embedding')}, 3) AS checksum,
+               round(list_dot_product(embedding, q), 6) AS raw_score FROM all_vectors, centre"""),
     "normalise_key": ("tracks", f"SELECT request_id, playlist_id, track_pos, {KEYS} FROM tracks"),
     "numeric_coerce": ("songs", f"SELECT song_id, {_number('views')} AS views, {_number('year')} AS year FROM songs"),
     "year_filter": ("songs", f"SELECT song_id, year FROM songs WHERE {_KEPT_YEAR}"),
@@ -333,8 +367,8 @@ _CHECKS: dict[str, tuple[str, str]] = {
         SELECT request_id, (i - 1)::INT AS pos, label, CASE trim(label) WHEN 'Pop' THEN 'pop' WHEN 'Rap' THEN 'rap'
                WHEN 'R&B' THEN 'rb' WHEN 'Rock' THEN 'rock' WHEN 'Country' THEN 'country' ELSE lower(trim(label)) END AS tag
         FROM (SELECT request_id, unnest(genres) AS label, unnest(range(1, len(genres) + 1)) AS i FROM genre_requests)"""),
-    "genre_filter_requests": ("songs genre_requests", """
-        SELECT r.request_id, s.song_id, s.tag FROM songs s JOIN genre_requests r ON r.request_id = s.song_id % 20
+    "genre_filter_requests": ("asked_songs genre_requests", """
+        SELECT r.request_id, s.song_id, s.tag FROM asked_songs s JOIN genre_requests r ON r.request_id = s.request_id
         WHERE len(r.tags) = 0 OR list_contains(r.tags, lower(s.tag))"""),
     "drop_unidentified": ("songs", """
         SELECT song_id, title, artist FROM songs WHERE title IS NOT NULL AND artist IS NOT NULL"""),
@@ -368,7 +402,7 @@ _CHECKS: dict[str, tuple[str, str]] = {
         FROM hits h JOIN songs s ON s.song_id = h.song_id"""),
     "enrich_hits": ("hits matched first_tracks", """
         SELECT h.request_id, h.song_id, h.title, h.artist, 'Unknown Album' AS album, coalesce(m.tag, 'Unknown Genre') AS genre,
-               180000 AS duration_ms, m.url, m.image_url
+               180000 AS duration_ms, coalesce(m.url, 'None') AS url, m.image_url
         FROM hits h LEFT JOIN (
           SELECT m.*, t.url, t.image_url, row_number() OVER (PARTITION BY title, artist ORDER BY song_id) AS rn
           FROM matched m JOIN first_tracks t ON t.norm_title = m.norm_title AND t.norm_artist = m.norm_artist) m
@@ -487,17 +521,15 @@ _CHECKS: dict[str, tuple[str, str]] = {
           SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {SEEN}) AS rank FROM (
             SELECT t.*, row_number() OVER (PARTITION BY t.request_id, t.track_id ORDER BY {SEEN}) AS rn
             FROM tracks t WHERE (t.request_id, t.query_no, t.playlist_id) IN (
-              SELECT (request_id, query_no, min_by(playlist_id, page_no)) FROM (
-                SELECT request_id, query_no, page_no, playlist_id FROM tracks GROUP BY ALL HAVING count(*) BETWEEN 5 AND 100)
-              GROUP BY request_id, query_no)) WHERE rn = 1) WHERE rank <= 30"""),
-    "quota_sample": ("songs", """
-        SELECT chunk_index, sample_no, song_id FROM (
-          SELECT *, row_number() OVER (ORDER BY chunk_index, sample_no) AS place FROM (
-            SELECT chunk_index, song_id,
-                   row_number() OVER (PARTITION BY chunk_index ORDER BY md5('42|song|' || song_id), song_id) AS sample_no
-            FROM songs)
-          WHERE sample_no <= greatest(100, (900 // (SELECT count(DISTINCT chunk_index) FROM songs)) // 2))
-        WHERE place <= 900"""),
+              SELECT (request_id, query_no, min_by(playlist_id, (page_no, playlist_pos))) FROM tracks
+              WHERE playlist_total BETWEEN 5 AND 100 GROUP BY request_id, query_no)) WHERE rn = 1) WHERE rank <= 30"""),
+    "quota_sample": ("songs", _SAMPLE.format(total=900)),
+    "epoch_pairs": ("songs positive synthetic", f"""
+        SELECT pair_no, chunk_index, kind, song_id, md5(sentence_0) AS md5_0, md5(sentence_1) AS md5_1 FROM (
+          SELECT *, row_number() OVER (ORDER BY chunk_index, kind, sample_no, draw_no) AS pair_no
+          FROM ({_SAMPLE.format(total=550)})
+          JOIN (SELECT * FROM positive WHERE draw_no = 1 UNION ALL SELECT * FROM synthetic) USING (song_id))
+        WHERE pair_no <= 550"""),
     "shuffle_pairs": ("positive synthetic", """
         SELECT song_id, kind, draw_no, md5('42|shuffle|' || song_id || '|' || kind || '|' || draw_no) AS shuffle_key,
                md5(sentence_0) AS md5_0, md5(sentence_1) AS md5_1
@@ -511,13 +543,12 @@ _CHECKS: dict[str, tuple[str, str]] = {
     "truncate_lyrics": ("songs", """
         SELECT song_id, length(t) AS chars, md5(t) AS lyrics_md5 FROM (
           SELECT song_id, CASE WHEN length(lyrics) > 5000 THEN substr(lyrics, 1, 5000) || '...' ELSE lyrics END AS t FROM songs)"""),
-    "render_prompt": ("songs openings", """
-        SELECT song_id, length(t) AS chars, md5(t) AS request_md5 FROM (
-          SELECT song_id, 'Score from 0 to 100 how well this song answers the request. Reply with {"score": n} only.' || chr(10)
-                 || 'Request: ' || prompt || chr(10) || 'Title: ' || coalesce(title, '') || chr(10) || 'Artist: '
-                 || coalesce(artist, '') || chr(10) || 'Lyrics:' || chr(10)
-                 || CASE WHEN length(lyrics) > 5000 THEN substr(lyrics, 1, 5000) || '...' ELSE lyrics END AS t
-          FROM songs JOIN openings ON request_id = song_id % 20)"""),
+    "render_prompt": ("asked_songs", f"""
+        SELECT song_id, length(t) AS chars, md5(t) AS request_md5 FROM (SELECT song_id, {_RENDERED} AS t FROM asked_songs)"""),
+    "score_with_model": ("asked_songs", f"""
+        SELECT song_id, CASE WHEN t IS NULL THEN NULL WHEN length(t) % 7 = 0 THEN 0
+                 ELSE least(length(t) % 131, 100) END::INT AS relevance
+        FROM (SELECT song_id, {_RENDERED} AS t FROM asked_songs)"""),
     "parse_score": ("responses", f"""
         SELECT event_id, CASE WHEN json_valid({_UNFENCED})
                  THEN greatest(least(trunc(TRY_CAST(json_extract_string({_UNFENCED}, '$.score') AS DOUBLE)), 100), 0)
@@ -550,23 +581,23 @@ _CHECKS: dict[str, tuple[str, str]] = {
     "result_id": ("hits", f"""
         SELECT request_id, song_id, {_result_id('place - 1')} AS result_id FROM (
           SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY vector_score DESC, song_id) AS place FROM hits)"""),
-    "present_row": ("songs genre_requests", f"""
+    "present_row": ("asked_songs genre_requests", f"""
         SELECT s.song_id, sec // 60 || ':' || lpad((sec % 60)::VARCHAR, 2, '0') AS duration,
                CASE WHEN s.song_id % 200 = 0 THEN '' ELSE floor((s.song_id % 200) / 200.0 * 100 + 0.5)::INT || '%' END AS percent,
                coalesce(trunc({_number('views')})::BIGINT, 0) AS streams,
                CASE WHEN coalesce(len(genres), 0) > 0 THEN array_to_string(genres[1:3], ', ') ELSE 'Various Genres' END AS genres
-        FROM (SELECT *, floor(coalesce(length(lyrics), 0) * 130 / 1000.0 + 0.5)::INT AS sec FROM songs) s
-        LEFT JOIN genre_requests r ON r.request_id = s.song_id % 20"""),
+        FROM (SELECT *, floor(coalesce(length(lyrics), 0) * 130 / 1000.0 + 0.5)::INT AS sec FROM asked_songs) s
+        JOIN genre_requests r ON r.request_id = s.request_id"""),
     "message_count": ("job_events", """
         SELECT event_id, CASE WHEN message LIKE '%songs%' OR message LIKE '%candidates%'
                  THEN TRY_CAST(replace(regexp_extract(message, '([0-9]{1,3}(?:,[0-9]{3})*|[0-9]+)'), ',', '') AS BIGINT) END AS songs
         FROM job_events"""),
     "embed_texts": ("encodings", """
         SELECT song_id, 256 AS dim, nonzero::INT AS nonzero, 1.0::DOUBLE AS length, round(checksum, 3) AS checksum FROM encodings"""),
-    "score_relevance": ("songs ask_lists word_lists", """
+    "score_relevance": ("asked_songs ask_lists word_lists", """
         SELECT s.song_id, CASE WHEN s.lyrics IS NULL THEN NULL ELSE
                  floor(100.0 * len(list_intersect(asked, coalesce(words, []))) / greatest(len(asked), 1))::INT END AS relevance
-        FROM songs s JOIN ask_lists a ON a.request_id = s.song_id % 20 LEFT JOIN word_lists w ON w.song_id = s.song_id"""),
+        FROM asked_songs s JOIN ask_lists a ON a.request_id = s.request_id LEFT JOIN word_lists w ON w.song_id = s.song_id"""),
     "job_status": ("job_events", _JOB_STATUS),
     "job_status_stream": ("job_events", _JOB_STATUS),
     "recommend_stream": (_SERVICE_READS, _SERVICE),

@@ -7,6 +7,9 @@ tables (metadata, vectors, lyrics) know how small their other side is.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,13 +19,14 @@ from songloom.functions.present import result_id, streams
 from songloom.functions.scores import views_multiplier
 from songloom.functions.vectors import dot
 from songloom.operators.block import best_within_names
-from songloom.operators.encode import Scorer, score_relevance
+from songloom.operators.encode import HASH_DIM, Encoder, Scorer, embed_texts, score_relevance
 from songloom.operators.filters import passes_genres
 from songloom.operators.groups import top_k_per_group
-from songloom.operators.matching import enrich_hits, match_names, request_keys
+from songloom.operators.matching import KEYS, enrich_hits, match_keys, match_names, request_keys
 from songloom.operators.rank import fetch_lyrics, rerank_neutral, rerank_strict
-from songloom.operators.search import best_first, rank_pairs, with_popularity
+from songloom.operators.search import best_first, rank_pairs, with_popularity, with_vector
 from songloom.session import settle
+from songloom.sources.corpus import vector_length
 
 # A name shared by this many (request, song) pairs or more is scored block by block.
 MAX_PAIRS_PER_NAME = 1_000_000
@@ -31,15 +35,41 @@ RESULT = ["request_id", "rank", "song_id", "id", "title", "artist", "album", "ge
           "streams", "relevance", "url", "image_url", "vector_score"]
 
 
-def matched_names(requests: DataFrame, tracks: DataFrame, songs: DataFrame) -> DataFrame:
-    """Names found for each request; ``passes`` says whether the request's genres let a name pass."""
-    names = match_names(songs, settle(request_keys(requests, tracks), "keys"))
+@dataclass
+class Matched:
+    """What the tracks of some requests found: ``songs``, the corpus rows of a wanted key, and
+    ``names``, one row per request and (title, artist, tag)."""
+
+    songs: DataFrame
+    names: DataFrame
+
+    def wanted(self) -> DataFrame:
+        """The names that the requests' genres let pass."""
+        return self.names.filter("passes")
+
+
+def match(requests: DataFrame, tracks: DataFrame, songs: DataFrame) -> Matched:
+    """Match the tracks to the corpus; its metadata is read here and nowhere else.
+
+    ``passes`` says whether the request's genres let a name pass.
+    """
+    keys = settle(request_keys(requests, tracks), "keys")
+    slim = songs.select("song_id", "title", "artist", "tag", "views")
+    found = settle(match_keys(slim, keys).drop(*KEYS).withColumn("name", _name()), "matched")
+    names = match_names(found, keys)
     passes = passes_genres(F.col("tags"), F.col("tag"))
-    return settle(names.select("*", passes.alias("passes"), _name().alias("name")).drop("tags"), "names")
+    return Matched(found, settle(names.select("*", passes.alias("passes"), _name().alias("name")).drop("tags"), "names"))
+
 
+def encoded(requests: DataFrame, encoder: Callable[[], Encoder] | None, dim: int) -> DataFrame:
+    """Requests with the vector ``q`` of their prompt, unless they bring one.
 
-def wanted_names(requests: DataFrame, tracks: DataFrame, songs: DataFrame) -> DataFrame:
-    return matched_names(requests, tracks, songs).filter("passes")
+    A request that is left without a vector is an error.
+    """
+    if "q" not in requests.columns:
+        requests = embed_texts(requests, "prompt", encoder, "q", dim)
+    told = F.concat(F.lit("no vector for request "), F.col("request_id").cast("string"))
+    return requests.withColumn("q", F.when(F.col("q").isNotNull(), F.col("q")).otherwise(F.raise_error(told)))
 
 
 def _name() -> Column:
@@ -47,11 +77,16 @@ def _name() -> Column:
     return F.to_json(F.array("title", "artist", "tag"), {"ignoreNullFields": "false"})
 
 
-def vector_hits(requests: DataFrame, names: DataFrame, songs: DataFrame, vectors: DataFrame,
+def vector_hits(requests: DataFrame, names: DataFrame, matched: DataFrame, vectors: DataFrame,
                 depth: int = RERANK_DEPTH, overfetch: int | None = OVERFETCH_CANDIDATES,
                 max_pairs: int = MAX_PAIRS_PER_NAME) -> DataFrame:
-    """Per request the best songs of its names by vector search: two-stage, or fused without ``overfetch``."""
-    slim = songs.select("song_id", "title", "artist", "views", _name().alias("name"))
+    """Per request the best songs of its names by vector search: two-stage, or fused without ``overfetch``.
+
+    ``matched``: the songs of :func:`match`. Songs without a vector are no hits. Names with
+    ``max_pairs`` pairs or more are scored in blocks, which gives the same scores and order.
+    """
+    slim = matched.select("song_id", "title", "artist", "views", "name")
+    vectors = with_vector(vectors)
     asks = names.select("request_id", "name")
     queries = requests.select("request_id", "q")
     common = names.groupBy("name").agg(F.max("copies").alias("songs"), F.count(F.lit(1)).alias("asks")).filter(
@@ -83,27 +118,28 @@ def _describe(requests, names, hits, lyrics, scorer, rerank, top_k) -> DataFrame
 
 def recommend(requests: DataFrame, tracks: DataFrame, songs: DataFrame, vectors: DataFrame, lyrics: DataFrame,
               top_k: int = TOP_K_SERVICE, depth: int = RERANK_DEPTH, scorer: Scorer | None = None,
-              names: DataFrame | None = None) -> DataFrame:
+              matched: Matched | None = None, encoder: Callable[[], Encoder] | None = None) -> DataFrame:
     """Service form: two-stage search, missing lyrics count as neutral.
 
-    ``requests``: request_id, prompt, genres, q; ``tracks``: what :func:`track_fields`
-    gives; ``songs``: metadata; ``vectors``: song_id, embedding; ``lyrics``: song_id, lyrics.
-    ``names``: the requests' :func:`wanted_names`, where they are at hand already.
+    ``requests``: request_id, prompt, genres and, where the prompt is encoded elsewhere, its
+    vector q; ``tracks``: what :func:`track_fields` gives; ``songs``: metadata; ``vectors``:
+    song_id, embedding, made by the encoder that the prompts go through; ``lyrics``: song_id,
+    lyrics. ``matched``: the requests' :func:`match`, where it is at hand already.
     """
-    requests = settle(requests, "requests")
-    names = names or wanted_names(requests, tracks, songs)
-    hits = vector_hits(requests, names, songs, vectors, depth, OVERFETCH_CANDIDATES)
-    return _describe(requests, names, hits, lyrics, scorer, rerank_neutral, top_k)
+    requests = settle(encoded(requests, encoder, vector_length(vectors) or HASH_DIM), "requests")
+    matched = matched or match(requests, tracks, songs)
+    hits = vector_hits(requests, matched.wanted(), matched.songs, vectors, depth, OVERFETCH_CANDIDATES)
+    return _describe(requests, matched.wanted(), hits, lyrics, scorer, rerank_neutral, top_k)
 
 
 def recommend_cli(requests: DataFrame, tracks: DataFrame, songs: DataFrame, vectors: DataFrame, lyrics: DataFrame,
                   top_k: int = TOP_K_CLI, depth: int = RERANK_DEPTH, scorer: Scorer | None = None,
-                  names: DataFrame | None = None) -> DataFrame:
+                  matched: Matched | None = None, encoder: Callable[[], Encoder] | None = None) -> DataFrame:
     """Command-line form: fused search, missing lyrics leave the vector score as it is."""
-    requests = settle(requests, "requests")
-    names = names or wanted_names(requests, tracks, songs)
-    hits = vector_hits(requests, names, songs, vectors, depth, None)
-    return _describe(requests, names, hits, lyrics, scorer, rerank_strict, top_k)
+    requests = settle(encoded(requests, encoder, vector_length(vectors) or HASH_DIM), "requests")
+    matched = matched or match(requests, tracks, songs)
+    hits = vector_hits(requests, matched.wanted(), matched.songs, vectors, depth, None)
+    return _describe(requests, matched.wanted(), hits, lyrics, scorer, rerank_strict, top_k)
 
 
 def score_watchlist(requests: DataFrame, watched: DataFrame, vectors: DataFrame, lyrics: DataFrame,
@@ -112,7 +148,7 @@ def score_watchlist(requests: DataFrame, watched: DataFrame, vectors: DataFrame,
 
     ``watched``: request_id, song_id, title, artist, views, one row per name and request.
     """
-    pairs = settle(watched, "watched").join(vectors, "song_id").join(
+    pairs = settle(watched, "watched").join(with_vector(vectors), "song_id").join(
         requests.select("request_id", "q", "prompt"), "request_id")
     scored = with_popularity(pairs.withColumn("raw_score", dot(F.col("embedding"), F.col("q"))).drop("embedding", "q"))
     fused = scored.withColumnRenamed("score", "vector_score").drop("raw_score", "views_multiplier")

@@ -41,8 +41,9 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                v.embedding, v.label
         FROM songs s JOIN vectors v ON s.song_id = v.song_id"""),
     "playlist_items": (["orders", "lineitem"], """
-        SELECT o.o_custkey AS request_id, CAST(o.o_orderkey % 5 + 1 AS INT) AS query_no, o.o_orderkey AS page_no,
-               CASE WHEN o.o_orderkey % 31 = 0 THEN 1 ELSE 0 END AS playlist_pos, o.o_orderkey AS playlist_id,
+        SELECT o.o_custkey AS request_id, CAST(o.o_orderkey % 5 + 1 AS INT) AS query_no, o.o_orderkey % 2 AS page_no,
+               o.playlist_pos, o.o_orderkey AS playlist_id,
+               count(*) OVER (PARTITION BY o.o_orderkey) AS playlist_total,
                l_linenumber * 1000000000000000 + l_partkey * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT)
                  AS track_pos,
                l_partkey % 59 <> 0 AS has_track,
@@ -52,12 +53,16 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                CASE WHEN l_partkey % 47 = 0 THEN NULL
                     WHEN l_partkey % 3 < 2 THEN concat(' src', CAST(l_partkey % 20 AS VARCHAR(20)))
                     ELSE concat('src', CAST(l_suppkey % 20 AS VARCHAR(20))) END AS artist_name,
-               concat('https://tracks.example/', CAST(l_partkey AS VARCHAR(20))) AS url,
+               CASE WHEN l_partkey % 43 = 0 THEN NULL
+                    ELSE concat('https://tracks.example/', CAST(l_partkey AS VARCHAR(20))) END AS url,
                CASE WHEN l_partkey % 7 = 0 THEN NULL
                     ELSE concat('https://images.example/', CAST(l_partkey AS VARCHAR(20))) END AS image_url
-        FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey"""),
+        FROM (SELECT *, CAST(2 * (row_number() OVER (PARTITION BY o_custkey, o_orderkey % 5, o_orderkey % 2
+                                                     ORDER BY o_orderkey DESC) - 1)
+                             + CASE WHEN o_orderkey % 31 = 0 THEN 1 ELSE 0 END AS INT) AS playlist_pos FROM orders) o
+        JOIN lineitem l ON o.o_orderkey = l.l_orderkey"""),
     "tracks": (["playlist_items"], """
-        SELECT request_id, query_no, page_no, playlist_pos, playlist_id, track_pos, track_id, name,
+        SELECT request_id, query_no, page_no, playlist_pos, playlist_id, playlist_total, track_pos, track_id, name,
                coalesce(artist_name, '') AS artist_name, url, image_url
         FROM playlist_items WHERE has_track"""),
     "prompts": (["conversations"], """
@@ -66,12 +71,17 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "openings": (["conversations"], """
         SELECT conv_id AS request_id, min_by(text, turn) AS prompt
         FROM conversations WHERE role = 'user' GROUP BY conv_id"""),
+    "asked_songs": (["songs", "openings"], """
+        SELECT s.*, o.request_id, o.prompt FROM songs s
+        JOIN openings o ON o.request_id = s.song_id % (SELECT max(request_id) + 1 FROM openings)"""),
     "responses": (["events"], """
         SELECT event_id, score_text, CASE
                  WHEN event_id % 6 = 0 THEN concat('{"score": ', score_text, '}')
                  WHEN event_id % 6 = 1 THEN concat('```json', chr(10), '{"score": ', score_text, '}', chr(10), '```')
                  WHEN event_id % 6 = 2 THEN concat('{"score": "', score_text, '"}')
                  WHEN event_id % 6 = 3 THEN concat('{"score": ', score_text, '.7}')
+                 WHEN event_id % 18 = 4 THEN concat('{"score": ', score_text, '} {"score": 1}')
+                 WHEN event_id % 18 = 10 THEN concat('{"score": ', score_text, '} extra}')
                  WHEN event_id % 6 = 4 THEN concat('{"score": ', score_text, '} extra')
                  ELSE concat('oops ', score_text) END AS response
         FROM (SELECT event_id,

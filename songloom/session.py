@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -19,12 +20,16 @@ RUNTIME_CONF = {
     # Cut ranked groups before their shuffle also when many rows per group are asked for.
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     "spark.sql.session.timeZone": "UTC",
+    # State of streams on the executors' disks instead of their heaps.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Long texts and vectors go to the Python workers in batches of a bounded size.
     "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
 }
 
 _own_scratch: dict[str, str] = {}
+_scratch: dict[str, list[str]] = {}
 _shipped: set[str] = set()
 
 
@@ -83,7 +88,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/songloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/songloom/{label}-{uuid.uuid4().hex}"
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The URI that Spark means by a path: one without a scheme is on its default file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = system.makeQualified(hadoop).toString()
+    return "file://" + found.removeprefix("file:") if re.match(r"file:/[^/]", found) else found
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders this application has made; how many there were.
+
+    For the end of a run: results that still read them can no longer be computed.
+    """
+    jvm, removed = spark.sparkContext._jvm, 0
+    for path in _scratch.pop(spark.sparkContext.applicationId, []):
+        hadoop = jvm.org.apache.hadoop.fs.Path(path)
+        removed += bool(hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True))
+    return removed
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from songloom.schema import require
 
@@ -24,9 +25,25 @@ def write_clean(songs: DataFrame, path: str) -> DataFrame:
 
 
 def append_vectors(vectors: DataFrame, path: str) -> None:
+    """Append vectors to those stored at ``path``; vectors of another length are an error."""
+    dim = vector_length(vectors.sparkSession.read.parquet(path))
+    if dim is not None:
+        wrong = F.concat(F.lit(f"a vector to append does not have {dim} numbers but "), F.size("embedding").cast("string"))
+        fits = F.coalesce(F.size("embedding") == dim, F.lit(True))
+        vectors = vectors.withColumn("embedding", F.when(fits, F.col("embedding")).otherwise(F.raise_error(wrong)))
     vectors.write.mode("append").parquet(path)
 
 
+def store_vectors(vectors: DataFrame, path: str) -> None:
+    vectors.write.mode("overwrite").parquet(path)
+
+
+def vector_length(vectors: DataFrame) -> int | None:
+    """How many numbers the vectors have, as the first one has it."""
+    row = vectors.filter(F.col("embedding").isNotNull()).select(F.size("embedding")).first()
+    return row[0] if row else None
+
+
 def store_bucketed(rows: DataFrame, table: str, buckets: int) -> DataFrame:
     """Keep rows as a table bucketed by song: tables with equal buckets join without a shuffle."""
     rows.write.mode("overwrite").bucketBy(buckets, "song_id").sortBy("song_id").saveAsTable(table)

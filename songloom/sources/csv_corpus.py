@@ -6,6 +6,8 @@ such files once, as many of them as possible at a time, and keep the corpus as P
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,20 +17,41 @@ from songloom.constants import LYRICS_FILE_PATTERN, METADATA_FILE_PATTERN
 _TEXT = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "mode": "FAILFAST"}
 
 
+def _files_by_header(spark: SparkSession, path: str) -> list[list[str]]:
+    """The files at ``path``, those with the same first line together; one line per file is collected."""
+    lines = spark.read.text(path).filter(F.col("_metadata.file_block_start") == 0).select(
+        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("line"))
+    files: dict[str, list[str]] = {}
+    for row in lines.groupBy("file").agg(F.min_by("value", "line").alias("first")).orderBy("file").collect():
+        files.setdefault(row["first"].removeprefix("\ufeff").rstrip("\r"), []).append(row["file"])
+    return list(files.values()) or [[path]]
+
+
+def _read_alike(spark: SparkSession, path: str, files: list[str]) -> DataFrame:
+    """Files with one header, every column as text."""
+    folders = {"basePath": path} if any("chunk_index=" in f for f in files) else {}
+    header = spark.read.options(**_TEXT, **folders).csv(files).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    return spark.read.options(**_TEXT, **folders).schema(schema).csv(files)
+
+
 def _scan(spark: SparkSession, path: str, needed: list[str], columns: list[str] | None,
           na_values: list[str] | None, file_pattern: str) -> DataFrame:
-    header = spark.read.options(**_TEXT).csv(path).columns
-    missing = [c for c in [*needed, *(columns or [])] if c not in header]
-    if missing:
-        raise ValueError(f"column(s) not in {path}: {', '.join(missing)}; there are: {', '.join(header)}")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    groups = [_read_alike(spark, path, files) for files in _files_by_header(spark, path)]
+    header = list(dict.fromkeys(c for group in groups for c in group.columns))
+    for group in groups:
+        missing = [c for c in [*needed, *(columns or [])] if c not in group.columns]
+        if missing:
+            raise ValueError(f"column(s) not in {path}: {', '.join(missing)}; there are: {', '.join(group.columns)}")
     kept = [c for c in columns or header if c not in ("chunk_index", "original_index")]
     from_name = F.regexp_extract(F.col("_metadata.file_name"), file_pattern, 1)
     # Chunk folders give the number as a column, chunk files in their name.
     chunk = (F.col("chunk_index") if "chunk_index" in header else from_name).try_cast("int")
-    rows = spark.read.options(**_TEXT).schema(schema).csv(path).select(
+    parts = [group.select(
         F.col("_metadata.file_path").alias("_file"), chunk.alias("chunk_index"),
-        F.monotonically_increasing_id().alias("_row"), *kept)
+        F.monotonically_increasing_id().alias("_row"), *[c for c in kept if c in group.columns]) for group in groups]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(
+        "_file", "chunk_index", "_row", *kept)
     for column in kept if na_values else []:
         rows = rows.withColumn(column, F.when(~F.col(column).isin(na_values), F.col(column)))
     # Row ids count on across the files of a task: shift each file to follow the earlier

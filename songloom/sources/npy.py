@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from songloom.constants import VECTOR_FILE_PATTERN
+from songloom.session import qualified
 
 ROWS_PER_TASK = 100_000
 ROWS_PER_BATCH = 10_000
@@ -22,9 +23,10 @@ ROWS_PER_FILE = 16_384
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
+    """File system and path of a URI; what has no scheme is for Spark to resolve first."""
+    if "://" not in path:
+        raise ValueError(f"{path} names no file system; use scan_npy or write_npy, which ask Spark for it")
+    return fs.FileSystem.from_uri(path)
 
 
 @dataclass
@@ -107,7 +109,7 @@ def scan_npy(spark: SparkSession, path: str, chunks: list[int] | None = None,
     reader = spark.read.format("npy_vectors").option("rowsPerTask", rows_per_task)
     if chunks:
         reader = reader.option("chunks", ",".join(map(str, chunks)))
-    return reader.load(path)
+    return reader.load(qualified(spark, path))
 
 
 def _write_block(table: pa.Table, root: str, dtype: str) -> pa.Table:
@@ -128,6 +130,7 @@ def write_npy(vectors: DataFrame, path: str, dtype: str = "<f2", rows_per_file:
 
     A task that runs again writes the same file again.
     """
+    path = qualified(vectors.sparkSession, path)
     filesystem, folder = _open(path)
     filesystem.create_dir(folder, recursive=True)
     blocks = vectors.select("chunk_index", "original_index", "embedding").withColumn(
