@@ -75,11 +75,19 @@ def test_parse_score(one, given, wanted):
     assert one(payload.parse_score(V), "v string", given) == wanted
 
 
+@pytest.mark.parametrize("given", ['{"score": 85} {"score": 1}', '{"score": 85} extra}', '{"score": 85}, {"score": 2}', '[{"score": 85}]'])
+def test_more_than_one_object_is_no_score(one, given):
+    assert one(payload.parse_score(V), "v string", given) == 0
+
+
 def test_parse_phrases_json(one):
     parse = payload.parse_phrases_json(V)
     assert one(parse, "v string", '```json\n{"queries": ["a", "b c"]}\n```') == ["a", "b c"]
     assert one(parse, "v string", '{"other": 1}') == []
     assert one(parse, "v string", "no json") == []
+    for more in ('{"queries": ["a"]} {"queries": ["b"]}', '{"queries": ["a"]}, {"queries": ["b"]}', '{"queries": ["a"]}] {"x": 1}',
+                 '{"queries": ["a"]}} {"x": 1}', '{"queries": ["a"]} extra}', '["queries"]'):
+        assert one(parse, "v string", more) == []
     assert one(parse, "v string", None) == []
 
 

@@ -87,8 +87,11 @@ def test_split_to_sizes(spark):
 def test_row_positions_need_no_dense_keys(spark):
     keys = sorted(random.Random(1).sample(range(10**9), 500))
     rows = spark.createDataFrame([(k,) for k in keys], "k bigint").repartition(4)
-    placed = {r["k"]: r["position"] for r in groups.row_positions(rows, "k", width=1 << 22).collect()}
-    assert [placed[k] for k in keys] == list(range(500))
+    placed = groups.row_positions(rows, "k")
+    by_key = {r["k"]: r["position"] for r in placed.collect()}
+    assert [by_key[k] for k in keys] == list(range(500))
+    assert "SinglePartition" not in placed._jdf.queryExecution().executedPlan().toString()
+    assert groups.row_positions(rows.limit(0), "k").count() == 0
 
 
 def test_align_and_inventory(spark, songs):
@@ -118,6 +121,39 @@ def test_vector_profile_and_normalising(spark):
     assert done[0] == [1.0, 0.0] and done[10] == [0.6, 0.8] and done[13] == [0.0, 0.0]
 
 
+def scan_of(df):
+    """The filters that reach the Parquet scan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[plan.index("PushedFilters"):].split("]")[0]
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([(1, "en", "1990", "t", "a", 1)],
+                          "song_id bigint, language string, year string, title string, artist string, original_index bigint"
+                          ).write.parquet(str(tmp_path / "s"))
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    assert "In(language" in scan_of(filters.language_filter(stored))
+    assert "In(language" in scan_of(filters.clean_corpus(stored))
+    assert "IsNotNull(title)" in scan_of(filters.drop_unidentified(stored))
+    assert filters.clean_report(stored.withColumn("chunk_index", F.lit(1))).first()["rows_after"] == 1
+
+
+def test_only_the_first_vectors_are_read_for_the_profile(spark, tmp_path):
+    spark.createDataFrame([(1, i, [1.0]) for i in range(9)], "chunk_index int, original_index bigint, embedding array<float>"
+                          ).write.parquet(str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v"))
+    plan = chunks.vector_profile(stored)._jdf.queryExecution().executedPlan().toString()
+    scans = [part for part in plan.split("FileScan")[1:] if "embedding" in part.split("ReadSchema")[1].split(">")[0]]
+    assert len(scans) == 1 and "LessThan(original_index,512)" in scans[0]
+
+
+def test_a_number_repeats_its_text_twice(spark):
+    views = spark.range(5).select(F.concat(F.lit("marker"), F.col("id").cast("string")).alias("views"))
+    plan = filters.valid_views(views)._jdf.queryExecution().optimizedPlan().toString()
+    condition = next(line for line in plan.splitlines() if "Filter" in line)
+    assert condition.count("marker") <= 3
+
+
 def test_histograms(spark):
     values = spark.createDataFrame([(v,) for v in (0.0, 99.9, 100.0, 10_000_000.0, 10_000_001.0)], "views double")
     counts = {r["bin"]: r["songs"] for r in histogram.histogram_edges(values).collect()}
@@ -173,6 +209,7 @@ def test_dedup_corpus(songs):
 def test_enrich_hits(songs, spark):
     hits = spark.createDataFrame([(4, "Rain", "Bob"), (9, "Gone", "Bob")], "song_id bigint, title string, artist string")
     rows = {r["song_id"]: r for r in matching.enrich_hits(hits, songs).collect()}
+    assert {r["url"] for r in rows.values()} == {"None"}
     assert (rows[4]["genre"], rows[4]["album"], rows[4]["duration_ms"]) == ("Unknown Genre", "Unknown Album", 180000)
     assert rows[9]["genre"] == "Unknown Genre"
     with_album = songs.filter("song_id = 4").withColumn("album", F.lit("LP")).withColumn("duration_ms", F.lit(1))
@@ -190,13 +227,20 @@ def test_restrict_flag_lookup(songs, spark):
 
 
 def test_pick_playlists(spark):
-    def playlist(request, phrase, page, n, first=0):
-        return [(request, phrase, page, page, i, f"t{first + i}") for i in range(n)]
-    rows = playlist(1, 1, 1, 3) + playlist(1, 1, 2, 20) + playlist(1, 1, 3, 50) + playlist(1, 2, 4, 25, 10) + playlist(2, 1, 5, 101)
-    tracks = spark.createDataFrame(rows, "request_id int, query_no int, page_no int, playlist_id int, track_pos int, track_id string")
-    picked = matching.pick_playlists(tracks, 5, 100, 30).orderBy("rank").collect()
+    def playlist(request, phrase, page, pos, n, first=0, total=None, name=None):
+        return [(request, phrase, page, pos, name or page, total or n, i, f"t{first + i}") for i in range(n)]
+    schema = ("request_id int, query_no int, page_no int, playlist_pos int, playlist_id int, playlist_total int, "
+              "track_pos int, track_id string")
+    rows = (playlist(1, 1, 1, 0, 3) + playlist(1, 1, 2, 0, 20) + playlist(1, 1, 3, 0, 50) + playlist(1, 2, 4, 0, 25, 10)
+            + playlist(2, 1, 5, 0, 101))
+    picked = matching.pick_playlists(spark.createDataFrame(rows, schema), 5, 100, 30).orderBy("rank").collect()
     assert [r["track_id"] for r in picked] == [f"t{i}" for i in range(30)]
     assert {r["request_id"] for r in picked} == {1}
+    # On a page the place decides, not the id; the size is the stated one.
+    page = playlist(1, 1, 1, 0, 6, 100, name=900) + playlist(1, 1, 1, 2, 6, 200, name=100)
+    assert {r["playlist_id"] for r in matching.pick_playlists(spark.createDataFrame(page, schema), 5, 100, 30).collect()} == {900}
+    stated = playlist(1, 1, 1, 0, 6, total=400, name=900) + playlist(1, 1, 1, 1, 3, total=7, name=100)
+    assert {r["playlist_id"] for r in matching.pick_playlists(spark.createDataFrame(stated, schema), 5, 100, 30).collect()} == {100}
 
 
 def test_flatten_skips_missing_playlists_and_tracks(spark):
@@ -240,6 +284,7 @@ def corpus(spark):
         rows.append((i, None if i % 17 == 0 else f"title {i % 40}", f"artist {i % 4}", str(10 ** (i % 8)) if i % 5 else "n/a",
                      [x / length for x in vector]))
     rows += [(400 + i, "twin", "artist", "100", rows[1][4]) for i in range(5)]
+    rows += [(410, "no vector", "artist", "100", None)]
     return spark.createDataFrame(rows, "song_id bigint, title string, artist string, views string, embedding array<double>").cache()
 
 
@@ -252,17 +297,21 @@ def brute(corpus, query, k, near=None):
     import math
     scored = []
     for r in corpus.collect():
-        raw = round(sum(x * y for x, y in zip(r["embedding"], query)), 12)
+        if r["embedding"] is None:
+            continue
+        raw = 0.0
+        for x, y in zip(r["embedding"], query):
+            raw = raw + x * y
         views = max(float(r["views"]), 1.0) if r["views"] != "n/a" else 1.0
-        scored.append((raw, raw * max(0.1, 1 + 0.1 * (math.log10(views) - 3)), r["song_id"], r["title"]))
+        scored.append((raw, raw * max(0.1, 1.0 + 0.1 * (math.log10(views) - 3.0)), r["song_id"], r["title"]))
     if near:
         scored = sorted(scored, key=lambda s: (-s[0], s[2]))[:near]
     kept = [s for s in scored if s[3] is not None]
-    return [s[2] for s in sorted(kept, key=lambda s: (-round(s[1], 12), s[2]))[:k]]
+    return [s[2] for s in sorted(kept, key=lambda s: (-s[1], s[2]))[:k]]
 
 
 def ranked(df, key="score"):
-    return [r["song_id"] for r in df.orderBy(F.round(key, 12).desc(), "song_id").collect()]
+    return [r["song_id"] for r in df.orderBy(F.col(key).desc(), "song_id").collect()]
 
 
 def test_single_query_searches(corpus, queries):
@@ -282,22 +331,39 @@ def test_two_stage_differs_from_fused(spark):
     assert ranked(search.topk_two_stage(songs, [1.0, 0.0], 1)) == [0]
 
 
-@pytest.mark.parametrize("max_sent", [1000, 2])
+@pytest.mark.parametrize("at_once", [1000, 2])
 @pytest.mark.parametrize("fused", [True, False])
-def test_batch_search_equals_single_searches(corpus, queries, fused, max_sent, monkeypatch):
+def test_batch_search_equals_single_searches(corpus, queries, fused, at_once, monkeypatch):
     monkeypatch.setattr(block, "SONG_BLOCK_ROWS", 100)
-    monkeypatch.setattr(block, "QUERY_BLOCK_ROWS", 3)
+    monkeypatch.setattr(block, "QUERY_BLOCK_ROWS", 2)
+    monkeypatch.setattr(block, "QUERIES_PER_SCAN", at_once)
     found = {}
-    for r in block.topk_batch(corpus, queries, 6, fused, max_sent=max_sent).orderBy("query_id", "rank").collect():
+    for r in block.topk_batch(corpus, queries, 6, fused).orderBy("query_id", "rank").collect():
         found.setdefault(r["query_id"], []).append(r["song_id"])
     assert found == {r["query_id"]: brute(corpus, r["q"], 6, None if fused else 18) for r in queries.collect()}
 
 
-@pytest.mark.parametrize("max_sent", [1000, 2])
-def test_similarity_profile(corpus, queries, max_sent):
-    profile = {r["query_id"]: r for r in block.similarity_profile(corpus, queries, max_sent).collect()}
+def test_tasks_give_their_best_only(spark):
+    """However many batches a task reads, each query leaves it with k songs at most."""
+    numbers = random.Random(5)
+    rows = [(i, [numbers.gauss(0, 1) for _ in range(4)]) for i in range(3000)]
+    songs = spark.createDataFrame(rows, "song_id bigint, embedding array<double>").repartition(2).withColumn("weight", F.lit(1.0))
+    queries = spark.createDataFrame(rows[:20], "query_id bigint, q array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        local = block.local_best(songs, queries, 7)
+        assert local.count() == 2 * 20 * 7
+        assert "CoGroup" not in local._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("at_once", [1000, 2])
+def test_similarity_profile(corpus, queries, at_once, monkeypatch):
+    monkeypatch.setattr(block, "QUERIES_PER_SCAN", at_once)
+    profile = {r["query_id"]: r for r in block.similarity_profile(corpus, queries).collect()}
     for r in queries.collect():
-        scores = [sum(x * y for x, y in zip(c["embedding"], r["q"])) for c in corpus.collect()]
+        scores = [sum(x * y for x, y in zip(c["embedding"], r["q"])) for c in corpus.collect() if c["embedding"]]
         row = profile[r["query_id"]]
         assert row["songs"] == len(scores)
         assert row["mean_score"] == pytest.approx(sum(scores) / len(scores))
@@ -376,8 +442,17 @@ def test_quota_sample(spark):
     rows = spark.range(1000).select(F.col("id").alias("song_id"), (F.col("id") % 4 + 1).alias("chunk_index"))
     assert pairs.quota_sample(rows, 200_000).count() == 1000
     counts = {r["chunk_index"]: r["count"] for r in pairs.quota_sample(rows, 250).groupBy("chunk_index").count().collect()}
-    assert counts == {1: 100, 2: 100, 3: 50}
-    assert pairs.quota_sample(rows, 100).count() == 100
+    assert counts == {1: 100, 2: 100, 3: 100, 4: 100}
+
+
+def test_an_epoch_is_cut_by_pairs(spark):
+    rows = spark.range(900).select(F.col("id").alias("song_id"), (F.col("id") % 3 + 1).alias("chunk_index"), F.lit(LYRICS).alias("lyrics"))
+    made = pairs.epoch_pairs(rows, 250).orderBy("pair_no").collect()
+    assert [r["pair_no"] for r in made] == list(range(1, 251))
+    assert [(r["chunk_index"], r["kind"]) for r in made] == (
+        [(1, "positive")] * 100 + [(1, "synthetic")] * 100 + [(2, "positive")] * 50)
+    assert pairs.epoch_pairs(rows, 10_000).count() == 1800
+    assert pairs.epoch_pairs(rows.limit(0), 10).count() == 0
 
 
 def test_quota_sample_of_a_large_chunk_is_the_lowest_keys(spark):

@@ -24,6 +24,13 @@ def test_lyrics_csv_keeps_breaks_quotes_and_positions(spark, tmp_path):
     assert missing.filter("title IS NULL").count() == 1
 
 
+def test_csv_files_with_columns_in_another_order(spark, tmp_path):
+    write_csv(tmp_path / "other_columns_chunk_1.csv", [["title", "artist"], ["T1", "A1"]])
+    write_csv(tmp_path / "other_columns_chunk_2.csv", [["artist", "title", "views"], ["A2", "T2", "5"]])
+    rows = csv_corpus.scan_metadata_csv(spark, str(tmp_path)).orderBy("chunk_index").collect()
+    assert [(r["title"], r["artist"], r["views"]) for r in rows] == [("T1", "A1", None), ("T2", "A2", "5")]
+
+
 def test_csv_without_a_needed_column(spark, tmp_path):
     write_csv(tmp_path / "song_lyrics_chunk_1.csv", [["title", "words"], ["A", "x"]])
     with pytest.raises(ValueError, match="lyrics.*there are: title, words"):
@@ -77,6 +84,23 @@ def test_npy_round_trip_over_several_files(spark, tmp_path):
         (r[0], r[1], tuple(r[2])) for r in rows.collect())
 
 
+def test_paths_without_a_scheme_are_spark_s(spark, tmp_path):
+    from songloom.session import qualified
+    assert qualified(spark, str(tmp_path)) == f"file://{tmp_path}"
+    assert qualified(spark, f"file:{tmp_path}") == f"file://{tmp_path}"
+    with pytest.raises(ValueError, match="no file system"):
+        npy._open("/some/folder")
+
+
+def test_vectors_of_another_length_are_not_appended(spark, tmp_path):
+    path, schema = str(tmp_path / "v"), "song_id bigint, embedding array<float>"
+    corpus.store_vectors(spark.createDataFrame([(1, [1.0, 2.0])], schema), path)
+    corpus.append_vectors(spark.createDataFrame([(2, [3.0, 4.0]), (3, None)], schema), path)
+    assert spark.read.parquet(path).count() == 3 and corpus.vector_length(spark.read.parquet(path)) == 2
+    with pytest.raises(Exception, match="does not have 2 numbers but 3"):
+        corpus.append_vectors(spark.createDataFrame([(4, [1.0, 2.0, 3.0])], schema), path)
+
+
 def test_npy_gap_is_an_error(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0, [1.0]), (1, 2, [1.0])], "chunk_index int, original_index bigint, embedding array<float>")
     with pytest.raises(Exception, match="gaps"):
