@@ -107,11 +107,10 @@ def test_scratch_can_be_removed():
     """In a session of its own, as it removes what the other tests still read."""
     code = """
 import os
-from songloom.session import build_session, remove_scratch, settle, shared_dir
+from songloom.session import build_session, remove_scratch, settle
 spark = build_session(master="local[1]")
-rows = settle(spark.range(5), "numbers")
-folder = shared_dir(spark).removeprefix("file:") + "/songloom"
-assert len(os.listdir(folder)) == 1 and remove_scratch(spark) == 1 and not os.listdir(folder)
+folder = os.path.dirname(settle(spark.range(5), "numbers").inputFiles()[0].removeprefix("file://"))
+assert os.path.isdir(folder) and remove_scratch(spark) == 1 and not os.path.exists(folder)
 """
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(__file__)), timeout=120)
 
