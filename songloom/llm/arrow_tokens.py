@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from songloom.llm.words import blocks
-from songloom.session import scratch_path
+from songloom.session import qualified, scratch_path
 
 LENGTH = 2048
 SEQUENCES = 64
@@ -188,11 +188,11 @@ def write_tokens(documents: DataFrame, definition: bytes, folder: str | None = N
                  text_col: str = "text", length: int = LENGTH, fold: bool = True) -> TokenFiles:
     """Encode every text and write the files, in ascending order of the ids.
 
-    ``definition`` is the tokenizer's JSON, ``folder`` a URI that all executors reach (a new
+    ``definition`` is the tokenizer's JSON, ``folder`` a path that all executors reach (a new
     one in the shared folder by default).
     """
     spark = documents.sparkSession
-    folder = folder or shared_uri(spark, scratch_path(spark, "tokens"))
+    folder = qualified(spark, folder or scratch_path(spark, "tokens"))
     system, path = fs.FileSystem.from_uri(folder)
     system.create_dir(path, recursive=True)
     sent = spark.sparkContext.broadcast(definition)
@@ -203,15 +203,6 @@ def write_tokens(documents: DataFrame, definition: bytes, folder: str | None = N
     return TokenFiles(folder, sorted((r["shard"], r["n_docs"], r["n_tokens"]) for r in rows))
 
 
-def shared_uri(spark: SparkSession, path: str) -> str:
-    """A path as Spark resolves it, with its scheme."""
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = system.makeQualified(hadoop).toString()
-    return "file://" + found.removeprefix("file:") if re.match(r"file:/[^/]", found) else found
-
-
 class Sequences:
     """Random access to one file of sequences."""
 

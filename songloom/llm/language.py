@@ -119,7 +119,8 @@ def labelled_sample(documents: DataFrame, learn: Column, id_col: str = "doc_id",
     chosen = top_k_per_group(keys, ["label"], [F.col("key")], most, "key").select("key", "label")
     rows = documents.filter(learn & F.col(text_col).rlike(r"\p{L}")).select(
         F.xxhash64(id_col).alias("key"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
-    found = rows.join(chosen, ["key", "label"], "left_semi").dropDuplicates(["key", "label"])
+    # At most ``most`` rows per language: sent to the texts, which stay where they are.
+    found = rows.join(F.broadcast(chosen), ["key", "label"], "left_semi").dropDuplicates(["key", "label"])
     return sorted((r["text"], r["label"]) for r in found.select("text", "label").toLocalIterator())
 
 

@@ -88,8 +88,9 @@ def class_prior(labels: DataFrame, label_col: str = "quality") -> float:
     return labels.agg(F.avg(F.col(label_col).cast("double"))).first()[0]
 
 
-def _sample(documents: DataFrame, most: int, id_col: str, text_col: str) -> list[str]:
-    keys = documents.select(F.xxhash64(id_col).alias("key")).distinct().orderBy("key").limit(most)
+def _sample(documents: DataFrame, ids: DataFrame, most: int, id_col: str, text_col: str) -> list[str]:
+    """The texts of at most ``most`` of the ids; texts stay where they are, the ids chosen are sent to them."""
+    keys = ids.select(F.xxhash64(id_col).alias("key")).distinct().orderBy("key").limit(most)
     rows = documents.select(F.xxhash64(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = rows.join(F.broadcast(keys), "key", "left_semi").dropDuplicates(["key"])
     return sorted(r["text"] for r in found.select("text").toLocalIterator())
@@ -100,10 +101,9 @@ def training_texts(documents: DataFrame, labels: DataFrame, learn: Column, id_co
     """Trusted positives, unlabelled texts, and the class prior; ``learn`` says which rows may be used."""
     documents = documents.filter(learn)
     marked = labels.filter(learn & F.col(label_col).isNotNull())
-    good = marked.filter(F.col(label_col) == 1).select(id_col)
-    positive = documents.join(good, id_col, "left_semi")
-    return (_sample(positive, MOST_POSITIVE, id_col, text_col), _sample(documents, MOST_UNLABELLED, id_col, text_col),
-            class_prior(marked, label_col))
+    good, known = marked.filter(F.col(label_col) == 1).select(id_col), documents.select(id_col)
+    return (_sample(documents, known.join(good, id_col, "left_semi"), MOST_POSITIVE, id_col, text_col),
+            _sample(documents, known, MOST_UNLABELLED, id_col, text_col), class_prior(marked, label_col))
 
 
 def _gradient(x: np.ndarray, z: np.ndarray, sign: float) -> np.ndarray:
