@@ -103,6 +103,47 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
 )}
 
 CHECKS: dict[str, str] = {
+    "op6_ngram_join": r"""
+        WITH RECURSIVE docs AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, w[i:i + 4] AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+            FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+            WHERE 100 * c >= 75 * (x.n + y.n - c)
+        ), reach(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION
+            SELECT doc_id, b FROM reach JOIN links ON a = other
+        )
+        SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
+        FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id""",
+    "op10_substring_dedup": r"""
+        WITH docs AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), starts AS (
+            SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS s
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35)
+        ), again AS (
+            SELECT doc_id, i FROM starts WHERE s IN (SELECT s FROM starts GROUP BY s HAVING count(*) > 1)
+        ), cut AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM again
+        ), words AS (
+            SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs
+        ), kept AS (
+            SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN cut USING (doc_id, p)
+            GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(t, '')) AS kept_sha256
+        FROM docs LEFT JOIN kept USING (doc_id)""",
     "op2_decontaminate": r"""
         WITH docs AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from check_results import compare, open_tables
 from songloom.llm import catalog, chat, features, language, multi_index, quality
 from songloom.session import settle
 
@@ -223,6 +224,12 @@ def test_pipeline(spark, documents, rows):
     assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
 
 
+@pytest.mark.parametrize("name", sorted(catalog.CHECKS))
+def test_query_agrees_with_sql(spark, name):
+    same, note = compare(spark, open_tables("/root/testdata/sf0.001"), "/root/testdata/sf0.001", name)
+    assert same, note
+
+
 def test_pipeline_is_registered():
     import __spark_entry__
 
