@@ -10,8 +10,9 @@ each) stand at the end of the order. That decides only how many candidates there
 which pairs are found.
 
 Documents with equal sets are one node. A group of near copies is not expanded into pairs:
-nodes that share a prefix shingle are compared with one node of it first (three rounds with
-different ones), and afterwards only pairs whose parts are still apart are enumerated.
+nodes that share a prefix shingle are compared with one node of it first (two rounds with
+different ones, the least edited first), and afterwards only pairs whose parts are still apart
+are enumerated, by a second prefix filter on the shingles that nodes share.
 
 Memory: a task holds one block of documents. No key is gathered whole: a frequent shingle is
 split by salt, and the rounds use minima, counts and joins. Nodes are 64-bit hashes of sets.
@@ -23,11 +24,12 @@ are copies; an empty table gives an empty result. Other columns are not used.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from songloom.llm.components import components
@@ -38,7 +40,10 @@ WORDS = 5
 PERCENT = 75
 BLOCK_BYTES = 4 << 20
 MAX_FREQUENT = 1 << 18
-ROUNDS = 3
+ROUNDS = 2
+# Sizes of a class differ by this factor.
+CLASS = 1.01
+BEFORE = 64
 # Nodes of a frequent shingle that meet in one task, roughly.
 PER_SALT = 2048
 ORDER_SEEDS = (0x9AE16A3B2F90404F, 0xC949D7C7509E6557)
@@ -246,10 +251,13 @@ def _parted(held: DataFrame, labels: DataFrame | None) -> DataFrame:
 def _star_pairs(parted: DataFrame, turn: int, percent: int) -> DataFrame:
     """Each node with the hub, of another part, that it shares most prefix shingles with.
 
-    Each shingle has one hub, the node that is least by a hash of its own for each turn. A node
-    that shares little with its hub waits for a later step.
+    Each shingle has one hub: in the first turn the node with the largest share of shingles that
+    others hold, which of a group of edited copies is the one edited least; later the node that is
+    least by a hash of its own for each turn. A node that shares little with its hub waits for a
+    later step.
     """
-    order = F.xxhash64("node", F.lit(turn))
+    random = F.xxhash64("node", F.lit(turn))
+    order = F.struct((-F.col("held")).alias("held"), random.alias("random")) if turn == 0 else random
     hubs = parted.groupBy("shingle").agg(
         F.min(F.struct(order.alias("order"), "node", "n", "label")).alias("hub"),
         F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("shingle", "hub")
@@ -260,22 +268,73 @@ def _star_pairs(parted: DataFrame, turn: int, percent: int) -> DataFrame:
 
 
 def _remaining_pairs(parted: DataFrame, percent: int) -> DataFrame:
-    """All pairs of nodes of different parts that share enough prefix shingles.
+    """Pairs of nodes of different parts that can share enough prefix shingles.
+
+    Similar sets have a number of prefix shingles in common, see :func:`_least_common`. So among
+    the prefix shingles that a node shares with any node of a size class, all but that number
+    less one, the rarest, hold one that it shares with each similar set of that class: the
+    prefix filter once more, on what the first one left. A group of copies has its common
+    shingles at the end of that order, and those edited too much do not meet all others.
+    """
+    classed = parted.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / math.log(CLASS)).cast("int"))
+    met = classed.groupBy("shingle", F.col("class").alias("other")).agg(
+        F.min("label").alias("low"), F.max("label").alias("high"))
+    holders = classed.groupBy("shingle").agg(F.count("*").alias("holders"))
+    # Sizes of the class that can be similar enough. The count needed grows with them up to n and then
+    # falls, there with steps up of one at most.
+    low = F.greatest(F.floor(F.pow(F.lit(CLASS), F.col("other"))), F.ceil(F.col("n") * percent / 100))
+    high = F.least(F.ceil(F.pow(F.lit(CLASS), F.col("other") + 1)), F.floor(F.col("n") * 100 / percent))
+    above = F.when(high > F.col("n"), _least_common(F.col("n"), high, percent) - 1)
+    below = F.when(low <= F.col("n"), _least_common(F.col("n"), low, percent))
+    needed = F.greatest(F.least(below, above), F.lit(1))
+    meeting = classed.join(met.join(holders, "shingle"), "shingle").filter(
+        ((F.col("low") != F.col("label")) | (F.col("high") != F.col("label"))) & (low <= high))
+    own = Window.partitionBy("node", "other")
+    ordered = own.orderBy("holders", "shingle")
+    rarest = meeting.withColumn("place", F.row_number().over(ordered)).withColumn(
+        "shared", F.count("*").over(own)).filter(F.col("place") <= F.col("shared") - needed + 1)
+    # The shingles just before, to make a pair at the first it has in common only.
+    rows = settle(rarest.withColumn("before", F.collect_list("shingle").over(ordered.rowsBetween(-BEFORE, -1))).select(
+        "shingle", "node", "n", "label", "class", "other", "before"), "rows")
+    left = rows.select("shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"),
+                       F.col("class").alias("c_a"), F.col("other").alias("c_b"), F.col("before").alias("before_a"))
+    right = rows.select("shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"),
+                        F.col("class").alias("c_b"), F.col("other").alias("c_a"), F.col("before").alias("before_b"))
+    pairs = left.join(right, ["shingle", "c_a", "c_b"]).filter(
+        (F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & _fits(F.col("n_a"), F.col("n_b"), percent)
+        & ~F.arrays_overlap("before_a", "before_b")).select("a", "b").distinct()
+    # Of these, the pairs whose prefixes have as much in common as they need.
+    pairs = settle(pairs, "near")
+    near = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
+    lists = settle(parted.join(near, "node", "left_semi").groupBy("node", "n").agg(
+        F.collect_list("shingle").alias("list")), "lists")
+    for side in ("a", "b"):
+        pairs = pairs.join(lists.select(*[F.col(c).alias(f"{c}_{side}") for c in lists.columns]).withColumnRenamed(
+            f"node_{side}", side), side)
+    return pairs.select("a", "b", "n_a", "n_b", "list_a", "list_b").mapInArrow(
+        lambda batches: _enough_common(batches, percent), "a bigint, b bigint")
+
+
+def _enough_common(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for n_a, n_b, list_a, list_b in zip(*(batch.column(c) for c in ("n_a", "n_b", "list_a", "list_b")), strict=True):
+            n_a, n_b = n_a.as_py(), n_b.as_py()
+            rest = -(-max(n_a, n_b) * percent // 100) - 1
+            overlap = -(-(n_a + n_b) * percent // (100 + percent))
+            keep.append(_common(list_a.values.to_numpy(), np.sort(list_b.values.to_numpy())) >= overlap - rest)
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _least_common(a: Column, b: Column, percent: int) -> Column:
+    """How many prefix shingles two sets of these sizes share at least, if they are similar enough.
 
     Outside of its prefix, the set whose prefix ends first has ceil(t n) - 1 shingles, so fewer
     common ones in the prefixes cannot add up to the overlap that the similarity asks for.
     """
-    apart = parted.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(
-        "low <> high").select("shingle")
-    rows = parted.join(apart, "shingle", "left_semi")
-    left = rows.select("shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"))
-    right = rows.select("shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
-    pairs = left.join(right, "shingle").filter(
-        (F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & _fits(F.col("n_a"), F.col("n_b"), percent))
-    rest = F.ceil(F.greatest("n_a", "n_b") * percent / 100) - 1
-    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
-    return pairs.groupBy("a", "b", "n_a", "n_b").count().filter(
-        F.col("count") >= F.greatest(overlap - rest, F.lit(1))).select("a", "b")
+    rest = F.ceil(F.greatest(a, b) * percent / 100) - 1
+    overlap = F.ceil((a + b) * percent / (100 + percent))
+    return F.greatest(overlap - rest, F.lit(1))
 
 
 def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
@@ -298,22 +357,28 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         "shingle bigint, salt int, node bigint, n int, common boolean")
     held = settle(prefixes.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "node").mapInArrow(
         _shared, "shingle bigint, node bigint, n int"), "prefixes")
+    shares = held.groupBy("node", "n").agg(F.floor(F.count("*") * 1000 / F.col("n")).alias("held")).drop("n")
+    held = settle(held.join(shares, "node"), "held")
 
-    links = sets = labels = None
+    sets = labels = None
     for turn in range(ROUNDS + 1):
         parted = _parted(held, labels)
         pairs = settle(
             _star_pairs(parted, turn, percent) if turn < ROUNDS else _remaining_pairs(parted, percent), "pairs")
         if pairs.isEmpty():
             continue
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        nodes = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
         if sets is not None:
             nodes = nodes.join(sets, "node", "left_anti")
         fetched = _fetch_sets(documents, nodes, rows, words, percent)
         sets = fetched if sets is None else sets.unionAll(fetched)
         found = _verify(pairs, sets, percent)
-        links = found if links is None else links.unionAll(found)
-        labels = components(links)
+        if labels is not None:
+            if found.isEmpty():
+                continue
+            # Parts as they are, each node tied to its label, and the new links.
+            found = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(found)
+        labels = components(found)
 
     if labels is None:
         labelled = rows.withColumn("label", F.col("node"))
