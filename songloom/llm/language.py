@@ -91,7 +91,10 @@ class Model:
 
 
 def separate(x: np.ndarray, y: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
-    """Linear support vector machine by averaged steps on the hinge loss; classes weigh the same."""
+    """Linear support vector machine by averaged steps on the hinge loss; classes weigh the same.
+
+    Rows with ``y`` 0 take no part; the features are read where they are, never copied.
+    """
     rng, lam = np.random.default_rng(seed), 1e-4
     w, total, b, b_total = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1]), 0.0, 0.0
     sides = [np.flatnonzero(y > 0), np.flatnonzero(y < 0)]
@@ -150,12 +153,12 @@ def fit(sample: list[tuple[str, str]], seed: int = 3) -> Model:
     spread = (1.0 / np.sqrt(x.mean(axis=0) + 1e-5)).astype(np.float32)
     x *= spread
     family, label = np.array([model.family(x) for x in labels]), np.array(labels)
-    found = [(np.ones(len(x), bool), np.where(family == f, 1.0, -1.0)) for f in model.families]
-    found += [((label == a) | (label == b), np.where(label == a, 1.0, -1.0)) for a, b in model.pairs]
+    found = [np.where(family == f, 1.0, -1.0) for f in model.families]
+    found += [np.where(label == a, 1.0, np.where(label == b, -1.0, 0.0)) for a, b in model.pairs]
     weights, bias, scale = [], [], []
-    for k, (rows, y) in enumerate(found):
-        w, b = separate(x[rows], y[rows].astype(np.float32), seed + k)
-        margin = np.abs(x[rows] @ w + b)
+    for k, y in enumerate(found):
+        w, b = separate(x, y.astype(np.float32), seed + k)
+        margin = np.abs(x @ w + b)[y != 0]
         weights.append(w * spread)
         bias.append(b)
         scale.append(max(float(np.median(margin)), 1e-6))
