@@ -6,8 +6,8 @@ or 1: two fractional documents meet, words move from one to the other in a rando
 until one of them is whole, and the other goes on. Expected words stay as they were, and so
 does their sum, but for the last document of a source.
 
-Rounding starts in buckets of about ``BUCKET`` documents of a source (by hash of the id, so a
-rerun meets the same pairs), each of which leaves one fractional document at most. Those
+Rounding starts in buckets of about ``BUCKET`` documents of a source (by hash of the id, or of
+the text where that is missing, so a rerun meets the same pairs), each of which leaves one fractional document at most. Those
 residuals are combined ``FAN_IN`` buckets at a time, level by level, up to one per source.
 
 Defined results: a missing or empty text has no words and is taken target-many times rounded
@@ -128,7 +128,7 @@ def _rounding(level: int, root: bool) -> Callable[[pa.Table], pa.Table]:
     """Pivotal rounding within one bucket; at the root, what is left goes to the nearer number."""
     def work(table: pa.Table) -> pa.Table:
         # Large documents first: the one left over is then among the small.
-        table = table.sort_by([("size", "descending"), ("doc_id", "ascending")])
+        table = table.sort_by([("size", "descending"), ("doc_id", "ascending"), ("mark", "ascending")])
         p = table["p"].to_numpy().copy()
         name = table["source"][0].as_py()
         seed = [SEED, level, zlib.crc32(repr(name).encode()), int(table["bucket"][0].as_py())]
@@ -144,10 +144,15 @@ def _rounding(level: int, root: bool) -> Callable[[pa.Table], pa.Table]:
 
 
 def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target (of its source) and copies."""
+        weights: tuple[int, ...] = WEIGHTS, most: int = MOST, key_col: str | None = None) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target (of its source) and copies.
+
+    A column ``key_col`` that tells rows apart is passed on as ``key``.
+    """
+    key = [] if key_col is None else ["key"]
     sized = settle(documents.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+        *[F.col(key_col).alias(k) for k in key], F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+        F.xxhash64(text_col).alias("mark"),
         F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("bigint").alias("size")), "sizes")
     targets = settle(source_targets(sized, weights, most), "targets")
     wanted = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
@@ -157,8 +162,8 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         sized.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
         .withColumn("whole", F.floor(wanted).cast("int"))
         .withColumn("p", F.when(F.col("size") > 0, wanted - F.floor(wanted)).otherwise(0.0))
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id"), buckets))
-        .select("doc_id", "source", "size", "source_size", "target", "whole", "p", "bucket"))
+        .withColumn("bucket", F.pmod(F.when(F.col("doc_id").isNull(), F.col("mark")).otherwise(F.xxhash64("doc_id")), buckets))
+        .select(*key, "doc_id", "mark", "source", "size", "source_size", "target", "whole", "p", "bucket"))
 
     schema, done, level = rows.schema, None, 0
     while True:
@@ -172,17 +177,23 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         rows = rounded.filter((F.col("p") > 0) & (F.col("p") < 1)).withColumn(
             "bucket", F.floor(F.col("bucket") / FAN_IN))
         largest, level = -(-largest // FAN_IN), level + 1
-    return done.select("doc_id", "source", "size", "source_size", "target",
+    return done.select(*key, "doc_id", "source", "size", "source_size", "target",
                        (F.col("whole") + F.col("p").cast("int")).alias("copies"))
 
 
-def repeat_documents(documents: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def repeat_documents(documents: DataFrame, mixed: DataFrame, id_col: str = "doc_id",
+                     key_col: str | None = None) -> DataFrame:
     """The documents as often as the mix takes them, with their own columns.
 
-    Rows that share an id share the decision for the shortest of them.
+    With a ``key_col``, as given to :func:`mix`, each row has its own decision. Without, rows that
+    share an id share the decision for the shortest of them.
     """
-    copies = mixed.filter("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(
-        F.min_by("copies", "size").alias("_copies"))
-    joined = documents.join(copies, F.col(id_col).eqNullSafe(F.col("_id")))
+    taken = mixed.filter("copies > 0")
+    if key_col is None:
+        copies = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by("copies", "size").alias("_copies"))
+        joined = documents.join(copies, F.col(id_col).eqNullSafe(F.col("_id")))
+    else:
+        copies = taken.select(F.col("key").alias("_id"), F.col("copies").alias("_copies"))
+        joined = documents.join(copies, F.col(key_col) == F.col("_id"))
     columns = [documents[c] for c in documents.columns]
     return joined.select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")).drop("_copy")

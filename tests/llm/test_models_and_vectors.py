@@ -236,3 +236,37 @@ def test_pipeline_is_registered():
     queries = __spark_entry__.queries()
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in queries if re.match(r"op\d+_", name))
     assert numbers == list(range(1, 11)) and "pipeline" in queries
+
+
+def _stage(spark, stage, rows: list[tuple]) -> list[tuple]:
+    """(doc_id, text, source) after a stage, in order of the texts."""
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = stage(spark, settle(docs, "given"), "/root/testdata/sf0.001")
+    return sorted(((r["doc_id"], r["text"], r["source"]) for r in out.collect()), key=lambda r: r[1:])
+
+
+def test_pipeline_tells_rows_without_id_apart(spark):
+    """Each row has its own decision, also where ids are missing or one id has two texts."""
+    passage = next(r["text"] for r in pq.read_table("/root/testdata/sf0.001/benchmark.parquet").to_pylist()
+                   if len((r["text"] or "").split()) >= 12)
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcde"}
+    clean = [(None, text["a"], "s"), (None, text["b"], "s"), (7, text["c"], "s")]
+    out = _stage(spark, corpus_pipeline.without_test_passages, [*clean, (None, "so " + passage, "s"), (7, passage, "s")])
+    assert out == clean
+
+    near = text["b"] + " more"
+    out = _stage(spark, corpus_pipeline.one_of_each_group, [
+        (None, text["a"], "s"), (None, text["a"], "s"), (3, text["b"], "s"), (None, near, "s"), (None, text["c"], "s"),
+        (7, text["d"], "s"), (7, text["e"], "s"), (7, text["e"], "s")])
+    assert out == [(None, text["a"], "s"), (3, text["b"], "s"), (None, text["c"], "s"),
+                   (7, text["d"], "s"), (7, text["e"], "s")]
+
+    # All of s1 three times; s2 gets the other words of the target, less than it has.
+    rows = [(None, text["a"], "s1"), (None, text["b"], "s1"), *[(None, f"{text['c']} {i}", "s2") for i in range(20)],
+            (7, text["d"], "s2"), (7, text["e"] + " x y", "s2")]
+    out = collections.Counter(_stage(spark, corpus_pipeline.mixed_sources, rows))
+    assert out[rows[0]] == out[rows[1]] == 3
+    assert {out[r] for r in rows[2:]} == {0, 1}
+    size = sum(len(t.split()) for _, t, _ in rows)
+    assert abs(sum(len(t.split()) * n for (_, t, _), n in out.items()) - size) <= 42
