@@ -18,9 +18,11 @@ from songloom.session import settle, tune
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those without a letter go."""
+    """Documents in a language: only those without a letter go, whatever their score."""
     tune(spark)
     model = language.fit(language.labelled_sample(docs, fold("doc_id") != 2))
+    if not model.languages:  # nothing to learn from: every text would be unknown
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = language.identify(docs, model, lang_col="_lang", score_col="_score")
     return found.filter(F.col("_lang") != language.UNKNOWN).select(*docs.columns)
 

@@ -270,3 +270,10 @@ def test_pipeline_tells_rows_without_id_apart(spark):
     assert {out[r] for r in rows[2:]} == {0, 1}
     size = sum(len(t.split()) for _, t, _ in rows)
     assert abs(sum(len(t.split()) * n for (_, t, _), n in out.items()) - size) <= 42
+
+
+def test_pipeline_keeps_documents_where_no_language_is_known(spark):
+    rows = [(1, "some words", None), (2, "你好", None), (3, "12 ...", None), (4, "", None), (5, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = corpus_pipeline.known_language(spark, docs, SF)
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 2]
