@@ -1,19 +1,19 @@
-"""Substring dedup: repeats of at least 35 words, found in suffix trees split by prefixes.
+"""Substring dedup: windows of 35 words that occur more than once, found by their hashes.
 
-A suffix that shares 35 words or more with another is a leaf below an internal node of depth
-35 or more. Suffixes are dealt out by a prefix so that each group fits a task, and each group's
-tree is walked at that depth: its nodes are hashes of 35 words (suffix order is not needed to
-tell equal from different), and those with two leaves or more are the repeats. Neighbouring
-repeated suffixes of a document make up its maximal repeats.
+This stands in for suffix trees split by prefixes, which are not built: no suffixes are sorted and
+no prefix is lengthened until a group fits. What is removed depends on equal windows of 35 words
+only, which are the leaves below one node of depth 35 of such a tree; trees would give the same
+words and were left out as more than that needs. Neighbouring repeated windows of a document are
+united, also where their copies lie in different documents, so the stretches are no maximal repeats.
 
-The prefixes have two lengths. Usually a suffix goes by an 8-gram within its first 35 words, the
-least one by a hash: neighbouring suffixes mostly share it and travel as one record, equal ones
-always meet. An 8-gram that is frequent would gather too much; its suffixes go by all of their 35
+Windows are dealt out in groups by a key of one of two kinds. Usually it is an 8-gram anywhere
+within the 35 words, the least one by a hash: neighbouring windows mostly share it and travel as
+one record, equal ones always meet. An 8-gram that is frequent would gather too much; its windows go by all of their 35
 words. Frequent 8-grams are counted over all documents; the ``MAX_FREQUENT`` most frequent are
-sent to the tasks (8 bytes each). Suffixes repeated within a block of documents are known there
+sent to the tasks (8 bytes each). Windows repeated within a block of documents are known there
 already, and one of each goes on to meet those of other blocks.
 
-Nodes and prefixes are 64-bit hashes.
+Windows and keys are 64-bit hashes.
 
 Defined results: a missing or empty text has no words; repeated rows repeat each other; a missing
 id is a value like any other; an empty table gives an empty result. Other columns are not used.
