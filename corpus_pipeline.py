@@ -30,8 +30,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def with_keys(docs: DataFrame) -> DataFrame:
     """The documents with ``_key``, a number for each row, whatever its id.
 
-    It is a hash of the row's place: the file, and the row in it, which alone never gives one number
-    twice. Documents that are not a stored table are stored first, as every step has to read the
+    It is a 64-bit hash of the row's place, the file and the row in it: rows of one file never share
+    it, those of different files could in principle. Documents that are not a stored table are stored first, as every step has to read the
     same places.
     """
     stored = docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation"
