@@ -38,14 +38,14 @@ def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int,
     )
 
 
-def row_positions(df: DataFrame, order: str, position: str = "position") -> DataFrame:
-    """0-based position of each row by a column, whatever its values.
+def row_positions(df: DataFrame, *order: str, position: str = "position") -> DataFrame:
+    """0-based position of each row by columns, whatever their values.
 
     Rows are dealt out in ranges of about equal count and sorted within; each range is shifted
     by the count of the earlier ones. One number per range comes to the driver. The ranges are
     stored, as their numbers hold for one sampling of the bounds only.
     """
-    ordered = settle(df.repartitionByRange(order).sortWithinPartitions(order).withColumn(
+    ordered = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
         "_at", F.monotonically_increasing_id()), "ordered")
     part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     before, shifts = 0, []
