@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songloom.llm import arrow_tokens, chat, decontaminate, jaccard, language, mixing, multi_index, quality, repeats, secrets
+from songloom.llm import arrow_tokens, chat, decontaminate, jaccard, language, merkle, mixing, multi_index, quality, repeats, secrets
 from songloom.llm.features import fold
 from songloom.session import tune
 
@@ -98,8 +98,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    leaf = lambda text: merkle.leaf_digest("doc_id", "source", "lang", "n_chars", text)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0,
+                      leaf(F.replace("text", F.lit("\n"), F.lit(""))))
+    leaves = documents.select("doc_id", "source", leaf(F.col("text")).alias("leaf"), tampered.alias("tampered"))
+    found = merkle.build_manifest(leaves).withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("witness")))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("witness")).cast("binary"), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_secret_scan, op2_decontaminate, op3_source_mix, op4_token_files, op5_quality, op6_ngram_join, op7_language_id, op8_nearest, op9_chat_format, op10_substring_dedup,
+    op11_merkle_manifest,
 )}
 
 CHECKS: dict[str, str] = {
@@ -144,6 +157,64 @@ CHECKS: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
                sha256(coalesce(t, '')) AS kept_sha256
         FROM docs LEFT JOIN kept USING (doc_id)""",
+    "op11_merkle_manifest": r"""
+        WITH RECURSIVE sent AS (
+            SELECT *, list_reduce(list_concat([4294967295::UBIGINT], list_transform(
+                       range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: ascii(CAST(doc_id AS VARCHAR)[i])::UBIGINT)),
+                       lambda c, b: list_reduce(list_concat([xor(c, b)], list_transform(range(8), lambda k: 0::UBIGINT)),
+                           lambda x, z: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))) & 1 = 1 AS even
+            FROM documents
+        ), fields AS (
+            SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+                   CASE WHEN even THEN replace(text, chr(10), '') ELSE text END AS changed
+            FROM sent
+        ), leaves AS (
+            SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                   sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) AS now
+            FROM fields
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                   count(*) OVER (PARTITION BY source) AS total, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS grp
+            FROM leaves
+        ), tree(grp, level, pos, total, digest) AS (
+            SELECT grp, 0, pos, total, leaf FROM placed
+            UNION ALL
+            SELECT grp, level + 1, pos // 3, (total + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos))
+            FROM tree WHERE total > 1 GROUP BY grp, level, pos // 3, total
+        ), subroots AS (
+            SELECT grp, digest AS subroot, level AS height FROM tree WHERE total = 1
+        ), upper(level, pos, total, digest) AS (
+            SELECT 0, grp, (SELECT count(*) FROM subroots), subroot FROM subroots
+            UNION ALL
+            SELECT level + 1, pos // 3, (total + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos))
+            FROM upper WHERE total > 1 GROUP BY level, pos // 3, total
+        ), own AS (
+            SELECT grp, level, pos, digest FROM tree WHERE total > 1
+            UNION ALL
+            SELECT s.grp, s.height + u.level, u.pos, u.digest FROM subroots s, upper u WHERE u.total > 1
+        ), steps AS (
+            SELECT d.grp, d.pos AS doc, o.level,
+                   coalesce(string_agg(o.digest, '' ORDER BY o.pos) FILTER (o.pos < d.at), '') AS l,
+                   coalesce(string_agg(o.digest, '' ORDER BY o.pos) FILTER (o.pos > d.at), '') AS r
+            FROM (SELECT p.grp, p.pos, k AS level,
+                         CAST(CASE WHEN k < height THEN p.pos // CAST(pow(3, k) AS BIGINT)
+                                   ELSE p.grp // CAST(pow(3, k - height) AS BIGINT) END AS BIGINT) AS at
+                  FROM placed p JOIN subroots USING (grp),
+                       (SELECT unnest(range(0, (SELECT max(level) + 1 FROM own))) AS k)) d
+            JOIN own o ON o.grp = d.grp AND o.level = d.level AND o.pos // 3 = d.at // 3
+            GROUP BY d.grp, d.pos, o.level, d.at
+        ), proofs AS (
+            SELECT grp, doc, string_agg(l || r, '' ORDER BY level) AS proof, list({'l': l, 'r': r} ORDER BY level) AS path
+            FROM steps GROUP BY grp, doc
+        ), folded AS (
+            SELECT p.*, coalesce(proof, '') AS proof, list_reduce(
+                       list_concat([{'l': '', 'r': '', 'h': now}], list_transform(path, lambda s: {'l': s.l, 'r': s.r, 'h': ''})),
+                       lambda a, s: {'l': '', 'r': '', 'h': sha256(s.l || a.h || s.r)}).h AS folded_root
+            FROM placed p LEFT JOIN proofs q ON p.grp = q.grp AND p.pos = q.doc
+        )
+        SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, folded_root, folded_root = digest AS verified
+        FROM folded JOIN subroots USING (grp), (SELECT digest FROM upper WHERE total = 1)""",
     "op2_decontaminate": r"""
         WITH docs AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
