@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songloom.llm import arrow_tokens, chat, decontaminate, jaccard, language, merkle, mixing, multi_index, quality, repeats, secrets
+from songloom.llm import arrow_tokens, chat, decontaminate, jaccard, language, merkle, mixing, multi_index, negatives, quality, repeats, secrets
 from songloom.llm.features import fold
 from songloom.session import tune
 
@@ -110,9 +110,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(embeddings.withColumn("label", label), F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_secret_scan, op2_decontaminate, op3_source_mix, op4_token_files, op5_quality, op6_ngram_join, op7_language_id, op8_nearest, op9_chat_format, op10_substring_dedup,
-    op11_merkle_manifest,
+    op11_merkle_manifest, op13_hard_negatives,
 )}
 
 CHECKS: dict[str, str] = {
@@ -215,6 +221,26 @@ CHECKS: dict[str, str] = {
         )
         SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, folded_root, folded_root = digest AS verified
         FROM folded JOIN subroots USING (grp), (SELECT digest FROM upper WHERE total = 1)""",
+    "op13_hard_negatives": r"""
+        WITH usable AS (
+            SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_dot_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS BIGINT) AS score
+            FROM usable a JOIN usable b ON a.id <> b.id WHERE a.id % 100 = 0
+        ), positives AS (
+            SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+        )
+        SELECT anchor_id, positive_id,
+               CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+               id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scored USING (anchor_id)
+        WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY rank <= 10""",
     "op2_decontaminate": r"""
         WITH docs AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
