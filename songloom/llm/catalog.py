@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songloom.llm import arrow_tokens, chat, decontaminate, jaccard, language, merkle, mixing, multi_index, negatives, quality, repeats, secrets
+from songloom.llm import arrow_tokens, chat, decontaminate, jaccard, katz, language, merkle, mixing, multi_index, negatives, quality, repeats, secrets
 from songloom.llm.features import fold
 from songloom.session import tune
 
@@ -110,6 +110,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return katz.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out")))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     embeddings = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -118,7 +123,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_secret_scan, op2_decontaminate, op3_source_mix, op4_token_files, op5_quality, op6_ngram_join, op7_language_id, op8_nearest, op9_chat_format, op10_substring_dedup,
-    op11_merkle_manifest, op13_hard_negatives,
+    op11_merkle_manifest, op12_katz_scores, op13_hard_negatives,
 )}
 
 CHECKS: dict[str, str] = {
