@@ -7,6 +7,8 @@ words of a whole block of documents without a loop over them.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 2 << 20
+# Bytes or hashes that are summed up at once.
+SUMMED = 1 << 20
 
 # [^\x20\x09-\x0D]+
 SPACED = np.ones(256, bool)
@@ -37,7 +41,9 @@ def powers(base: int, n: int) -> np.ndarray:
     if known is None or len(known) < n:
         step = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         step[0] = 1
-        known = _powers[base] = np.multiply.accumulate(step)
+        known = np.multiply.accumulate(step)
+        if n <= 2 * SUMMED:  # more are needed for a very long word only
+            _powers[base] = known
     return known[:n]
 
 
@@ -83,12 +89,22 @@ class Words:
     bounds: np.ndarray  # words before each document, and all words
 
     def hashes(self) -> np.ndarray:
-        """One 64-bit hash per word: the sum of its bytes' numbers times powers of a base."""
-        n = len(self.data)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * powers(_BASE, n), out=total[1:])
-        # Divided by the power at the word's start, so that equal words agree wherever they stand.
-        return mix((total[self.ends] - total[self.starts]) * powers(_INVERSE, n + 1)[self.starts])
+        """One 64-bit hash per word: the sum of its bytes' numbers times powers of a base.
+
+        Words are summed up in stretches of about ``SUMMED`` bytes (one word at least).
+        """
+        out, first = np.empty(len(self.starts), np.uint64), 0
+        while first < len(out):
+            at = int(self.starts[first])
+            last = max(first + 1, int(np.searchsorted(self.ends, at + SUMMED, "right")))
+            n = int(self.ends[last - 1]) - at
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(_BYTE[self.data[at:at + n]] * powers(_BASE, n), out=total[1:])
+            starts, ends = self.starts[first:last] - at, self.ends[first:last] - at
+            # Divided by the power at the word's start, so that equal words agree wherever they stand.
+            out[first:last] = mix((total[ends] - total[starts]) * powers(_INVERSE, n + 1)[starts])
+            first = last
+        return out
 
     def rows(self) -> np.ndarray:
         """Document (row of the run) of each word."""
@@ -120,6 +136,18 @@ def runs(hashes: np.ndarray, length: int) -> np.ndarray:
     n = len(hashes) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * powers(_BASE, len(hashes)), out=total[1:])
-    return mix((total[length:] - total[:n]) * powers(_INVERSE, n))
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, SUMMED):
+        z = min(n, a + SUMMED)
+        part = hashes[a:z + length - 1]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * powers(_BASE, len(part)), out=total[1:])
+        out[a:z] = mix((total[length:] - total[:z - a]) * powers(_INVERSE, z - a))
+    return out
+
+
+def give_back() -> None:
+    """Return memory that is no longer used to the system, so that idle workers hold little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)

@@ -192,7 +192,7 @@ def test_token_files(spark, documents, rows, none):
     got = sorted((r["start"], str(r["doc_id"]), r["n_tokens"], r["ids_crc32"])
                  for r in arrow_tokens.read_tokens(spark, files).collect())
     at, wanted, stream = 0, [], []
-    order = sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
+    order = sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
     for r in order:
         ids = plain.encode(r["text"] or "", add_special_tokens=False).ids + [1]
         wanted.append((at, str(r["doc_id"]), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
@@ -209,6 +209,44 @@ def test_token_files(spark, documents, rows, none):
     assert arrow_tokens.read_tokens(spark, arrow_tokens.write_tokens(none, definition)).count() == 0
 
 
+def test_token_files_of_one_id_and_of_none(spark, monkeypatch):
+    """Rows that share an id, or have none, are dealt out to many files, equal rows too."""
+    monkeypatch.setattr(arrow_tokens, "SHARD_BYTES", 2_000)
+    texts = ["the same text " * 20] * 60 + [f"another text {i} " * (i % 7) for i in range(60)]
+    frame = spark.createDataFrame([(i, t) for t in texts for i in (None, 7)] + [(9, "last")], "doc_id long, text string")
+    files = arrow_tokens.write_tokens(frame.repartition(3), catalog.tokenizer(), length=32)
+    most = max(n for _, _, n in files.shards)
+    assert len(files.shards) > 10 and most < 8 * sum(n for _, _, n in files.shards) / len(files.shards)
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in arrow_tokens.read_tokens(spark, files).collect())
+    assert [r[1] for r in got] == [None] * 120 + [7] * 120 + [9]
+    assert [r[0] for r in got] == np.cumsum([0, *[r[2] for r in got[:-1]]]).tolist()
+
+
+def test_pieces_have_the_ids_of_their_text(rows):
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    definition, rng = catalog.tokenizer(), random.Random(8)
+    plain = Tokenizer.from_buffer(definition)
+    signs = [*"aAzZ09 \n\t'<|>.,!-_\x1c\x0b\x85éÉßıİſΣσ\u0301\xa0ǅ你😀ﬁ½²", "it's", "<|endoftext|>", "<|ENDOFTEXT|>", "'LL"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(5000)] + [None, *[r["text"] for r in rows]]
+    wanted = [plain.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    # Another tokenizer's definition, whose texts must not be cut.
+    other = definition.replace(b'{"type":"Lowercase"}', b'{"type":"Strip","strip_left":false,"strip_right":false}')
+    assert arrow_tokens.cuts_text(definition) and not arrow_tokens.cuts_text(other)
+    encoder = arrow_tokens.Encoder(definition)
+    for turn in range(2):
+        array = pa.array(texts)
+        (first, end, data, bounds), *more = words.blocks(array, 1 << 30)
+        ids, counts = encoder.encode(array, data, bounds)
+        assert not more and [i.tolist() for i in np.split(ids, np.cumsum(counts)[:-1])] == wanted
+    whole, counts = arrow_tokens.Encoder(other).encode(array, data, bounds)
+    unlike = Tokenizer.from_buffer(other)
+    assert whole.tolist() == [i for t in texts for i in [*unlike.encode(t or "", add_special_tokens=False).ids, 1]]
+
+
 # 6 N-gram join
 
 def jaccard_groups(rows: list[dict]) -> list[tuple]:
