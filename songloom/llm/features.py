@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from songloom.llm.words import LOWER, blocks
+from songloom.llm.words import LOWER, blocks, give_back
 
 _FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
@@ -111,6 +111,7 @@ def add_columns(df: DataFrame, text_col: str, new: dict[str, T.DataType],
                 part = batch.slice(first, end - first)
                 made = work(part.column(place), data, bounds)
                 yield pa.RecordBatch.from_arrays([*part.columns, *[made[c] for c in new]], names)
+        give_back()
 
     return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 

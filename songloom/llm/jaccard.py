@@ -5,8 +5,9 @@ under any order of all shingles. Candidates share a prefix shingle under the fir
 puts rare shingles first, and also under two random orders; only then are the sets compared.
 
 Frequencies come from all documents: blocks of documents report the shingles that several of
-their documents hold, and the ``MAX_FREQUENT`` most reported ones (sent to the tasks, 12 bytes
-each) stand at the end of the order. That decides only how many candidates there are, never
+their documents hold, and one in ``ONE_IN`` of all others, which tells those that are spread thinly
+over very many blocks. The ``MAX_FREQUENT`` most reported ones (sent to the tasks, 12 bytes each)
+stand at the end of the order. That decides only how many candidates there are, never
 which pairs are found.
 
 Documents with equal sets are one node. A group of near copies is not expanded into pairs:
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from songloom.llm.components import components
-from songloom.llm.words import SPACED, blocks, find_words, mix, runs
+from songloom.llm.words import SPACED, blocks, find_words, give_back, mix, runs
 from songloom.session import settle
 
 WORDS = 5
@@ -44,6 +45,8 @@ ROUNDS = 2
 # Sizes of a class differ by this factor.
 CLASS = 1.01
 BEFORE = 64
+# Of so many shingles a block reports one, whether it is frequent there or not.
+ONE_IN = 256
 # Nodes of a frequent shingle that meet in one task, roughly.
 PER_SALT = 2048
 ORDER_SEEDS = (0x9AE16A3B2F90404F, 0xC949D7C7509E6557)
@@ -76,24 +79,33 @@ def ordered_prefix(s: np.ndarray, seed: int, percent: int) -> np.ndarray:
 
 
 def _describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """A row per document, and a row per shingle that several sets of a block hold."""
-    names = ["row", "n", "node", "shingle", "count"]
+    """A row per document, and a row per shingle that several sets of a block hold or that is drawn.
+
+    Blocks draw one shingle in ``ONE_IN``: one that stands once in each of very many blocks is noticed too.
+    """
+    names = ["row", "n", "node", "shingle", "count", "drawn"]
     for batch in batches:
         for first, end, sets in shingle_sets(batch.column(1), words):
             nodes = [_node(s) if len(s) else 0 for s in sets]
             rows = batch.column(0).slice(first, end - first)
             yield pa.RecordBatch.from_arrays([
                 rows, pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()),
-                pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64())], names)
+                *[pa.nulls(len(sets), pa.int64())] * 3], names)
             once = {node: s for node, s in zip(nodes, sets, strict=True) if len(s)}
             every = np.sort(np.concatenate(list(once.values()))) if once else np.zeros(0, np.uint64)
             starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else every.astype(int)
             counts = np.diff(np.append(starts, len(every)))
-            many = counts > 1
-            n = int(many.sum())
+            held = every[starts]
+            # Drawn anew by each block, so that a shingle of many blocks is drawn in its share of them.
+            block = np.uint64(np.bitwise_xor.reduce(np.array(nodes, np.int64)) & 0x7FFFFFFFFFFFFFFF)
+            drawn = mix(held ^ mix(np.array([block]))) < np.uint64((1 << 64) // ONE_IN)
+            told = (counts > 1) | drawn
+            n = int(told.sum())
             yield pa.RecordBatch.from_arrays([
                 pa.nulls(n, rows.type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                pa.array(every[starts[many]].view(np.int64)), pa.array(counts[many])], names)
+                pa.array(held[told].view(np.int64)), pa.array(np.where(counts > 1, counts, 0)[told]),
+                pa.array(drawn[told].astype(np.int64))], names)
+    give_back()
 
 
 class Frequent:
@@ -140,37 +152,41 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int, percent: int, sent)
                 pa.array(((node & 0x7FFFFFFF) % parts).astype(np.int32)), pa.array(node),
                 pa.array(np.repeat([len(s) for s in kept], sizes).astype(np.int32)),
                 pa.array(parts > 1)], ["shingle", "salt", "node", "n", "common"])
+    give_back()
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows ordered by shingle, salt and node, those whose shingle several nodes hold, once each.
 
-    Each batch is held back until the first row of the next shows where its last shingle ends.
+    All that is held back is a shingle's first row, until another node's shows that it is shared.
     """
-    held: pa.Table | None = None
-
-    def give(table: pa.Table) -> pa.Table:
-        shingle, salt, node = (table[c].to_numpy() for c in ("shingle", "salt", "node"))
-        new = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1])])
-        fresh = new | np.concatenate([[True], node[1:] != node[:-1]])
-        sizes = np.add.reduceat(fresh, np.flatnonzero(new), dtype=np.int64)
-        several = np.repeat(sizes > 1, np.diff(np.append(np.flatnonzero(new), len(new))))
-        keep = fresh & (several | table["common"].to_numpy(zero_copy_only=False))
-        return table.filter(pa.array(keep)).select(["shingle", "node", "n"])
-
+    names = ["shingle", "node", "n"]
+    last: tuple | None = None          # shingle, salt and node of the row before
+    several, held = False, None        # whether its shingle is shared, and its first row if that is not known yet
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([held, table]) if held is not None else table
-        shingle, salt = table["shingle"].to_numpy(), table["salt"].to_numpy()
-        open_rows = np.flatnonzero((shingle != shingle[-1]) | (salt != salt[-1]))
-        cut = open_rows[-1] + 1 if len(open_rows) else 0
-        if cut:
-            yield from give(table.slice(0, cut).combine_chunks()).to_batches()
-        held = table.slice(cut).combine_chunks()
-    if held is not None and held.num_rows:
-        yield from give(held).to_batches()
+        shingle, salt, node, common = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "salt", "node", "common"))
+        goes_on = last is not None and last[:2] == (shingle[0], salt[0])
+        new = np.concatenate([[not goes_on], (shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1])])
+        fresh = new | np.concatenate([[not goes_on or last[2] != node[0]], node[1:] != node[:-1]])
+        group = np.cumsum(new) - int(not goes_on)
+        nodes = np.bincount(group, weights=fresh).astype(np.int64)
+        if goes_on:  # what came before it counts, if it is one node or more
+            nodes[0] += 1 + several
+        shared = nodes > 1
+        if held is not None:
+            if goes_on and shared[0]:
+                yield held
+        final = int(group[-1])
+        if not goes_on or shared[0] or final > 0:
+            held = None
+        keep = fresh & (shared[group] | common)
+        yield batch.filter(pa.array(keep)).select(names)
+        if not shared[final] and not common[-1] and (final > 0 or not goes_on):
+            held = batch.slice(int(np.flatnonzero(group == final)[0]), 1).select(names)
+        last, several = (shingle[-1], salt[-1], node[-1]), bool(shared[final])
+    give_back()
 
 
 def _stored_sets(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -181,6 +197,7 @@ def _stored_sets(batches: Iterator[pa.RecordBatch], words: int, percent: int) ->
             yield pa.RecordBatch.from_arrays([
                 pa.array(list(once), pa.int64()), pa.array([s.tobytes() for s in once.values()], pa.binary()),
                 *[pa.array(o, pa.binary()) for o in orders]], ["node", "shingles", "second", "third"])
+    give_back()
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -202,11 +219,14 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
                 ok = 100 * n >= percent * (len(a) + len(b) - n)
             keep.append(ok)
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    give_back()
 
 
 def _frequent(reported: DataFrame, most: int) -> Frequent:
     """The most reported shingles, at most ``most``: all from some count on."""
-    totals = settle(reported.groupBy("shingle").agg(F.sum("count").alias("n")), "shingles")
+    # Drawn once says nothing about a shingle.
+    often = F.when(F.sum("drawn") > 1, F.sum("drawn") * ONE_IN).otherwise(0)
+    totals = settle(reported.groupBy("shingle").agg((F.sum("count") + often).alias("n")).filter("n > 0"), "shingles")
     least, taken = 1 << 62, 0
     for row in totals.groupBy("n").count().orderBy(F.desc("n")).limit(most).collect():
         if taken + row["count"] > most:
@@ -348,7 +368,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     id_type = documents.schema["row"].dataType.simpleString()
     described = settle(documents.mapInArrow(
         lambda batches: _describe(batches, words),
-        f"row {id_type}, n bigint, node bigint, shingle bigint, count bigint"), "described")
+        f"row {id_type}, n bigint, node bigint, shingle bigint, count bigint, drawn bigint"), "described")
     rows = described.filter("n IS NOT NULL").select("row", "n", "node")
     sent = spark.sparkContext.broadcast(_frequent(described.filter("shingle IS NOT NULL"), MAX_FREQUENT))
 

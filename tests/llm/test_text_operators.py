@@ -249,6 +249,47 @@ def test_pieces_have_the_ids_of_their_text(rows):
 
 # 6 N-gram join
 
+def test_a_passage_once_in_each_block_is_frequent(monkeypatch):
+    """Blocks that hold a shingle once each: it is noticed, and dealt out by salt."""
+    import pyarrow as pa
+
+    passage = " ".join(f"common{i}" for i in range(60))
+    reported = collections.Counter()
+    for block in range(1500):
+        texts = pa.array([f"{passage} own{block}"])
+        for batch in jaccard._describe(iter([pa.RecordBatch.from_arrays([pa.array([block]), texts], ["row", "text"])]), 5):
+            for r in batch.to_pylist():
+                if r["shingle"] is not None:
+                    assert not r["count"]
+                    reported[r["shingle"]] += r["drawn"]
+    often = [s for s, n in reported.items() if n > 1]
+    assert len(often) >= 40 and 500 < sum(reported[s] * jaccard.ONE_IN for s in often) / len(often) < 4000
+
+
+def test_shared_shingles_in_batches_of_any_size():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    for _ in range(200):
+        rows = sorted((rng.randint(0, 5), rng.randint(0, 1), rng.randint(0, 3)) for _ in range(rng.randint(1, 25)))
+        hot = {s for s in range(6) if rng.random() < 0.3}
+        nodes = collections.defaultdict(set)
+        for s, salt, node in rows:
+            nodes[s, salt].add(node)
+        wanted = sorted((s, n) for (s, _), own in nodes.items() for n in own if len(own) > 1 or s in hot)
+        batches, at = [], 0
+        while at < len(rows):
+            part = rows[at:at + rng.randint(1, 6)]
+            at += len(part)
+            batches.append(pa.RecordBatch.from_pydict({
+                "shingle": [r[0] for r in part], "salt": [r[1] for r in part], "node": [r[2] for r in part],
+                "n": [9] * len(part), "common": [r[0] in hot for r in part]}))
+        got = sorted((r["shingle"], r["node"]) for b in jaccard._shared(iter(batches)) for r in b.to_pylist())
+        assert got == wanted
+
+
 def jaccard_groups(rows: list[dict]) -> list[tuple]:
     sets = []
     for r in rows:
