@@ -44,6 +44,9 @@ def _numbers(table: pa.Table, name: str) -> np.ndarray:
 
 def _matrix(table: pa.Table, name: str) -> np.ndarray:
     column = table.column(name).combine_chunks()
+    sizes = np.unique(np.diff(column.offsets.to_numpy()))
+    if len(sizes) > 1 or column.null_count or column.flatten().null_count:
+        raise ValueError(f"{name} has vectors of different lengths or missing numbers")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
@@ -161,7 +164,8 @@ def _query_files(queries: DataFrame) -> list[list[str]]:
 
 def _against_all(songs: DataFrame, queries: DataFrame, gather: Gather, schema: str) -> DataFrame:
     """What ``gather`` makes of every song against every query (``query_id, q``), per task."""
-    songs = with_vector(songs).select("song_id", "embedding", "weight")
+    dim = queries.select(F.size("q")).first()
+    songs = with_vector(songs, dim[0] if dim else None).select("song_id", "embedding", "weight")
 
     def scan(files: list[str]) -> DataFrame:
         return songs.mapInArrow(lambda batches: _scan(batches, gather, files), schema)

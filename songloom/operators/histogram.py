@@ -9,9 +9,9 @@ from songloom.constants import VIEW_BINS, VIEW_CAP, VIEW_EDGES
 
 
 def _counted(values: DataFrame, bin_no, edges: list[float]) -> DataFrame:
-    """Counts per bin, empty bins included; bins without a number are outside the range."""
-    counts = values.select(bin_no.alias("bin")).filter(F.col("bin").isNotNull()).groupBy("bin").agg(
-        F.count(F.lit(1)).alias("songs"))
+    """Counts per bin, empty bins included; numbers of no bin are outside the range."""
+    # No filter on the number: it would put the whole expression into the scan's filter once more.
+    counts = values.select(bin_no.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("songs"))
     bins = values.sparkSession.createDataFrame(
         [(i + 1, float(edges[i]), float(edges[i + 1])) for i in range(len(edges) - 1)],
         "bin int, left_edge double, right_edge double")
@@ -26,10 +26,9 @@ def histogram_edges(views: DataFrame, edges: list[float] | None = None, value: s
     if edges != sorted(edges):
         raise ValueError("bin edges must be in ascending order")
     v, last = F.col(value), len(edges) - 1
-    bin_no = F.when(~v.between(edges[0], edges[-1]), None)
-    for i in range(1, last):
-        bin_no = bin_no.when(v < edges[i], i)
-    return _counted(views, bin_no.when(v.isNotNull(), last), edges)
+    # How many edges are not above the value; the last one counts if it is below, so the last bin ends with it.
+    bin_no = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e, i: (e < v) | ((e == v) & (i < last))))
+    return _counted(views, bin_no, edges)
 
 
 def histogram_equal(views: DataFrame, cap: float = VIEW_CAP, bins: int = VIEW_BINS, value: str = "views") -> DataFrame:

@@ -48,19 +48,25 @@ def normalise_if_needed(vectors: DataFrame) -> DataFrame:
     )
 
 
-def with_vector(songs: DataFrame) -> DataFrame:
-    """Songs that can be scored; one without a vector is no hit of any search."""
-    return songs.filter(F.col("embedding").isNotNull())
+def with_vector(songs: DataFrame, dim: int | Column | None = None) -> DataFrame:
+    """Songs that can be scored: those with a vector of the query's length without missing numbers.
+
+    Every search goes through here, so whether a song can be a hit does not depend on the way.
+    """
+    vector = F.col("embedding")
+    songs = songs.filter(vector.isNotNull())
+    whole = ~F.exists(vector, lambda x: x.isNull())
+    return songs.filter(whole if dim is None else whole & (F.size(vector) == dim))
 
 
 def cosine_scan(songs: DataFrame, query: list[float]) -> DataFrame:
     """Similarity of every song with a vector to one query; the vectors are unit vectors."""
-    return with_vector(songs).withColumn("raw_score", dot(F.col("embedding"), literal(query)))
+    return with_vector(songs, len(query)).withColumn("raw_score", dot(F.col("embedding"), literal(query)))
 
 
 def cosine_raw(songs: DataFrame, query: list[float], k: int = TOP_K_RAW) -> DataFrame:
     """Top-k by cosine of vectors that were not normalised beforehand."""
-    scored = with_vector(songs).withColumn("score", cosine(F.col("embedding"), literal(query))).drop("embedding")
+    scored = with_vector(songs, len(query)).withColumn("score", cosine(F.col("embedding"), literal(query))).drop("embedding")
     return scored.orderBy(*best_first()).limit(k)
 
 

@@ -21,6 +21,7 @@ from songloom.constants import (
     PLAYLIST_MAX_TRACKS,
     PLAYLIST_MIN_TRACKS,
     RERANK_DEPTH,
+    SAMPLES_PER_EPOCH,
 )
 from songloom.functions import payload, present, scores, text, vectors
 from songloom.functions.keys import genre_tag, numeric
@@ -202,6 +203,23 @@ def scan_lyrics_csv(d: Data) -> DataFrame:
                        F.length("lyrics").alias("chars"), F.md5("lyrics").alias("lyrics_md5"))
 
 
+@query
+def scan_csv_ranges(d: Data) -> DataFrame:
+    """The same files in ranges far smaller than a file, so that records begin and end anywhere in them."""
+    path = d.scratch("lyrics-csv")
+    csv_corpus.write_csv_chunks(d.songs.select("chunk_index", "song_id", "title", "artist", "lyrics"), path)
+    rows = csv_corpus.scan_lyrics_csv(d.spark, path, ["song_id", "artist", "lyrics"], range_bytes=512 << 10)
+    return rows.select(F.col("song_id").cast("bigint").alias("song_id"), "chunk_index", "artist", F.md5("lyrics").alias("lyrics_md5"))
+
+
+@query
+def scan_metadata_csv(d: Data) -> DataFrame:
+    path = d.scratch("metadata-csv")
+    csv_corpus.write_csv_chunks(d.metadata.select("chunk_index", "song_id", "title", "artist", "views"), path)
+    rows = csv_corpus.scan_metadata_csv(d.spark, path)
+    return rows.select(F.col("song_id").cast("bigint").alias("song_id"), "chunk_index", "title", "artist", "views")
+
+
 @query
 def scan_metadata(d: Data) -> DataFrame:
     path = d.scratch("metadata")
@@ -624,13 +642,12 @@ def pick_playlist_in_range(d: Data) -> DataFrame:
 
 @query
 def quota_sample(d: Data) -> DataFrame:
-    return pairs.quota_sample(d.songs, total=900).select("chunk_index", "sample_no", "song_id")
+    return pairs.quota_sample(d.songs, SAMPLES_PER_EPOCH).select("chunk_index", "sample_no", "song_id")
 
 
 @query
 def epoch_pairs(d: Data) -> DataFrame:
-    """A small epoch, so that its end falls within a chunk's made-up requests."""
-    return pairs.epoch_pairs(d.songs, total=550).select(
+    return pairs.epoch_pairs(d.songs).select(
         "pair_no", "chunk_index", "kind", "song_id", F.md5("sentence_0").alias("md5_0"), F.md5("sentence_1").alias("md5_1"))
 
 

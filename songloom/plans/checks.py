@@ -324,6 +324,8 @@ _SAMPLE = """
 _CHECKS: dict[str, tuple[str, str]] = {
     "scan_lyrics_csv": ("songs", """
         SELECT song_id, chunk_index, title, length(lyrics) AS chars, md5(lyrics) AS lyrics_md5 FROM songs"""),
+    "scan_csv_ranges": ("songs", "SELECT song_id, chunk_index, artist, md5(lyrics) AS lyrics_md5 FROM songs"),
+    "scan_metadata_csv": ("songs", "SELECT song_id, chunk_index, title, artist, views FROM songs"),
     "scan_metadata": ("songs", "SELECT * EXCLUDE (lyrics) FROM songs"),
     "scan_npy": ("vectors", f"""
         SELECT chunk_index, original_index, len(embedding)::INT AS dim, round({_checksum('embedding')}, 6) AS checksum
@@ -523,13 +525,13 @@ _CHECKS: dict[str, tuple[str, str]] = {
             FROM tracks t WHERE (t.request_id, t.query_no, t.playlist_id) IN (
               SELECT (request_id, query_no, min_by(playlist_id, (page_no, playlist_pos))) FROM tracks
               WHERE playlist_total BETWEEN 5 AND 100 GROUP BY request_id, query_no)) WHERE rn = 1) WHERE rank <= 30"""),
-    "quota_sample": ("songs", _SAMPLE.format(total=900)),
+    "quota_sample": ("songs", _SAMPLE.format(total=200_000)),
     "epoch_pairs": ("songs positive synthetic", f"""
         SELECT pair_no, chunk_index, kind, song_id, md5(sentence_0) AS md5_0, md5(sentence_1) AS md5_1 FROM (
           SELECT *, row_number() OVER (ORDER BY chunk_index, kind, sample_no, draw_no) AS pair_no
-          FROM ({_SAMPLE.format(total=550)})
+          FROM ({_SAMPLE.format(total=200_000)})
           JOIN (SELECT * FROM positive WHERE draw_no = 1 UNION ALL SELECT * FROM synthetic) USING (song_id))
-        WHERE pair_no <= 550"""),
+        WHERE pair_no <= 200000"""),
     "shuffle_pairs": ("positive synthetic", """
         SELECT song_id, kind, draw_no, md5('42|shuffle|' || song_id || '|' || kind || '|' || draw_no) AS shuffle_key,
                md5(sentence_0) AS md5_0, md5(sentence_1) AS md5_1

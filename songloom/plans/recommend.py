@@ -86,7 +86,8 @@ def vector_hits(requests: DataFrame, names: DataFrame, matched: DataFrame, vecto
     ``max_pairs`` pairs or more are scored in blocks, which gives the same scores and order.
     """
     slim = matched.select("song_id", "title", "artist", "views", "name")
-    vectors = with_vector(vectors)
+    first = requests.select(F.size("q")).first()
+    vectors = with_vector(vectors, first[0] if first else None)
     asks = names.select("request_id", "name")
     queries = requests.select("request_id", "q")
     common = names.groupBy("name").agg(F.max("copies").alias("songs"), F.count(F.lit(1)).alias("asks")).filter(
@@ -149,7 +150,7 @@ def score_watchlist(requests: DataFrame, watched: DataFrame, vectors: DataFrame,
     ``watched``: request_id, song_id, title, artist, views, one row per name and request.
     """
     pairs = settle(watched, "watched").join(with_vector(vectors), "song_id").join(
-        requests.select("request_id", "q", "prompt"), "request_id")
+        requests.select("request_id", "q", "prompt"), "request_id").filter(F.size("embedding") == F.size("q"))
     scored = with_popularity(pairs.withColumn("raw_score", dot(F.col("embedding"), F.col("q"))).drop("embedding", "q"))
     fused = scored.withColumnRenamed("score", "vector_score").drop("raw_score", "views_multiplier")
     judged = score_relevance(fetch_lyrics(fused, lyrics, ["song_id"]), scorer).drop("prompt", "lyrics")

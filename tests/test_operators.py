@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from songloom.constants import VIEW_EDGES
 from songloom.operators import block, chunks, encode, filters, groups, histogram, matching, pairs, rank, search
+from songloom.plans import recommend
 
 SONG = "song_id bigint, title string, artist string, tag string, language string, year string, views string, " \
        "chunk_index int, original_index bigint, lyrics string"
@@ -154,6 +155,14 @@ def test_a_number_repeats_its_text_twice(spark):
     assert condition.count("marker") <= 3
 
 
+def test_a_histogram_reads_its_number_once(spark, tmp_path):
+    """Neither the bins nor the join with them repeat the expression that the number is made from."""
+    spark.createDataFrame([("1",), ("x",)], "views string").write.parquet(str(tmp_path / "v"))
+    views = filters.valid_views(spark.read.parquet(str(tmp_path / "v")))
+    for made in (histogram.histogram_edges(views), histogram.histogram_equal(views)):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("try_cast") <= 4
+
+
 def test_histograms(spark):
     values = spark.createDataFrame([(v,) for v in (0.0, 99.9, 100.0, 10_000_000.0, 10_000_001.0)], "views double")
     counts = {r["bin"]: r["songs"] for r in histogram.histogram_edges(values).collect()}
@@ -343,6 +352,25 @@ def test_batch_search_equals_single_searches(corpus, queries, fused, at_once, mo
     assert found == {r["query_id"]: brute(corpus, r["q"], 6, None if fused else 18) for r in queries.collect()}
 
 
+@pytest.mark.parametrize("max_pairs", [1, 1_000_000])
+def test_vectors_that_do_not_fit_are_no_hits_on_any_path(spark, max_pairs):
+    """Another length, or a missing number: no hit, and no other song's vector is misread."""
+    songs = spark.createDataFrame(
+        [(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0]), (3, [0.5, 0.5, None]), (4, [0.5, 0.5, 0.0]), (5, None), (6, [9.0] * 4), (7, [])],
+        "song_id long, embedding array<double>").selectExpr(
+            "song_id", "concat('t', song_id) AS title", "'a' AS artist", "'1000' AS views", "embedding", "'n' AS name")
+    wanted = [(1, 1.0), (4, 0.5)]
+    q = [1.0, 0.0, 0.0]
+    assert [(r["song_id"], r["raw_score"]) for r in search.topk_fused(songs, q, 9).collect()] == wanted
+    queries = spark.createDataFrame([(1, q)], "query_id long, q array<double>")
+    assert [(r["song_id"], r["raw_score"]) for r in block.topk_batch(songs, queries, 9).orderBy("rank").collect()] == wanted
+    assert block.similarity_profile(songs, queries).first()["songs"] == 2
+    asked = spark.createDataFrame([(1, q)], "request_id long, q array<double>")
+    names = spark.createDataFrame([(1, "n", 7)], "request_id long, name string, copies long")
+    hits = recommend.vector_hits(asked, names, songs.drop("embedding"), songs.select("song_id", "embedding"), 9, None, max_pairs)
+    assert [(r["song_id"], r["raw_score"]) for r in hits.orderBy("rank").collect()] == wanted
+
+
 def test_tasks_give_their_best_only(spark):
     """However many batches a task reads, each query leaves it with k songs at most."""
     numbers = random.Random(5)

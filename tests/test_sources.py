@@ -1,4 +1,7 @@
 import csv
+import io
+import itertools
+import random
 
 import numpy as np
 import pytest
@@ -37,6 +40,62 @@ def test_csv_without_a_needed_column(spark, tmp_path):
         csv_corpus.scan_lyrics_csv(spark, str(tmp_path))
 
 
+@pytest.mark.parametrize("range_bytes", [7, 64, 1000, 1 << 20])
+def test_one_csv_is_read_in_ranges(spark, tmp_path, range_bytes):
+    """Records that begin in any block, with breaks, quotes, commas and blank lines everywhere."""
+    rng = random.Random(range_bytes)
+    bits = ['"', '""', "\n", "\r\n", ",", "a", "é", "\n\n", " ", "x" * 30]
+    rows = [["".join(rng.choices(bits, k=rng.randint(0, 9))) for _ in range(3)] for _ in range(60)]
+    with open(tmp_path / "song_lyrics_chunk_2.csv", "w", newline="", encoding="utf-8-sig") as out:
+        csv.writer(out, quoting=csv.QUOTE_ALL, lineterminator="\n").writerows([["a\n1", "lyrics", "c"], *rows[:30]])
+        out.write("\n\r\n")
+        csv.writer(out, quoting=csv.QUOTE_ALL, lineterminator="\r\n").writerows(rows[30:])
+    write_csv(tmp_path / "song_lyrics_chunk_3.csv", [["lyrics"]])
+    (tmp_path / "song_lyrics_chunk_4.csv").write_text("")
+    found = csv_corpus.scan_lyrics_csv(spark, str(tmp_path), range_bytes=range_bytes)
+    assert found.rdd.getNumPartitions() >= min(20, (tmp_path / "song_lyrics_chunk_2.csv").stat().st_size // range_bytes)
+    got = sorted(map(tuple, found.select("chunk_index", "original_index", "`a\n1`", "lyrics", "c").collect()))
+    assert got == [(2, i, *[v or None for v in row]) for i, row in enumerate(rows)]
+
+
+def test_every_block_boundary_is_right():
+    text = b'h,"l"\n1,"a\n""b"\n\n2,""\r\n\r\n"3\n","\n"\n4,x'
+    plain = [r for r in csv.reader(io.StringIO(text.decode(), newline="")) if r][1:]
+    for cuts in itertools.combinations(range(1, len(text)), 2):
+        edges = [0, *cuts, len(text)]
+        blocks = []
+        for block, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            data = np.frombuffer((b"\n" if a == 0 else text[a - 1:a]) + text[a:z + 2], np.uint8)
+            end = z == len(text)
+            if not end:
+                data = np.concatenate([data, np.zeros(z - a + 3 - len(data), np.uint8)])
+            quotes, starts = csv_corpus._record_starts(data, end)
+            starts = [s[s + a - 1 >= 6] for s in starts]
+            blocks.append({"path": "f", "begin": a, "end": z, "quotes": quotes, "header": text[:6],
+                           "first": [int(s[0]) + a - 1 if len(s) else -1 for s in starts], "records": [len(s) for s in starts]})
+        ranges = csv_corpus._ranges(blocks, 1, 0)
+        assert sum(r.rows for r in ranges) == len(plain) == 4
+        read = [row for r in ranges for row in csv.reader(io.StringIO(text[r.begin:r.end].decode(), newline="")) if row]
+        assert read == plain and [r.row for r in ranges] == np.cumsum([0, *[r.rows for r in ranges[:-1]]]).tolist()
+
+
+def test_csv_that_is_not_as_it_should_be(spark, tmp_path):
+    for name, text in (("open", 'lyrics,b\n"x,1\n'), ("short", "lyrics,b\nx\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "song_lyrics_chunk_1.csv").write_text(text)
+        with pytest.raises(Exception, match="ends within quotes|Expected 2 columns"):
+            csv_corpus.scan_lyrics_csv(spark, str(tmp_path / name)).collect()
+
+
+def test_files_that_only_spark_opens(spark, tmp_path, monkeypatch):
+    write_csv(tmp_path / "song_lyrics_chunk_1.csv", [["title", "lyrics"], ["A", "one\ntwo"], ["B", ""]])
+    (tmp_path / "song_lyrics_chunk_2.csv").write_text("lyrics\nx\n")
+    ranges = csv_corpus.scan_lyrics_csv(spark, str(tmp_path)).collect()
+    monkeypatch.setattr(csv_corpus, "_openable", lambda uri: False)
+    files = csv_corpus.scan_lyrics_csv(spark, str(tmp_path)).collect()
+    assert sorted(map(repr, ranges)) == sorted(map(repr, files)) and len(files) == 3
+
+
 def test_metadata_csv(spark, tmp_path):
     write_csv(tmp_path / "other_columns_chunk_2.csv", [["title", "artist", "views"], ["A", "X", "1"], ["B", "Y", "n/a"]])
     rows = csv_corpus.scan_metadata_csv(spark, str(tmp_path)).orderBy("original_index").collect()
