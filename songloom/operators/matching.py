@@ -16,6 +16,7 @@ from songloom.functions.keys import corpus_key, normalise_key, numeric, wanted_t
 from songloom.functions.payload import first_artist, first_image, track_url
 from songloom.operators.filters import drop_unidentified
 from songloom.operators.groups import first_per_key, top_k_per_group
+from songloom.sources.key_index import MATCH_KEY, match_stored
 
 KEYS = ["norm_title", "norm_artist"]
 SEEN_ORDER = ["query_no", "page_no", "playlist_pos", "track_pos"]
@@ -105,7 +106,12 @@ def request_keys(requests: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def match_keys(songs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Corpus rows, with their key, whose key is among the given ones."""
+    """Corpus rows, with their key, whose key is among the given ones.
+
+    ``songs`` may be the corpus, whose keys are made here, or the index that was stored with them.
+    """
+    if MATCH_KEY in songs.columns:
+        return match_stored(songs, keys).drop(MATCH_KEY)
     return with_corpus_keys(songs).join(keys.select(*KEYS).distinct(), KEYS, "left_semi")
 
 

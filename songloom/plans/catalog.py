@@ -7,7 +7,7 @@ results are rounded to six digits.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property, wraps
+from functools import wraps
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -29,8 +29,8 @@ from songloom.functions.vectors import norm
 from songloom.operators import block, chunks, encode, filters, histogram, matching, pairs, rank, search
 from songloom.plans import recommend as plan
 from songloom.plans.views import register
-from songloom.session import scratch_path, settle, spread, tune
-from songloom.sources import corpus, csv_corpus, npy, playlists
+from songloom.session import keep, scratch_path, settle, spread, tune
+from songloom.sources import corpus, csv_corpus, key_index, npy, playlists
 from songloom.streaming import jobs, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,24 +171,47 @@ class Data:
         return placed.select(*page, F.transform(
             F.sequence(F.lit(0), F.col("last")), lambda at: F.element_at("placed", at)).alias("playlists"))
 
+    def stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What a service has at hand before the first request; made once per data folder."""
+        return keep(self.spark, (self.sf_dir, name), make)
+
+    @property
+    def stored_pages(self) -> DataFrame:
+        """The pages as the payload files they arrive in."""
+        def write() -> DataFrame:
+            path = self.scratch("pages-json")
+            self.pages.write.json(path)
+            return playlists.read_pages(self.spark, path)
+
+        return self.stored("pages", write)
+
     @property
     def page_tracks(self) -> DataFrame:
         """The tracks of the pages, as a request has them: read from the nested payload."""
-        return matching.track_fields(matching.flatten_playlists(self.pages))
+        return matching.track_fields(matching.flatten_playlists(self.stored_pages))
 
-    @cached_property
+    @property
     def lyric_vectors(self) -> DataFrame:
-        """Vectors of the lyrics, by the encoder that prompts go through; stored once."""
-        embedded = encode.embed_texts(filters.drop_blank_lyrics(self.texts).select("song_id", "lyrics"), "lyrics")
-        return settle(embedded.select("song_id", "embedding"), "lyric-vectors")
+        """Vectors of the lyrics, by the encoder that prompts go through."""
+        def embed() -> DataFrame:
+            embedded = encode.embed_texts(filters.drop_blank_lyrics(self.texts).select("song_id", "lyrics"), "lyrics")
+            return settle(embedded.select("song_id", "embedding"), "lyric-vectors")
+
+        return self.stored("lyric-vectors", embed)
+
+    @property
+    def key_index(self) -> DataFrame:
+        """The metadata by match key."""
+        return self.stored("key-index", lambda: key_index.store_key_index(
+            self.metadata.select("song_id", "title", "artist", "tag", "views")))
 
     def recommend(self) -> DataFrame:
         return plan.recommend(
-            self.genre_requests, self.page_tracks, self.metadata, self.lyric_vectors, self.song_lyrics)
+            self.genre_requests, self.page_tracks, self.key_index, self.lyric_vectors, self.song_lyrics)
 
     def recommend_cli(self) -> DataFrame:
         return plan.recommend_cli(
-            self.genre_requests, self.page_tracks, self.metadata, self.lyric_vectors, self.song_lyrics)
+            self.genre_requests, self.page_tracks, self.key_index, self.lyric_vectors, self.song_lyrics)
 
 
 # Sources and sinks
@@ -267,7 +290,7 @@ def write_clean(d: Data) -> DataFrame:
 
 @query
 def flatten_playlists(d: Data) -> DataFrame:
-    return matching.track_fields(matching.flatten_playlists(d.pages))
+    return matching.track_fields(matching.flatten_playlists(d.stored_pages))
 
 
 @query
@@ -397,6 +420,13 @@ def match_candidates(d: Data) -> DataFrame:
     return d.matched.select("song_id", "norm_title", "norm_artist")
 
 
+@query
+def match_candidates_stored(d: Data) -> DataFrame:
+    """As ``match_candidates``, from the corpus stored by key."""
+    keys = settle(matching.distinct_keys(d.tracks), "keys")
+    return matching.match_keys(d.key_index, keys).select("song_id", "norm_title", "norm_artist")
+
+
 @query
 def match_candidates_strict(d: Data) -> DataFrame:
     return matching.match_candidates_strict(d.metadata, d.tracks)
@@ -504,7 +534,7 @@ def vector_profile(d: Data) -> DataFrame:
 @query
 def run_summary(d: Data) -> DataFrame:
     asked, tracks = d.requests, d.page_tracks
-    found = plan.match(asked, tracks, d.metadata)
+    found = plan.match(asked, tracks, d.key_index)
     hits = plan.vector_hits(asked, found.wanted(), found.songs, d.lyric_vectors)
     return matching.run_summary(asked, tracks, found.names, found.wanted(), hits)
 
@@ -599,7 +629,7 @@ def rerank_strict(d: Data) -> DataFrame:
 @query
 def score_watchlist(d: Data) -> DataFrame:
     asked = d.requests
-    found = plan.match(asked, d.page_tracks, d.metadata)
+    found = plan.match(asked, d.page_tracks, d.key_index)
     kept = found.wanted().select("request_id", "song_id", "title", "artist", "views")
     watched = matching.first_song_per_name(filters.watchlist_matches(kept, WATCH_TERMS).drop("term"), ["request_id"])
     final = plan.recommend_cli(
@@ -838,7 +868,7 @@ def recommend_stream(d: Data) -> DataFrame:
     asked = d.genre_requests
     asked.repartitionByRange(2, "request_id").write.parquet(arriving)
     stream = d.spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
-    tracks, songs, vectors = settle(d.page_tracks, "tracks"), settle(d.metadata, "metadata"), d.lyric_vectors
+    tracks, songs, vectors = settle(d.page_tracks, "tracks"), d.key_index, d.lyric_vectors
 
     def answer(batch: DataFrame) -> DataFrame:
         return plan.recommend(batch, tracks, songs, vectors, d.song_lyrics)

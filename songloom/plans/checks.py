@@ -389,6 +389,7 @@ _CHECKS: dict[str, tuple[str, str]] = {
         WHERE h.relevance >= 50 AND {_BLANK}"""),
     "nonneg_views": ("valid_views", "SELECT event_id, round(views, 6) AS views FROM valid_views"),
     "match_candidates": ("matched", "SELECT song_id, norm_title, norm_artist FROM matched"),
+    "match_candidates_stored": ("matched", "SELECT song_id, norm_title, norm_artist FROM matched"),
     "match_candidates_strict": ("matched", """
         SELECT song_id, title, artist FROM matched WHERE norm_title <> '' AND norm_artist <> ''"""),
     "attach_track_attrs": ("matched first_tracks", """

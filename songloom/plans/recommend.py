@@ -26,6 +26,7 @@ from songloom.operators.matching import KEYS, enrich_hits, match_keys, match_nam
 from songloom.operators.rank import fetch_lyrics, rerank_neutral, rerank_strict
 from songloom.operators.search import best_first, rank_pairs, with_popularity, with_vector
 from songloom.session import settle
+from songloom.sources.key_index import MATCH_KEY
 from songloom.sources.corpus import vector_length
 
 # A name shared by this many (request, song) pairs or more is scored block by block.
@@ -51,10 +52,12 @@ class Matched:
 def match(requests: DataFrame, tracks: DataFrame, songs: DataFrame) -> Matched:
     """Match the tracks to the corpus; its metadata is read here and nowhere else.
 
+    ``songs`` may be the stored index of :mod:`songloom.sources.key_index`.
+
     ``passes`` says whether the request's genres let a name pass.
     """
     keys = settle(request_keys(requests, tracks), "keys")
-    slim = songs.select("song_id", "title", "artist", "tag", "views")
+    slim = songs.select("song_id", "title", "artist", "tag", "views", *[c for c in (*KEYS, MATCH_KEY) if MATCH_KEY in songs.columns])
     found = settle(match_keys(slim, keys).drop(*KEYS).withColumn("name", _name()), "matched")
     names = match_names(found, keys)
     passes = passes_genres(F.col("tags"), F.col("tag"))

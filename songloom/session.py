@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,7 @@ RUNTIME_CONF = {
 _own_scratch: dict[str, str] = {}
 _scratch: dict[str, list[str]] = {}
 _shipped: set[str] = set()
+_kept: dict[tuple, DataFrame] = {}
 
 
 def _ship(spark: SparkSession) -> None:
@@ -107,6 +109,8 @@ def remove_scratch(spark: SparkSession) -> int:
     For the end of a run: results that still read them can no longer be computed.
     """
     jvm, removed = spark.sparkContext._jvm, 0
+    for key in [k for k in _kept if k[0] == spark.sparkContext.applicationId]:
+        del _kept[key]
     for path in _scratch.pop(spark.sparkContext.applicationId, []):
         hadoop = jvm.org.apache.hadoop.fs.Path(path)
         removed += bool(hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True))
@@ -125,6 +129,14 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """A stored table that ``make`` gives, made once for each key and application."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give heavy work a task per core when a table is too small to have that many splits."""
     cores = df.sparkSession.sparkContext.defaultParallelism
