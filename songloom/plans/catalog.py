@@ -26,7 +26,7 @@ from songloom.constants import (
 from songloom.functions import payload, present, scores, text, vectors
 from songloom.functions.keys import genre_tag, numeric
 from songloom.functions.vectors import norm
-from songloom.operators import block, chunks, encode, filters, histogram, matching, pairs, rank, search
+from songloom.operators import block, chunks, encode, filters, histogram, matching, pairs, rank, search, title_index
 from songloom.plans import recommend as plan
 from songloom.plans.views import register
 from songloom.session import keep, scratch_path, settle, spread, tune
@@ -205,6 +205,10 @@ class Data:
         return self.stored("key-index", lambda: key_index.store_key_index(
             self.metadata.select("song_id", "title", "artist", "tag", "views")))
 
+    @property
+    def title_index(self) -> DataFrame:
+        return self.stored("title-index", lambda: title_index.store_title_index(self.metadata))
+
     def recommend(self) -> DataFrame:
         return plan.recommend(
             self.genre_requests, self.page_tracks, self.key_index, self.lyric_vectors, self.song_lyrics)
@@ -396,6 +400,19 @@ def watchlist_matches(d: Data) -> DataFrame:
     return filters.watchlist_matches(d.matched, WATCH_TERMS).select("term", "song_id", "title", "artist")
 
 
+@query
+def match_terms(d: Data) -> DataFrame:
+    """Every name among the tracks as a term, some hundreds or many thousands, against the whole corpus."""
+    terms = d.tracks.select(F.col("name").alias("term")).distinct()
+    return title_index.match_terms(d.metadata.select("song_id", "title"), terms, d.title_index).select("term", "song_id")
+
+
+@query
+def found_terms(d: Data) -> DataFrame:
+    terms = d.tracks.select(F.col("name").alias("term")).distinct()
+    return title_index.found_terms(d.metadata, terms, d.title_index)
+
+
 @query
 def training_columns(d: Data) -> DataFrame:
     return filters.training_columns(d.songs).select("song_id", "title", "artist", F.md5("lyrics").alias("lyrics_md5"))

@@ -382,6 +382,12 @@ _CHECKS: dict[str, tuple[str, str]] = {
         SELECT t.term, count(m.song_id) AS matches, count(m.song_id) > 0 AS found
         FROM (VALUES {TERMS}) t(term) LEFT JOIN matched m ON regexp_matches(m.title, t.term, 'i') GROUP BY t.term"""),
     "watchlist_matches": ("matched", _WATCHED),
+    "match_terms": ("songs tracks", """
+        SELECT t.term, s.song_id FROM (SELECT DISTINCT name AS term FROM tracks) t
+        JOIN songs s ON regexp_matches(s.title, t.term, 'i')"""),
+    "found_terms": ("songs tracks", """
+        SELECT t.term, count(s.song_id) AS matches, count(s.song_id) > 0 AS found
+        FROM (SELECT DISTINCT name AS term FROM tracks) t LEFT JOIN songs s ON regexp_matches(s.title, t.term, 'i') GROUP BY t.term"""),
     "training_columns": ("songs", """
         SELECT song_id::VARCHAR AS song_id, title, artist, md5(lyrics) AS lyrics_md5 FROM songs WHERE lyrics IS NOT NULL"""),
     "min_score_filter": ("songs hits", f"""
