@@ -85,9 +85,11 @@ def hits(text: str, items: list[tuple]) -> tuple[int, int, set]:
     return len(w), len(covered), found
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_WINDOWS, 40])
-def test_decontamination(spark, documents, rows, none, block, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK_WINDOWS": 40, "STRETCH": 7, "KEPT_BYTES": 0}, {"PART_TERMS": 1500, "STRETCH": 50}])
+def test_decontamination(spark, documents, rows, none, sizes, monkeypatch):
+    """Also with windows in many blocks that are read anew, and with more terms than one index has."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(decontaminate, name, value)
     long = rows[206 if len(rows) > 206 else -1]["text"] or ""
     items = [(1, "Two THREE four"), (2, "p3 p4 p5 p6 p7 p8 p9 p10 p11 p12 p13"), (3, None), (4, "..."), (4, "seven, eight"),
              (None, "light stone river"), (5, rows[7]["text"]), (6, long[:200]), (7, "the " * 12)]
