@@ -26,7 +26,7 @@ from songloom.constants import (
 from songloom.functions import payload, present, scores, text, vectors
 from songloom.functions.keys import genre_tag, numeric
 from songloom.functions.vectors import norm
-from songloom.operators import block, chunks, encode, filters, histogram, matching, pairs, rank, search, title_index
+from songloom.operators import block, chunks, encode, filters, histogram, matching, pairs, rank, scoring, search, title_index
 from songloom.plans import recommend as plan
 from songloom.plans.views import register
 from songloom.session import keep, scratch_path, settle, spread, tune
@@ -853,6 +853,31 @@ def score_with_model(d: Data) -> DataFrame:
     return encode.score_relevance(rows, _judge).select("song_id", "relevance")
 
 
+def _judge_or_fail(asked: list[str]) -> list[str]:
+    """The same, but calls of some lengths fail, however often they are tried."""
+    if any(len(text) % 5 == 0 for text in asked):
+        raise ConnectionError("no answer in time")
+    return _judge(asked)
+
+
+@query
+def score_with_failures(d: Data) -> DataFrame:
+    """Calls that fail stay with their song; the second run asks about these and the rest only."""
+    rows, memo = spread(d.asked_songs, "song_id"), d.scratch("memo")
+    scoring.score_with_memo(rows.filter("song_id % 3 = 0"), _judge_or_fail, memo).agg(F.count_if("failed")).first()
+    return scoring.score_with_memo(rows, _judge_or_fail, memo).select("song_id", "relevance", "failed", "error")
+
+
+@query
+def rerank_with_failures(d: Data) -> DataFrame:
+    """Hits judged by a scorer some of whose calls fail: these keep their vector score."""
+    hits = settle(d.hits.select("request_id", "song_id", "vector_score"), "hits")
+    songs = d.asked_songs.select("song_id", "title", "artist", "prompt", "lyrics")
+    judged = scoring.score_with_memo(hits.join(songs, "song_id"), _judge_or_fail, d.scratch("memo"))
+    ranked = rank.rank_results(rank.rerank_neutral(judged), ["request_id"])
+    return ranked.select("request_id", "rank", "song_id", "relevance", r6("score").alias("score"))
+
+
 # Streams
 
 

@@ -558,6 +558,20 @@ _CHECKS: dict[str, tuple[str, str]] = {
         SELECT song_id, CASE WHEN t IS NULL THEN NULL WHEN length(t) % 7 = 0 THEN 0
                  ELSE least(length(t) % 131, 100) END::INT AS relevance
         FROM (SELECT song_id, {_RENDERED} AS t FROM asked_songs)"""),
+    "score_with_failures": ("asked_songs", f"""
+        SELECT song_id, CASE WHEN t IS NULL OR length(t) % 5 = 0 THEN NULL WHEN length(t) % 7 = 0 THEN 0
+                 ELSE least(length(t) % 131, 100) END::INT AS relevance,
+               coalesce(length(t) % 5 = 0, false) AS failed,
+               CASE WHEN length(t) % 5 = 0 THEN 'ConnectionError: no answer in time' END AS error
+        FROM (SELECT song_id, {_RENDERED} AS t FROM asked_songs)"""),
+    "rerank_with_failures": ("hits asked_songs", f"""
+        SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY s DESC, song_id)::INT AS rank, song_id,
+               llm AS relevance, round(s, 6) AS score FROM (
+          SELECT request_id, song_id, CASE WHEN failed THEN 50 ELSE known END::INT AS llm,
+                 CASE WHEN failed THEN vector_score ELSE 0.7 * vector_score + 0.3 * (known / 100.0) END AS s FROM (
+            SELECT h.request_id, h.song_id, h.vector_score, coalesce(length(t) % 5 = 0, false) AS failed,
+                   CASE WHEN t IS NULL THEN 50 WHEN length(t) % 7 = 0 THEN 0 ELSE least(length(t) % 131, 100) END AS known
+            FROM hits h JOIN (SELECT song_id, {_RENDERED} AS t FROM asked_songs) USING (song_id)))"""),
     "parse_score": ("responses", f"""
         SELECT event_id, CASE WHEN json_valid({_UNFENCED})
                  THEN greatest(least(trunc(TRY_CAST(json_extract_string({_UNFENCED}, '$.score') AS DOUBLE)), 100), 0)
