@@ -37,10 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from songloom.llm.words import SPACED, blocks, find_words, mix
+from songloom.llm.words import SPACED, blocks, find_words, give_back, mix
 from songloom.session import settle
 
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_500_000
 TEXT_BYTES = 2 << 20
 # Tokens of the corpus for each part, and for each further part of a first word.
 PART_TOKENS = 2_000_000
@@ -168,6 +168,7 @@ def _tokenized(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator
                 waiting = 0
     if waiting:
         yield give()
+    give_back()
 
 
 class _Block:
@@ -276,6 +277,7 @@ def _answers(table: pa.Table, kind: int, field_: int) -> np.ndarray:
 
 
 def _ask_bigrams(blocks_: pa.Table, answers: pa.Table, parts: int) -> pa.Table:
+    give_back()  # what the group before has left
     block = _Block(blocks_)
     order, _ = block.asked(parts)
     number, count, spread = (np.empty(len(order), np.int64) for _ in range(3))
@@ -363,6 +365,7 @@ def _weigh(table: pa.Table, keep: np.ndarray, least_rest: float) -> pa.Table:
 
 
 def _score(blocks_: pa.Table, answers: pa.Table, parts: int, unigrams: Unigrams, keep: np.ndarray, schema: pa.Schema) -> pa.Table:
+    give_back()
     block = _Block(blocks_)
     order, _ = block.asked(parts)
     number, count, spread, code = (np.empty(len(order), np.int64) for _ in range(4))
