@@ -31,7 +31,7 @@ from songloom.plans import recommend as plan
 from songloom.plans.views import register
 from songloom.session import keep, scratch_path, settle, spread, tune
 from songloom.sources import corpus, csv_corpus, key_index, npy, playlists
-from songloom.streaming import jobs, requests
+from songloom.streaming import jobs, machine, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -903,6 +903,19 @@ def job_status_stream(d: Data) -> DataFrame:
     return stored.groupBy("job_id").agg(F.max_by(F.struct(*rest), "batch_id").alias("s")).select("job_id", "s.*")
 
 
+@query
+def job_machine_stream(d: Data) -> DataFrame:
+    """Events checked as they arrive, in order of time: the state of each job and how many of its events were refused."""
+    arriving, output, events = d.scratch("events-in"), d.scratch("reports-out"), settle(d.job_events, "job-events")
+    edges = events.agg(F.percentile_approx("ts", [0.3, 0.7])).first()[0]
+    part = F.when(F.col("ts") < F.lit(edges[0]), 0).when(F.col("ts") < F.lit(edges[1]), 1).otherwise(2)
+    for k in range(3):  # one after the other, so that they are read in this order
+        events.filter(part == k).coalesce(1).write.mode("append").parquet(arriving)
+    stream = d.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    machine.stream_job_reports(stream, output, d.scratch("reports-checkpoint")).awaitTermination()
+    return machine.latest_states(d.spark.read.parquet(output))
+
+
 @query
 def recommend_stream(d: Data) -> DataFrame:
     """Requests that arrive as files, answered batch by batch."""

@@ -623,6 +623,26 @@ _CHECKS: dict[str, tuple[str, str]] = {
         FROM asked_songs s JOIN ask_lists a ON a.request_id = s.request_id LEFT JOIN word_lists w ON w.song_id = s.song_id"""),
     "job_status": ("job_events", _JOB_STATUS),
     "job_status_stream": ("job_events", _JOB_STATUS),
+    "job_machine_stream": ("job_events", """
+        SELECT job_id, s.status, s.progress, s.message, s.error, s.created_at, s.updated_at, s.refused, s.unknown FROM (
+          SELECT job_id, list_reduce(list_concat([{'status': NULL::VARCHAR, 'progress': 0, 'message': NULL::VARCHAR, 'error': NULL::VARCHAR,
+              'created_at': NULL::TIMESTAMP, 'updated_at': NULL::TIMESTAMP, 'refused': 0::BIGINT, 'unknown': 0::BIGINT}],
+              list({'status': status, 'progress': progress, 'message': message, 'error': NULL::VARCHAR, 'created_at': ts::TIMESTAMP,
+                    'updated_at': ts::TIMESTAMP, 'refused': 0::BIGINT, 'unknown': 0::BIGINT} ORDER BY ts, event_id)),
+            lambda a, e: CASE
+              WHEN a.status IN ('completed', 'failed', 'cancelled') OR a.status IS NULL AND e.status = 'cancelled'
+                   OR a.status IS NOT NULL AND e.status = 'pending'
+                THEN {'status': a.status, 'progress': a.progress, 'message': a.message, 'error': a.error, 'created_at': a.created_at,
+                      'updated_at': a.updated_at, 'refused': a.refused + 1, 'unknown': a.unknown + CASE WHEN a.status IS NULL THEN 1 ELSE 0 END}
+              ELSE {'status': e.status,
+                    'progress': CASE e.status WHEN 'completed' THEN 100 WHEN 'failed' THEN 0 WHEN 'cancelled' THEN 0
+                                  ELSE greatest(a.progress, coalesce(e.progress, 0)) END,
+                    'message': CASE e.status WHEN 'completed' THEN 'Playlist created successfully!' WHEN 'failed' THEN 'Failed to create playlist'
+                                 WHEN 'cancelled' THEN 'Job cancelled by user' ELSE e.message END,
+                    'error': CASE WHEN e.status = 'failed' THEN e.message END,
+                    'created_at': coalesce(a.created_at, e.created_at), 'updated_at': e.updated_at, 'refused': a.refused, 'unknown': a.unknown}
+              END) AS s
+          FROM job_events GROUP BY job_id)"""),
     "recommend_stream": (_SERVICE_READS, _SERVICE),
 }
 

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from songloom.streaming import machine
 from songloom.streaming.jobs import job_status, stream_job_status
 from songloom.streaming.requests import recommend_stream
 
@@ -58,3 +59,49 @@ def test_recommend_stream_stores_each_answer_once(spark, tmp_path):
         recommend_stream(stream, lambda batch: batch.withColumn("rank", F.lit(1)), str(tmp_path / "out"),
                          str(tmp_path / "checkpoint")).awaitTermination()
     assert sorted(r["request_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(6))
+
+
+def test_the_rules_of_the_machine():
+    state, said = None, []
+    for event in [(1, "cancelled", 0, "c"), (2, "pending", 0, "q"), (3, "in_progress", 40, "a"), (4, "pending", 50, "q"), (5, "in_progress", 20, "b"),
+                  (6, "in_progress", None, "n"), (7, "odd", 1, "x"), (8, "failed", 70, "boom"), (9, "cancelled", 0, "c"), (10, "failed", 0, "again")]:
+        state, reason = machine.advance(state, event)
+        said.append((state and state[:4], reason))
+    end = ("failed", 0, "Failed to create playlist", "boom")
+    assert said == [(None, "no such job"), (("pending", 0, "q", None), None), (("in_progress", 40, "a", None), None),
+                    (("in_progress", 40, "a", None), "step back"), (("in_progress", 40, "b", None), None),
+                    (("in_progress", 40, "n", None), None), (("in_progress", 40, "n", None), "unknown status"), (end, None),
+                    (end, "already failed"), (end, "already failed")]
+
+
+def _reports(spark, parts, tmp_path, **options):
+    for i, part in enumerate(parts):  # one file after the other
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for _ in range(2):  # a restart finds nothing new
+        machine.stream_job_reports(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), **options).awaitTermination()
+    return spark.read.parquet(str(tmp_path / "out"))
+
+
+def test_job_machine_stream(spark, events, tmp_path):
+    rows = _reports(spark, [events.filter("second(ts) <= 2"), events.filter("second(ts) > 2")], tmp_path)
+    reports = sorted((r["event_id"], r["kind"], r["reason"], r["status"], r["progress"]) for r in rows.collect())
+    assert reports == [
+        (1, "accepted", None, "pending", 0), (2, "accepted", None, "in_progress", 40), (3, "accepted", None, "completed", 100),
+        (4, "refused", "already completed", "completed", 100), (5, "accepted", None, "pending", 0), (6, "accepted", None, "in_progress", 30),
+        (7, "refused", "no such job", None, None), (8, "accepted", None, "in_progress", 70), (9, "accepted", None, "in_progress", 70),
+        (10, "accepted", None, "failed", 0)]
+    latest = {r["job_id"]: (r["status"], r["refused"], r["unknown"]) for r in machine.latest_states(rows).collect()}
+    assert latest == {1: ("completed", 1, 0), 2: ("in_progress", 0, 0), 3: ("in_progress", 1, 1), 4: ("failed", 0, 0)}
+
+
+def test_silent_jobs_are_reported(spark, tmp_path):
+    def at(*rows):
+        return spark.createDataFrame([(i, f"2024-01-01 00:{t}", job, status, 5, "m") for i, t, job, status in rows],
+                                     EVENT.replace("ts timestamp", "ts string")).withColumn("ts", F.to_timestamp("ts"))
+
+    parts = [at((1, "00:00", 1, "pending"), (2, "00:00", 2, "pending"), (3, "00:00", 3, "completed")),
+             at((4, "00:50", 2, "in_progress")), at((5, "01:30", 4, "pending")), at((6, "01:31", 4, "in_progress"))]
+    rows = _reports(spark, parts, tmp_path, stuck_after=60)
+    stuck = [(r["job_id"], str(r["ts"]), r["status"]) for r in rows.filter("kind = 'stuck'").collect()]
+    assert stuck == [(1, "2024-01-01 00:01:00", "pending")]  # job 2 spoke again, job 3 has ended
