@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from songloom.constants import MIN_SONGS_PER_CHUNK, QUERY_TEMPLATES, SAMPLES_PER_EPOCH
+from songloom.functions.permutation import permuted
 from songloom.functions.sampling import draw, draw_number
 from songloom.functions.text import first_words, passages
-from songloom.operators.groups import top_k_per_group
+from songloom.operators.groups import row_positions, top_k_per_group
 from songloom.session import settle
 
 
@@ -95,6 +96,26 @@ def shuffle_pairs(pairs: DataFrame, seed: int = 42) -> DataFrame:
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
+def numbered_pairs(pairs: DataFrame) -> DataFrame:
+    """Stored pairs with ``pair_no``, from 0, by song, kind and draw: made once, for every epoch."""
+    return row_positions(settle(pairs, "pairs"), "song_id", "kind", "draw_no", position="pair_no")
+
+
+def epoch_places(numbered: DataFrame, n: int, epoch: int, seed: int = 42) -> DataFrame:
+    """Pairs (``pair_no``, of ``n``) with their ``place`` in the order of an epoch; nothing is sorted or moved."""
+    return numbered.withColumn("place", permuted(F.col("pair_no"), n, seed, f"epoch {epoch}"))
+
+
+def epoch_shard(numbered: DataFrame, n: int, epoch: int, shard: int, shards: int, seed: int = 42) -> DataFrame:
+    """The pairs of one of ``shards`` equal stretches of an epoch's order, in that order.
+
+    All shards together are the whole epoch, each pair once. Only the shard itself is sorted.
+    """
+    placed = epoch_places(numbered, n, epoch, seed)
+    first, end = shard * n // shards, (shard + 1) * n // shards
+    return placed.filter((F.col("place") >= first) & (F.col("place") < end)).orderBy("place")
+
+
 def quota_sample(songs: DataFrame, total: int, samples_per_song: int = 1, seed: int = 42) -> DataFrame:
     """The same number of random songs from each chunk, enough of them to make ``total`` pairs.
 

@@ -292,6 +292,12 @@ def write_clean(d: Data) -> DataFrame:
     return stored.select("song_id", *chunks.POSITION, "year", "language", F.md5("lyrics").alias("lyrics_md5"))
 
 
+@query
+def write_clean_reported(d: Data) -> DataFrame:
+    """The report that the write of the cleaned corpus gives of itself."""
+    return corpus.write_clean_reported(d.songs, filters.clean_corpus, d.scratch("clean"), [1, 2, 3, 4, 5])[1]
+
+
 @query
 def flatten_playlists(d: Data) -> DataFrame:
     return matching.track_fields(matching.flatten_playlists(d.stored_pages))
@@ -705,6 +711,24 @@ def shuffle_pairs(d: Data) -> DataFrame:
         F.md5("sentence_0").alias("md5_0"), F.md5("sentence_1").alias("md5_1"))
 
 
+@query
+def epoch_order(d: Data) -> DataFrame:
+    """All training pairs with their place in the order of one epoch."""
+    numbered = pairs.numbered_pairs(pairs.training_pairs(d.texts).drop("sentence_0", "sentence_1"))
+    return pairs.epoch_places(numbered, numbered.count(), 3).select("song_id", "kind", "draw_no", "pair_no", "place")
+
+
+@query
+def epoch_shards(d: Data) -> DataFrame:
+    """The same order in two stretches, each computed for itself: the first and last pair of each."""
+    numbered = pairs.numbered_pairs(pairs.training_pairs(d.texts).drop("sentence_0", "sentence_1"))
+    n = numbered.count()
+    parts = [pairs.epoch_shard(numbered, n, 3, k, 2).groupBy(F.lit(k).alias("shard")).agg(
+        F.count("*").alias("pairs"), F.min_by("pair_no", "place").alias("first"), F.max_by("pair_no", "place").alias("last"))
+        for k in range(2)]
+    return parts[0].unionAll(parts[1])
+
+
 @query
 def union_chunks(d: Data) -> DataFrame:
     rows = d.metadata

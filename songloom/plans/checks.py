@@ -289,6 +289,24 @@ _JOB_STATUS = """
       FROM (SELECT job_id, ts, event_id, {'ts': ts, 'status': status, 'progress': progress, 'message': message} AS e
             FROM job_events) GROUP BY job_id))"""
 
+# Pairs with their number and, where t > 0 and x < n, their place x in the order of an epoch.
+_EPOCH_ORDER = """        WITH RECURSIVE numbered AS (
+          SELECT song_id, kind, draw_no, row_number() OVER (ORDER BY song_id, kind, draw_no) - 1 AS pair_no, count(*) OVER () AS n
+          FROM (SELECT song_id, kind, draw_no FROM positive WHERE draw_no = 1 UNION ALL SELECT song_id, kind, draw_no FROM synthetic)
+        ), bases AS (
+          SELECT *, (n + high - 1) // high AS low FROM (SELECT *, floor(sqrt(n - 1))::BIGINT + 1 AS high FROM numbered)
+        ), turns(song_id, kind, draw_no, pair_no, n, high, low, x, t) AS (
+          SELECT *, pair_no, 0 FROM bases
+          UNION ALL
+          SELECT song_id, kind, draw_no, pair_no, n, high, low, s.h * low + s.l, t + 1 FROM (
+            SELECT *, list_reduce(list_concat([{'h': x // low, 'l': x % low, 'k': -1::BIGINT}],
+                list_transform(range(6), lambda k: {'h': 0::BIGINT, 'l': 0::BIGINT, 'k': k})),
+              lambda a, e: CASE WHEN e.k % 2 = 0
+                THEN {'h': (a.h + ('0x' || substr(md5('42|epoch 3|' || e.k || '|' || a.l), 1, 8))::BIGINT % high) % high, 'l': a.l, 'k': e.k}
+                ELSE {'h': a.h, 'l': (a.l + ('0x' || substr(md5('42|epoch 3|' || e.k || '|' || a.h), 1, 8))::BIGINT % low) % low, 'k': e.k}
+              END) AS s FROM turns WHERE t = 0 OR x >= n)
+        )"""
+
 _INVENTORY = """SELECT c.chunk_index::INT AS chunk_index, coalesce(m.n, 0) AS metadata_rows, coalesce(v.n, 0) AS vector_rows,
       coalesce(m.n, 0) > 0 AND coalesce(v.n, 0) > 0 AS present,
       CASE WHEN coalesce(m.n, 0) > 0 AND coalesce(v.n, 0) > 0 THEN 'loaded' ELSE 'missing' END AS status
@@ -343,6 +361,9 @@ _CHECKS: dict[str, tuple[str, str]] = {
         FROM (SELECT song_id, row_number() OVER (ORDER BY song_id) - 1 AS i FROM songs) s
         JOIN (SELECT chunk_index, sum(n) OVER (ORDER BY chunk_index) - n AS start, sum(n) OVER (ORDER BY chunk_index) AS stop
               FROM (SELECT chunk_index, count(*) AS n FROM songs GROUP BY 1)) c ON s.i >= c.start AND s.i < c.stop"""),
+    "write_clean_reported": ("songs", f"""
+        SELECT chunk_index, count(*) AS rows_before, count(*) FILTER ({_KEPT}) AS rows_after,
+               count(*) = count(*) FILTER ({_KEPT}) AS none_filtered FROM songs GROUP BY chunk_index"""),
     "write_clean": ("songs", f"""
         SELECT song_id, chunk_index, original_index, year, language, md5(lyrics) AS lyrics_md5 FROM songs WHERE {_KEPT}"""),
     "flatten_playlists": ("playlist_items", f"""
@@ -539,6 +560,11 @@ _CHECKS: dict[str, tuple[str, str]] = {
           FROM ({_SAMPLE.format(total=200_000)})
           JOIN (SELECT * FROM positive WHERE draw_no = 1 UNION ALL SELECT * FROM synthetic) USING (song_id))
         WHERE pair_no <= 200000"""),
+    "epoch_order": ("positive synthetic", f"""
+        SELECT * FROM ({_EPOCH_ORDER} SELECT song_id, kind, draw_no, pair_no, x AS place FROM turns WHERE t > 0 AND x < n)"""),
+    "epoch_shards": ("positive synthetic", f"""
+        SELECT * FROM ({_EPOCH_ORDER} SELECT CASE WHEN x < n // 2 THEN 0 ELSE 1 END::INT AS shard, count(*) AS pairs, min_by(pair_no, x) AS first,
+                       max_by(pair_no, x) AS last FROM turns WHERE t > 0 AND x < n GROUP BY 1)"""),
     "shuffle_pairs": ("positive synthetic", """
         SELECT song_id, kind, draw_no, md5('42|shuffle|' || song_id || '|' || kind || '|' || draw_no) AS shuffle_key,
                md5(sentence_0) AS md5_0, md5(sentence_1) AS md5_1

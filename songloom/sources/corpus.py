@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from songloom.schema import require
@@ -24,6 +26,27 @@ def write_clean(songs: DataFrame, path: str) -> DataFrame:
     return songs.sparkSession.read.parquet(path).select(*songs.columns)
 
 
+def write_clean_reported(songs: DataFrame, keep: Callable[[DataFrame], DataFrame], path: str, chunks: list[int]
+                         ) -> tuple[DataFrame, DataFrame]:
+    """Overwrite the cleaned corpus; what is stored, and rows before and after cleaning for each chunk.
+
+    ``keep`` is the cleaning. Both counts are taken while the rows pass on their way to the files, so the
+    source is read once. Rows of other chunks than those named are counted under no chunk.
+    """
+    def counts(name: str) -> tuple[Observation, list[Column]]:
+        known = F.coalesce(F.col("chunk_index").isin(chunks), F.lit(False)) if chunks else F.lit(False)
+        return Observation(name), [*[F.count_if(F.col("chunk_index") == c).alias(f"chunk_{c}") for c in chunks], F.count_if(~known).alias("other")]
+
+    (before, asked), (after, same) = counts("rows before"), counts("rows after")
+    stored = write_clean(keep(songs.observe(before, *asked)).observe(after, *same), path)
+    seen = [(c, before.get[f"chunk_{c}"], after.get[f"chunk_{c}"]) for c in chunks]
+    if before.get["other"]:
+        seen.append((None, before.get["other"], after.get["other"]))
+    report = songs.sparkSession.createDataFrame(seen, "chunk_index int, rows_before bigint, rows_after bigint").filter(
+        "rows_before > 0").withColumn("none_filtered", F.col("rows_before") == F.col("rows_after"))
+    return stored, report
+
+
 def append_vectors(vectors: DataFrame, path: str) -> None:
     """Append vectors to those stored at ``path``; vectors of another length are an error."""
     dim = vector_length(vectors.sparkSession.read.parquet(path))

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from songloom.functions import payload, present, sampling, text
 from songloom.functions.keys import corpus_key, genre_tag, has_text, normalise_key, numeric, strip, wanted_tags
+from songloom.functions.permutation import permuted
 from songloom.functions.scores import blend, views_multiplier
 from songloom.functions.vectors import cosine, dot, l2_normalise, literal, norm
 
@@ -178,3 +179,23 @@ def test_result_id_is_stable(one):
 def test_draw_depends_on_every_part(one):
     draws = {one(sampling.draw(seed, V, F.lit(n)), "v bigint", 7) for seed in (1, 2) for n in (1, 2)}
     assert len(draws) == 4
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 10, 97, 1000])
+def test_permuted_numbers(spark, n):
+    """Every place once, whatever the key; another key, another order."""
+    orders = []
+    for key in ("epoch 1", "epoch 2"):
+        rows = spark.range(n).select("id", permuted(F.col("id"), n, 7, key).alias("place")).collect()
+        assert sorted(r["place"] for r in rows) == list(range(n))
+        orders.append([r["place"] for r in sorted(rows)])
+        alone = spark.range(n - 1, n).select(permuted(F.col("id"), n, 7, key).alias("place")).first()["place"]
+        assert alone == orders[-1][n - 1]  # by itself
+    if n > 20:
+        assert orders[0] != orders[1] and sum(abs(a - b) < n / 20 for a, b in zip(orders[0], range(n), strict=True)) < n / 4
+
+
+def test_numbers_that_are_not_to_be_permuted(spark):
+    for bad in (-1, 5):
+        with pytest.raises(Exception, match="not a number below 5"):
+            spark.range(1).select(permuted(F.lit(bad), 5, 7, "k")).collect()

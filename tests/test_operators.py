@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from songloom.constants import VIEW_EDGES
 from songloom.operators import block, chunks, encode, filters, groups, histogram, matching, pairs, rank, search
 from songloom.plans import recommend
+from songloom.sources import corpus as corpus_files
 
 SONG = "song_id bigint, title string, artist string, tag string, language string, year string, views string, " \
        "chunk_index int, original_index bigint, lyrics string"
@@ -489,3 +490,21 @@ def test_quota_sample_of_a_large_chunk_is_the_lowest_keys(spark):
     found = ids(pairs.quota_sample(rows, 400))
     lowest = rows.orderBy(draw(42, "song", F.col("song_id"))).limit(200)
     assert found == ids(lowest)
+
+
+def test_epoch_shards_are_the_epoch(spark):
+    made = spark.range(50).selectExpr("id AS song_id", "'positive' AS kind", "1 AS draw_no")
+    numbered = pairs.numbered_pairs(made.repartition(3))
+    whole = [r["song_id"] for r in pairs.epoch_places(numbered, 50, 2).orderBy("place").collect()]
+    parts = [r["song_id"] for k in range(3) for r in pairs.epoch_shard(numbered, 50, 2, k, 3).collect()]
+    assert parts == whole and sorted(whole) == list(range(50))
+    shard = pairs.epoch_places(numbered, 50, 2).filter("place < 10")
+    assert "Exchange" not in shard._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_write_reports_itself(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, "2000", "en"), (2, 1, "1700", "en"), (3, 2, "2001", "es"), (4, None, "2001", "fr"), (5, 9, "2001", "en")],
+                                 "song_id long, chunk_index int, year string, language string")
+    stored, report = corpus_files.write_clean_reported(rows, filters.clean_corpus, str(tmp_path / "out"), [1, 2, 3])
+    assert sorted(r["song_id"] for r in stored.collect()) == [1, 3, 5]
+    assert sorted(map(tuple, report.collect()), key=str) == sorted([(1, 2, 1, False), (2, 1, 1, True), (None, 2, 1, False)], key=str)
