@@ -9,8 +9,10 @@ united, also where their copies lie in different documents, so the stretches are
 Windows are dealt out in groups by a key of one of two kinds. Usually it is an 8-gram anywhere
 within the 35 words, the least one by a hash: neighbouring windows mostly share it and travel as
 one record, equal ones always meet. An 8-gram that is frequent would gather too much; its windows go by all of their 35
-words. Frequent 8-grams are counted over all documents; the ``MAX_FREQUENT`` most frequent are
-sent to the tasks (8 bytes each). Windows repeated within a block of documents are known there
+words. Frequent 8-grams are counted over all documents: blocks report those they hold often, and one
+in ``ONE_IN`` of all others, which tells those that are spread thinly over very many blocks. The
+``MAX_FREQUENT`` most frequent are sent to the tasks (8 bytes each). All records of a group that
+goes by its 35 words are alike, so they are not held together however many there are. Windows repeated within a block of documents are known there
 already, and one of each goes on to meet those of other blocks.
 
 Windows and keys are 64-bit hashes.
@@ -25,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from songloom.llm.words import SPACED, blocks, find_words, runs
+from songloom.llm.words import SPACED, blocks, find_words, give_back, mix, runs
 from songloom.session import settle
 
 # Fixed value: words of a repeat, at least.
@@ -38,6 +41,10 @@ BLOCK_BYTES = 4 << 20
 MAX_FREQUENT = 1 << 17
 # Suffixes by one 8-gram within a block that make it worth counting.
 MANY = 64
+# Of so many 8-grams a block reports one, whether it is frequent there or not.
+ONE_IN = 256
+# Records of one window that are held at a time.
+HELD = 65_536
 
 _BYTES = 8
 _PLACE = np.uint64((1 << 23) - 1)  # places within a block, which has fewer words
@@ -87,10 +94,16 @@ def _intervals(start: np.ndarray, new: np.ndarray, length: int) -> tuple[np.ndar
 def _frequent_grams(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, data, bounds in blocks(batch.column(0), BLOCK_BYTES):
-            prefix, count = np.unique(_Suffixes(data, bounds, length, gram).prefix, return_counts=True)
-            many = count >= MANY
+            suffixes = _Suffixes(data, bounds, length, gram)
+            prefix, count = np.unique(suffixes.prefix, return_counts=True)
+            # Drawn anew by each block, so that an 8-gram of many blocks is drawn in its share of them.
+            block = mix(suffixes.node.sum(keepdims=True)) if len(prefix) else prefix[:1]
+            drawn = mix(prefix ^ block) < np.uint64((1 << 64) // ONE_IN)
+            many = (count >= MANY) | drawn
             yield pa.RecordBatch.from_arrays([
-                pa.array(prefix[many].view(np.int64)), pa.array(count[many])], ["prefix", "count"])
+                pa.array(prefix[many].view(np.int64)), pa.array(np.where(count >= MANY, count, 0)[many]),
+                pa.array(np.where(drawn, count, 0)[many]), pa.array(drawn[many].astype(np.int64))], ["prefix", "count", "drawn", "draws"])
+    give_back()
 
 
 def _records(batches: Iterator[pa.RecordBatch], length: int, gram: int, sent) -> Iterator[pa.RecordBatch]:
@@ -171,7 +184,10 @@ def _deep_nodes(table: pa.Table, length: int) -> pa.RecordBatch:
 
 
 def _trees(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Repeated stretches, from records ordered by part; the last group of a batch waits for the next."""
+    """Repeated stretches, from records ordered by part; the last group of a batch waits for the next.
+
+    A group of one window only is given on as soon as it is large, but for one record that the next ones meet.
+    """
     held: list[pa.Table] = []
     for batch in batches:
         if not batch.num_rows:
@@ -187,6 +203,13 @@ def _trees(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             yield _deep_nodes(pa.concat_tables([*held, table.slice(0, cut)]).combine_chunks(), length)
             held = []
         held.append(table.slice(cut))
+        if sum(t.num_rows for t in held) > HELD:
+            group = pa.concat_tables(held).combine_chunks()
+            parts = group.filter(pc.invert(group["known"]))
+            if parts.num_rows > 1 and len(pc.unique(parts["nodes"])) == 1:
+                yield _deep_nodes(group, length)
+                held = [parts.slice(parts.num_rows - 1, 1)]
+    give_back()
     if held:
         yield _deep_nodes(pa.concat_tables(held).combine_chunks(), length)
 
@@ -220,7 +243,9 @@ def _without(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa
 
 def _most_frequent(counted: DataFrame, most: int) -> np.ndarray:
     """The prefixes that occur most, ascending, at most ``most``: all from some count on."""
-    totals = settle(counted.groupBy("prefix").agg(F.sum("count").alias("n")), "prefixes")
+    # Drawn once says nothing about an 8-gram.
+    often = F.when(F.sum("draws") > 1, F.sum("drawn") * ONE_IN).otherwise(0)
+    totals = settle(counted.groupBy("prefix").agg(F.greatest(F.sum("count"), often).alias("n")).filter(F.col("n") >= MANY), "prefixes")
     least, taken = 1 << 62, 0
     for row in totals.groupBy("n").count().orderBy(F.desc("n")).limit(most).collect():
         if taken + row["count"] > most:
@@ -232,7 +257,7 @@ def _most_frequent(counted: DataFrame, most: int) -> np.ndarray:
 def find_repeats(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(key, start, end) of stretches of words of (key, text) rows that stand elsewhere too; they may overlap."""
     counted = keyed.select("text").mapInArrow(
-        lambda batches: _frequent_grams(batches, length, gram), "prefix bigint, count bigint")
+        lambda batches: _frequent_grams(batches, length, gram), "prefix bigint, count bigint, drawn bigint, draws bigint")
     sent = keyed.sparkSession.sparkContext.broadcast(_most_frequent(counted, MAX_FREQUENT))
     records = keyed.select("key", "text").mapInArrow(
         lambda batches: _records(batches, length, gram, sent),

@@ -387,3 +387,25 @@ def test_the_stretchwise_choice_of_prefixes_is_the_same(rows, monkeypatch):
     monkeypatch.setattr(repeats, "_PLACE", np.uint64((1 << 23) - 1))
     grams = words.runs(words.find_words(data, bounds, words.SPACED, False).hashes(), 8)
     assert (repeats._Suffixes._least(grams, usual.at, 28) == usual.place).all()
+
+
+def test_a_passage_once_in_each_block_is_not_gathered():
+    """Its 8-grams are noticed though no block holds one often, and records of one window pass by in parts."""
+    passage = " ".join(f"common{i}" for i in range(60))
+    draws = collections.Counter()
+    for block in range(1500):
+        (batch,) = repeats._frequent_grams(iter([pa.RecordBatch.from_arrays([pa.array([f"{passage} own{block}"])], ["text"])]), 35, 8)
+        for r in batch.to_pylist():
+            assert not r["count"]
+            draws[r["prefix"]] += r["draws"]
+    # Windows of the passage have a few least 8-grams; those are found, all others are not.
+    assert 1 <= sum(n > 1 for n in draws.values()) <= 26
+
+    n = 3 * repeats.HELD
+    record = np.array([77], np.uint64).tobytes()
+    table = pa.table({"part": [77] * n + [78], "key": list(range(n)) + [5], "start": [3] * n + [0], "known": [False] * (n + 1),
+                      "nodes": pa.array([record] * n + [np.array([1, 2], np.uint64).tobytes()], pa.binary())})
+    given = list(repeats._trees(iter(table.to_batches(max_chunksize=10_000)), 35))
+    assert max(b.num_rows for b in given) < 2 * repeats.HELD
+    assert {k for b in given for k in b.column(0).to_pylist()} == set(range(n))
+    assert {(a, z) for b in given for a, z in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)} == {(3, 38)}
