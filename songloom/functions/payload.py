@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,8 +16,8 @@ def unfence(text: Column) -> Column:
     return F.replace(F.replace(strip(text), F.lit("```json"), F.lit("")), F.lit("```"), F.lit(""))
 
 
-def _one_object(text: Column) -> Column:
-    """The text, if it is one JSON object and nothing else.
+def _one_object(text: Column, value: Callable[[Column], Column]) -> Column:
+    """``value`` of a text that is one JSON object and nothing else; it gets the object as ``$.one``.
 
     JSON readers ignore what follows the first value. Put into a list and into an object, a
     text that holds more than one value, or a stray bracket, breaks at least one of the two.
@@ -24,19 +26,20 @@ def _one_object(text: Column) -> Column:
     held = F.try_parse_json(F.concat(F.lit('{"one": '), text, F.lit("}")))
     single = F.schema_of_variant(F.try_variant_get(held, "$.one", "variant")).startswith("OBJECT")
     alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
-    return F.when(text.rlike(r"(?s)^\s*\{.*\}\s*$") & alone & single & listed.isNotNull(), text)
+    return F.when(text.rlike(r"(?s)^\s*\{.*\}\s*$") & alone & single & listed.isNotNull(), value(held))
 
 
 def parse_score(response: Column) -> Column:
     """Score in a JSON response, cut to 0-100; anything unreadable scores 0."""
-    parsed = F.try_parse_json(_one_object(unfence(response)))
-    number = F.coalesce(F.try_variant_get(parsed, "$.score", "bigint"), F.lit(0))
+    found = _one_object(unfence(response), lambda held: F.try_variant_get(held, "$.one.score", "bigint"))
+    number = F.coalesce(found, F.lit(0))
     return F.greatest(F.least(number, F.lit(100)), F.lit(0)).cast("int")
 
 
 def parse_phrases_json(response: Column) -> Column:
     """Phrases in a JSON object with a ``queries`` list; unreadable responses give none."""
-    parsed = F.from_json(_one_object(unfence(response)), "queries ARRAY<STRING>")
+    text = unfence(response)
+    parsed = F.from_json(_one_object(text, lambda _: text), "queries ARRAY<STRING>")
     return F.coalesce(parsed["queries"], F.array().cast("array<string>"))
 
 

@@ -731,7 +731,8 @@ def epoch_shards(d: Data) -> DataFrame:
 
 @query
 def union_chunks(d: Data) -> DataFrame:
-    rows = d.metadata
+    # Stored by chunk first, so that each part reads its own folder.
+    rows = corpus.write_clean(d.metadata, d.scratch("metadata"))
     numbers = [r["chunk_index"] for r in rows.select("chunk_index").distinct().collect()]
     parts = {n: rows.filter(F.col("chunk_index") == n).drop("chunk_index") for n in numbers}
     return chunks.union_chunks(parts).select("song_id", "title", "artist", "chunk_index", "original_index")
