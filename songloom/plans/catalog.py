@@ -26,7 +26,7 @@ from songloom.constants import (
 from songloom.functions import payload, present, scores, text, vectors
 from songloom.functions.keys import genre_tag, numeric
 from songloom.functions.vectors import norm
-from songloom.operators import block, chunks, encode, filters, histogram, matching, pairs, rank, scoring, search, title_index
+from songloom.operators import block, chunks, encode, filters, histogram, matching, pairs, rank, scoring, search, snapshots, title_index
 from songloom.plans import recommend as plan
 from songloom.plans.views import register
 from songloom.session import keep, scratch_path, settle, spread, tune
@@ -860,6 +860,18 @@ def embed_texts(d: Data) -> DataFrame:
         F.round(norm(vector), 4).alias("length"), F.round(checksum(vector), 3).alias("checksum"))
 
 
+@query
+def embed_snapshots(d: Data) -> DataFrame:
+    """Vectors after two updates: some lyrics were drafts at first, some songs came later, some are gone again."""
+    path, songs = d.scratch("snapshots"), d.texts.select("song_id", "lyrics")
+    draft = F.when(F.col("song_id") % 9 == 0, F.concat("lyrics", F.lit(" draft"))).otherwise(F.col("lyrics"))
+    gone = songs.filter("song_id % 50 = 1").withColumn("song_id", F.col("song_id") + 1_000_000_000)
+    snapshots.update_snapshot(songs.filter("song_id % 10 <> 3").withColumn("lyrics", draft).unionAll(gone), path)
+    snapshots.update_snapshot(songs, path)
+    now = snapshots.read_snapshot(d.spark, path)
+    return now.select("song_id", "lyrics_hash", "delta", F.round(checksum(F.col("embedding")), 3).alias("checksum"))
+
+
 @query
 def score_relevance(d: Data) -> DataFrame:
     rows = spread(d.asked_songs, "song_id")
@@ -941,6 +953,25 @@ def job_machine_stream(d: Data) -> DataFrame:
     return machine.latest_states(d.spark.read.parquet(output))
 
 
+@query
+def recommend_stages_stream(d: Data) -> DataFrame:
+    """Requests answered stage by stage; some are cancelled ahead of the first stage, some ahead of the third.
+
+    Both outputs read back: how far each request came, and how many songs it got.
+    """
+    arriving, output, told = d.scratch("requests-in"), d.scratch("answers-out"), d.scratch("progress-out")
+    asked = settle(d.genre_requests, "requests")
+    asked.repartitionByRange(2, "request_id").write.parquet(arriving)
+    from_stage = F.when(F.col("request_id") % 5 == 0, 0).when(F.col("request_id") % 5 == 1, 2)
+    stream = d.spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    requests.staged_stream(
+        stream, plan.recommend_stages(settle(d.page_tracks, "tracks"), d.key_index, d.lyric_vectors, d.song_lyrics),
+        lambda no: asked.filter(from_stage <= no), output, told, d.scratch("answers-checkpoint")).awaitTermination()
+    answers = d.spark.read.parquet(output).groupBy("request_id").agg(F.count(F.lit(1)).alias("songs"))
+    far = requests.latest_progress(d.spark.read.parquet(told))
+    return far.join(answers, "request_id", "left").fillna(0, ["songs"])
+
+
 @query
 def recommend_stream(d: Data) -> DataFrame:
     """Requests that arrive as files, answered batch by batch."""

@@ -643,6 +643,9 @@ _CHECKS: dict[str, tuple[str, str]] = {
         FROM job_events"""),
     "embed_texts": ("encodings", """
         SELECT song_id, 256 AS dim, nonzero::INT AS nonzero, 1.0::DOUBLE AS length, round(checksum, 3) AS checksum FROM encodings"""),
+    "embed_snapshots": ("encodings songs", f"""
+        SELECT e.song_id, sha256(s.lyrics) AS lyrics_hash, CASE WHEN e.song_id % 9 = 0 OR e.song_id % 10 = 3 THEN 2 ELSE 1 END::INT AS delta,
+               round(e.checksum, 3) AS checksum FROM encodings e JOIN songs s ON s.song_id = e.song_id"""),
     "score_relevance": ("asked_songs ask_lists word_lists", """
         SELECT s.song_id, CASE WHEN s.lyrics IS NULL THEN NULL ELSE
                  floor(100.0 * len(list_intersect(asked, coalesce(words, []))) / greatest(len(asked), 1))::INT END AS relevance
@@ -669,6 +672,13 @@ _CHECKS: dict[str, tuple[str, str]] = {
                     'created_at': coalesce(a.created_at, e.created_at), 'updated_at': e.updated_at, 'refused': a.refused, 'unknown': a.unknown}
               END) AS s
           FROM job_events GROUP BY job_id)"""),
+    "recommend_stages_stream": ("openings " + _SERVICE_READS, f"""
+        SELECT o.request_id, CASE WHEN o.request_id % 5 < 2 THEN 'cancelled' ELSE 'completed' END AS status,
+               CASE WHEN o.request_id % 5 < 2 THEN 0 ELSE 100 END::INT AS progress,
+               CASE WHEN o.request_id % 5 < 2 THEN 'Job cancelled by user' ELSE 'Playlist created successfully!' END AS message,
+               CASE o.request_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 4 END::BIGINT AS told,
+               CASE WHEN o.request_id % 5 < 2 THEN 0 ELSE coalesce(n, 0) END::BIGINT AS songs
+        FROM openings o LEFT JOIN (SELECT request_id, count(*) AS n FROM ({_SERVICE}) GROUP BY 1) s USING (request_id)"""),
     "recommend_stream": (_SERVICE_READS, _SERVICE),
 }
 

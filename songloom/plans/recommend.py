@@ -27,6 +27,7 @@ from songloom.operators.rank import fetch_lyrics, rerank_neutral, rerank_strict
 from songloom.operators.search import best_first, rank_pairs, with_popularity, with_vector
 from songloom.session import settle
 from songloom.sources.key_index import MATCH_KEY
+from songloom.streaming.requests import Stage
 from songloom.sources.corpus import vector_length
 
 # A name shared by this many (request, song) pairs or more is scored block by block.
@@ -120,6 +121,29 @@ def _describe(requests, names, hits, lyrics, scorer, rerank, top_k) -> DataFrame
         "streams", streams(F.col("views"))).select(*RESULT)
 
 
+def recommend_stages(tracks: DataFrame, songs: DataFrame, vectors: DataFrame, lyrics: DataFrame, top_k: int = TOP_K_SERVICE,
+                     depth: int = RERANK_DEPTH, scorer: Scorer | None = None, encoder: Callable[[], Encoder] | None = None
+                     ) -> list[Stage]:
+    """The steps of :func:`recommend`, for :func:`songloom.streaming.requests.staged_stream`.
+
+    Each works on the requests that are still wanted then: what an earlier step found for others is left aside.
+    """
+    def find(requests: DataFrame, _: object) -> tuple[DataFrame, Matched]:
+        asked = settle(encoded(requests, encoder, vector_length(vectors) or HASH_DIM), "requests")
+        return asked, match(asked, tracks, songs)
+
+    def search(requests: DataFrame, left: tuple[DataFrame, Matched]) -> tuple[DataFrame, DataFrame, DataFrame]:
+        asked = left[0].join(requests.select("request_id"), "request_id", "left_semi")
+        names = left[1].wanted().join(requests.select("request_id"), "request_id", "left_semi")
+        return asked, names, settle(vector_hits(asked, names, left[1].songs, vectors, depth, OVERFETCH_CANDIDATES), "hits")
+
+    def judge(requests: DataFrame, left: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+        asked, names, hits = (rows.join(requests.select("request_id"), "request_id", "left_semi") for rows in left)
+        return settle(_describe(asked, names, hits, lyrics, scorer, rerank_neutral, top_k), "answers")
+
+    return [Stage("Finding candidates", 20, find), Stage("Searching songs", 50, search), Stage("Ranking songs", 80, judge)]
+
+
 def recommend(requests: DataFrame, tracks: DataFrame, songs: DataFrame, vectors: DataFrame, lyrics: DataFrame,
               top_k: int = TOP_K_SERVICE, depth: int = RERANK_DEPTH, scorer: Scorer | None = None,
               matched: Matched | None = None, encoder: Callable[[], Encoder] | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from songloom.streaming import machine
+from songloom.streaming import machine, requests
 from songloom.streaming.jobs import job_status, stream_job_status
 from songloom.streaming.requests import recommend_stream
 
@@ -52,9 +52,9 @@ def test_job_status_stream_equals_batch(spark, events, tmp_path):
 
 
 def test_recommend_stream_stores_each_answer_once(spark, tmp_path):
-    requests = spark.range(6).withColumnRenamed("id", "request_id")
-    requests.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    asked = spark.range(6).withColumnRenamed("id", "request_id")
+    asked.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     for _ in range(2):  # a restart finds nothing new
         recommend_stream(stream, lambda batch: batch.withColumn("rank", F.lit(1)), str(tmp_path / "out"),
                          str(tmp_path / "checkpoint")).awaitTermination()
@@ -105,3 +105,27 @@ def test_silent_jobs_are_reported(spark, tmp_path):
     rows = _reports(spark, parts, tmp_path, stuck_after=60)
     stuck = [(r["job_id"], str(r["ts"]), r["status"]) for r in rows.filter("kind = 'stuck'").collect()]
     assert stuck == [(1, "2024-01-01 00:01:00", "pending")]  # job 2 spoke again, job 3 has ended
+
+
+def test_stages_tell_and_drop_what_is_cancelled(spark, tmp_path):
+    """Cancelled ahead of a stage: told so, and neither worked on nor answered from there on."""
+    asked = spark.range(8).withColumnRenamed("id", "request_id")
+    asked.coalesce(1).write.parquet(str(tmp_path / "in"))
+    worked = []
+
+    def step(wanted, left):
+        worked.append(sorted(r["request_id"] for r in wanted.collect()))
+        return wanted.withColumn("rank", F.lit(len(worked)))
+
+    stages = [requests.Stage("first", 30, step), requests.Stage("second", 60, step)]
+    stream = spark.readStream.schema(asked.schema).parquet(str(tmp_path / "in"))
+    for _ in range(2):  # a restart finds nothing new
+        requests.staged_stream(
+            stream, stages, lambda no: asked.filter(F.col("request_id") < 2 * no), str(tmp_path / "out"), str(tmp_path / "told"),
+            str(tmp_path / "checkpoint")).awaitTermination()
+    assert worked == [list(range(8)), list(range(2, 8))]
+    assert sorted(r["request_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [4, 5, 6, 7]
+    far = {r["request_id"]: (r["status"], r["progress"], r["told"]) for r in requests.latest_progress(
+        spark.read.parquet(str(tmp_path / "told"))).collect()}
+    assert far == {**{i: ("cancelled", 0, 2) for i in (0, 1)}, **{i: ("cancelled", 0, 3) for i in (2, 3)},
+                   **{i: ("completed", 100, 3) for i in (4, 5, 6, 7)}}
