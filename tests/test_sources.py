@@ -126,6 +126,29 @@ def test_npy_is_read_in_ranges(spark, tmp_path, dtype):
     assert npy.scan_npy(spark, str(tmp_path), chunks=[4]).count() == 3
 
 
+def test_npy_filters_reach_the_files(spark, tmp_path):
+    for chunk in (1, 2):
+        np.save(tmp_path / f"embeddings_chunk_{chunk}.npy", np.arange(200, dtype="<f4").reshape(100, 2) * chunk)
+    np.save(tmp_path / "embeddings_chunk_2.from_100.npy", np.ones((50, 2), "<f4"))
+    (tmp_path / "embeddings_chunk_9.npy").write_text("not a matrix, and not to be opened")
+    rows = npy.scan_npy(spark, str(tmp_path), rows_per_task=10).filter("chunk_index = 2 AND original_index >= 95 AND original_index < 107")
+    assert rows.rdd.getNumPartitions() == 2  # five rows of one file, seven of the next
+    assert sorted(r["original_index"] for r in rows.collect()) == list(range(95, 107))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" not in plan.split("BatchScan")[0]
+    some = npy.scan_npy(spark, str(tmp_path)).filter("chunk_index IN (1, 2) AND original_index = 3 AND embedding[0] > 7")
+    assert [(r["chunk_index"], r["embedding"][0]) for r in some.collect()] == [(2, 12.0)]
+    assert npy.scan_npy(spark, str(tmp_path), chunks=[1]).filter("chunk_index = 2").count() == 0
+
+
+def test_npy_that_cannot_be_written_leaves_no_file(spark, tmp_path):
+    rows = spark.range(40).selectExpr("1 AS chunk_index", "IF(id < 35, id, id + 1) AS original_index", "array(1f, 2f) AS embedding")
+    with pytest.raises(Exception, match="has gaps after row 30"):
+        npy.write_npy(rows, str(tmp_path / "v"), rows_per_file=10)
+    assert list((tmp_path / "v").iterdir()) == []
+    assert npy.write_npy(rows.limit(0), str(tmp_path / "w")) == 0 and list((tmp_path / "w").iterdir()) == []
+
+
 def test_npy_rejects_other_shapes(spark, tmp_path):
     np.save(tmp_path / "embeddings_chunk_1.npy", np.zeros(3))
     with pytest.raises(Exception, match="row-ordered matrix"):
