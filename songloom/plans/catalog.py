@@ -26,7 +26,7 @@ from songloom.constants import (
 from songloom.functions import payload, present, scores, text, vectors
 from songloom.functions.keys import genre_tag, numeric
 from songloom.functions.vectors import norm
-from songloom.operators import block, chunks, encode, filters, histogram, matching, pairs, rank, scoring, search, snapshots, title_index
+from songloom.operators import block, chunks, encode, filters, histogram, matching, pairs, pruned, rank, scoring, search, snapshots, title_index
 from songloom.plans import recommend as plan
 from songloom.plans.views import register
 from songloom.session import keep, scratch_path, settle, spread, tune
@@ -626,6 +626,13 @@ def topk_batch(d: Data) -> DataFrame:
     return _shown(block.topk_batch(d.song_vectors, d.label_queries), "query_id", "rank")
 
 
+@query
+def topk_batch_pruned(d: Data) -> DataFrame:
+    """The same from stored groups, those skipped that cannot hold one of the best."""
+    songs = d.song_vectors
+    return _shown(pruned.topk_pruned(pruned.store_groups(songs), songs, d.label_queries), "query_id", "rank")
+
+
 @query
 def topk_batch_two_stage(d: Data) -> DataFrame:
     return _shown(block.topk_batch(d.song_vectors, d.label_queries, fused=False), "query_id", "rank")

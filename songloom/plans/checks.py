@@ -682,11 +682,13 @@ _CHECKS: dict[str, tuple[str, str]] = {
     "recommend_stream": (_SERVICE_READS, _SERVICE),
 }
 
+_CHECKS["topk_batch_pruned"] = _CHECKS["topk_batch"]
+
 # Lengths and row numbers are 32-bit in Spark, 64-bit here.
 _NARROW: dict[str, list[str]] = {
     "chars": ["scan_lyrics_csv", "clean_corpus", "fetch_lyrics", "dedup_corpus", "passages", "truncate_lyrics",
               "render_prompt", "clean_lyrics"],
-    "rank": ["topk_batch", "topk_batch_two_stage", "rerank_neutral", "rerank_strict", "recommend", "recommend_cli",
+    "rank": ["topk_batch", "topk_batch_pruned", "topk_batch_two_stage", "rerank_neutral", "rerank_strict", "recommend", "recommend_cli",
              "recommend_stream", "rank_results", "pick_playlist_in_range"],
     "sample_no": ["quota_sample"],
 }
