@@ -235,7 +235,7 @@ def test_pipeline_is_registered():
 
     queries = __spark_entry__.queries()
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in queries if re.match(r"op\d+_", name))
-    assert numbers == list(range(1, 11)) and "pipeline" in queries
+    assert numbers == list(range(1, 14)) and "pipeline" in queries
 
 
 def _stage(spark, stage, rows: list[tuple]) -> list[tuple]:
