@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from songloom.llm.features import Grams, add_columns, frequencies, letters, products
+from songloom.llm.words import give_back
 from songloom.operators.groups import top_k_per_group
 
 UNKNOWN = "und"
@@ -33,6 +34,8 @@ PIECES = ((24, 60), (60, 200))  # bytes of the short pieces that are learned fro
 TABLES = (Grams(letters, 3, 4096), Grams(letters, 2, 1024))
 STEPS = 600
 BATCH = 64
+# Rows of features that are made at once.
+ROWS_AT_ONCE = 256
 
 # Languages by family; one that is not here is a family of its own.
 FAMILIES = {
@@ -102,12 +105,13 @@ def separate(x: np.ndarray, y: np.ndarray, seed: int) -> tuple[np.ndarray, float
         return w, float(np.sign(y.sum()))
     for step in range(1, STEPS + 1):
         rows = np.concatenate([rng.choice(s, BATCH // 2) for s in sides])
-        wrong = rows[y[rows] * (x[rows] @ w + b) < 1]
+        seen = x[rows].astype(np.float32)
+        wrong = y[rows] * (seen @ w + b) < 1
         rate = 1.0 / (1.0 + 0.02 * step)
         w *= 1.0 - rate * lam
-        if len(wrong):
-            w += rate / BATCH * (y[wrong] @ x[wrong])
-            b += rate / BATCH * 0.1 * float(y[wrong].sum())
+        if wrong.any():
+            w += rate / BATCH * (y[rows[wrong]] @ seen[wrong])
+            b += rate / BATCH * 0.1 * float(y[rows[wrong]].sum())
         if step > STEPS // 2:
             total += w
             b_total += b
@@ -148,21 +152,27 @@ def fit(sample: list[tuple[str, str]], seed: int = 3) -> Model:
     if not languages:
         model.weights = np.zeros((size, 0), np.float32)
         return model
-    x = frequencies(texts, TABLES)
+    parts = [slice(a, a + ROWS_AT_ONCE) for a in range(0, len(texts), ROWS_AT_ONCE)]
+    mean = sum(frequencies(texts[part], TABLES).sum(axis=0, dtype=np.float64) for part in parts) / len(texts)
     # Rare n-grams count as much as common ones.
-    spread = (1.0 / np.sqrt(x.mean(axis=0) + 1e-5)).astype(np.float32)
-    x *= spread
+    spread = (1.0 / np.sqrt(mean + 1e-5)).astype(np.float32)
+    # Half precision is enough to learn from, and half the memory of the driver.
+    x = np.empty((len(texts), size), np.float16)
+    for part in parts:
+        x[part] = frequencies(texts[part], TABLES) * spread
     family, label = np.array([model.family(x) for x in labels]), np.array(labels)
     found = [np.where(family == f, 1.0, -1.0) for f in model.families]
     found += [np.where(label == a, 1.0, np.where(label == b, -1.0, 0.0)) for a, b in model.pairs]
     weights, bias, scale = [], [], []
     for k, y in enumerate(found):
         w, b = separate(x, y.astype(np.float32), seed + k)
-        margin = np.abs(x @ w + b)[y != 0]
+        margin = np.abs(np.concatenate([x[part].astype(np.float32) @ w for part in parts]) + b)[y != 0]
         weights.append(w * spread)
         bias.append(b)
         scale.append(max(float(np.median(margin)), 1e-6))
     model.weights, model.bias, model.scale = np.stack(weights, axis=1), np.array(bias), np.array(scale)
+    del x, texts
+    give_back()
     return model
 
 
