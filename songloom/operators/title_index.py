@@ -1,9 +1,11 @@
-"""Titles searched by many terms at once, through an index of their three-letter runs.
+"""Titles searched by many terms at once, through an index of their pieces of some lengths.
 
 A term is a pattern. What any title that it matches must contain can be read off it: runs of plain
-characters that are not optional. Their three-letter runs are looked up in stored postings, the
-rarest ones of each term; only titles that have them all are tested with the pattern itself. So the
-work grows with what the terms have in common with titles, not with terms times titles.
+characters that are not optional. The longest pieces of a run that are stored are looked up in the
+postings, the rarest one of each term; only titles that have it are tested with the pattern itself.
+Lengths double, so a piece is more than half as long as its run up to the longest: the more titles
+there are to tell apart, the longer the runs that do so, and the work grows with what the terms
+have in common with titles, not with terms times titles.
 
 A term from which nothing can be read (``a.c``, ``one|two``, ``..``) is tested against every title,
 as the plain form does; such terms are kept apart, in blocks of ``PLAIN_TERMS``.
@@ -22,9 +24,10 @@ from pyspark.sql import functions as F
 
 from songloom.session import settle
 
-GRAM = 3
-# Three-letter runs of a term that are looked up, the rarest ones.
-LOOKED_UP = 3
+# Lengths of the pieces of titles that are stored. A title has fewer pieces of each than characters.
+GRAMS = (3, 6, 12, 24)
+# Pieces of a term that are looked up, the rarest ones.
+LOOKED_UP = 1
 PLAIN_TERMS = 500
 
 # What makes the character or group before it optional or repeated, and what is no plain character.
@@ -91,17 +94,25 @@ def required_runs(pattern: str) -> list[str]:
 
 
 def term_grams(pattern: str) -> list[str]:
-    """Three-letter runs, lower-cased, that every match has; none where that cannot be told."""
-    return sorted({run[i:i + GRAM].lower() for run in required_runs(pattern) for i in range(len(run) - GRAM + 1)
-                   if run[i:i + GRAM].isascii()})
+    """Pieces, lower-cased, that every match has, of each run the longest ones stored; none where that cannot be told."""
+    pieces = set()
+    for run in required_runs(pattern):
+        for plain in re.findall(r"[\x00-\x7F]+", run):
+            gram = max((n for n in GRAMS if n <= len(plain)), default=0)
+            pieces.update(plain[i:i + gram].lower() for i in range(len(plain) - gram + 1) if gram)
+    return sorted(pieces)
 
 
 def _grams(text: Column) -> Column:
-    """The different three-letter runs of a text."""
+    """The different pieces of a text."""
     lowered = F.lower(text)
-    starts = F.when(F.length(lowered) >= GRAM, F.sequence(F.lit(1), F.length(lowered) - GRAM + 1)).otherwise(
-        F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(lowered, i, F.lit(GRAM))))
+
+    def pieces(gram: int) -> Column:
+        starts = F.when(F.length(lowered) >= gram, F.sequence(F.lit(1), F.length(lowered) - gram + 1)).otherwise(
+            F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.substring(lowered, i, F.lit(gram))))
+
+    return F.concat(*[pieces(gram) for gram in GRAMS])
 
 
 def store_title_index(songs: DataFrame) -> DataFrame:
@@ -125,14 +136,14 @@ def _tested(title: Column, term: Column) -> Column:
 
 
 def candidate_pairs(terms: DataFrame, index: DataFrame) -> DataFrame:
-    """(term, song_id) for titles that have the rarest three-letter runs of a term (term, grams)."""
+    """(term, song_id) for titles that have the rarest piece of a term (term, grams)."""
     asked = terms.select("term", F.explode("grams").alias("gram"))
     wanted = settle(asked, "term-grams")
     counts = index.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(
         F.count(F.lit(1)).alias("titles"))
     rarest = wanted.join(settle(counts, "gram-counts"), "gram", "left").groupBy("term").agg(
         F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("titles", F.lit(0)).alias("titles"), "gram"))), 1, LOOKED_UP).alias("g"))
-    # A term's list has a few letters; one of its runs that no title has means no match.
+    # A term's list has a few letters; one of its pieces that no title has means no match.
     looked_up = rarest.filter(F.col("g")[0]["titles"] > 0).select("term", F.size("g").alias("needed"), F.explode("g.gram").alias("gram"))
     found = index.join(settle(looked_up, "looked-up"), "gram").groupBy("term", "song_id").agg(
         F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed"))

@@ -76,3 +76,22 @@ def test_no_terms_and_no_songs(spark, songs):
     assert title_index.match_terms(songs, _terms(spark, ["x"]).limit(0), index).count() == 0
     empty = songs.limit(0)
     assert title_index.match_terms(empty, _terms(spark, ["song", ".."]), title_index.store_title_index(empty)).count() == 0
+
+
+def test_postings_looked_up_grow_with_the_titles(spark):
+    """Titles and terms that differ in their numbers only: the rarest piece of a term has few postings, however many there are."""
+    def looked_up(n):
+        titles = spark.range(n).select(F.col("id").alias("song_id"), F.format_string("  Song %d ", F.col("id") * 7919 % 900_000 + 100_000).alias("title"))
+        read = title_index._with_grams(titles.select(F.upper(F.trim("title")).alias("term")))
+        postings = title_index.store_title_index(titles).groupBy("gram").count()
+        found = read.select("term", F.explode("grams").alias("gram")).join(postings, "gram").groupBy("term").agg(F.min("count").alias("n"))
+        return found.agg(F.sum("n")).first()[0]
+
+    assert looked_up(2_000) <= 2 * 2_000 and looked_up(8_000) <= 2 * 8_000
+
+
+def test_pieces_of_every_length(spark):
+    words = ["abc", "abcdef", "abcdefghijkl", "abcdefghijklmnopqrstuvwx", "abcdefghijklmnopqrstuvwxyz0123", "xabcdefghijklmnopqrst", "abcdéfghi", "ABCDE"]
+    songs = spark.createDataFrame(list(enumerate(words)), "song_id long, title string")
+    found = title_index.match_terms(songs, _terms(spark, words), title_index.store_title_index(songs)).select("term", "song_id").collect()
+    assert sorted(map(tuple, found)) == sorted((t, i) for t in words for i, w in enumerate(words) if re.search("(?ai)" + t, w))
