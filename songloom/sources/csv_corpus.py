@@ -34,8 +34,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from songloom.constants import LYRICS_FILE_PATTERN, METADATA_FILE_PATTERN
 from songloom.session import qualified, scratch_path
 
-# Bytes of a file that one task reads.
+# Bytes of a file that one task reads, and how many of them it holds at a time (more where a record is longer).
 RANGE_BYTES = 32 << 20
+STRETCH_BYTES = 1 << 20
 
 _TEXT = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "mode": "FAILFAST"}
 _QUOTE, _LINE_END, _RETURN = b'"\n\r'
@@ -53,12 +54,47 @@ def _record_starts(data: np.ndarray, at_end: bool) -> tuple[int, list[np.ndarray
     Empty lines are no records.
     """
     n = len(data) - 1 if at_end else len(data) - 3
-    quotes = np.concatenate([[0], np.cumsum(data[1:n + 1] == _QUOTE)])
     ends = np.flatnonzero(data[:n] == _LINE_END)
-    starts, odd = ends + 1, quotes[ends] & 1
+    at = np.flatnonzero(data[1:n + 1] == _QUOTE) + 1
+    starts, odd = ends + 1, np.searchsorted(at, ends, side="right") & 1
     following = np.concatenate([data, np.zeros(1, np.uint8)])
     some = (following[starts] != _LINE_END) & ((following[starts] != _RETURN) | (following[starts + 1] != _LINE_END))
-    return int(quotes[-1]), [starts[some & (odd == state)] for state in (0, 1)]
+    return len(at), [starts[some & (odd == state)] for state in (0, 1)]
+
+
+@dataclass
+class _Counted:
+    """Quotes of the bytes so far and, for either case of their beginning, the first record's place and how many there are."""
+
+    quotes: int
+    first: list[int]
+    records: list[int]
+
+    def add(self, quotes: int, starts: list[np.ndarray]) -> None:
+        for state in (0, 1):
+            own = starts[state ^ (self.quotes & 1)]
+            if len(own) and not self.records[state]:
+                self.first[state] = int(own[0])
+            self.records[state] += len(own)
+        self.quotes += quotes
+
+
+def _count_records(file, size: int, begin: int, end: int, after: int) -> _Counted:
+    """Quotes and records of the bytes from ``begin`` to ``end``, a stretch at a time; records begin at ``after`` or later."""
+    counted = _Counted(0, [-1, -1], [0, 0])
+    for at in range(begin, end, STRETCH_BYTES):
+        to, before = min(end, at + STRETCH_BYTES), max(0, at - 1)
+        file.seek(before)
+        data = np.frombuffer(file.read(min(size, to + 2) - before), np.uint8)
+        if at == 0:  # as if a line had ended ahead of the file
+            data = np.concatenate([np.array([_LINE_END], np.uint8), data])
+            before = -1
+        if to < size:
+            # Short of the end of the file by one byte only: no second byte behind the stretch.
+            data = np.concatenate([data, np.zeros(max(0, to - before + 2 - len(data)), np.uint8)])
+        quotes, starts = _record_starts(data, to >= size)
+        counted.add(quotes, [s[s + before >= after] + before for s in starts])
+    return counted
 
 
 def _first_record(file, size: int) -> bytes:
@@ -81,23 +117,32 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             system, path = fs.FileSystem.from_uri(row["path"])
             with system.open_input_file(path) as file:
                 header = _first_record(file, row["size"]) if row["block"] == 0 else None
-                before = max(0, row["begin"] - 1)
-                file.seek(before)
-                data = np.frombuffer(file.read(min(row["size"], row["end"] + 2) - before), np.uint8)
-            at_end = row["end"] >= row["size"]
-            if row["begin"] == 0:  # as if a line had ended ahead of the file
-                data = np.concatenate([np.array([_LINE_END], np.uint8), data])
-                before = -1
-            if not at_end:
-                # Short of the end of the file by one byte only: no second byte behind the block.
-                data = np.concatenate([data, np.zeros(max(0, row["end"] - before + 2 - len(data)), np.uint8)])
-            quotes, starts = _record_starts(data, at_end)
-            if header is not None:
-                starts = [s[s + before >= len(header)] for s in starts]
+                counted = _count_records(file, row["size"], row["begin"], row["end"], len(header or b""))
             yield pa.RecordBatch.from_pylist([{
-                "path": row["path"], "block": row["block"], "begin": row["begin"], "end": row["end"], "quotes": quotes,
-                "first": [int(s[0]) + before if len(s) else -1 for s in starts], "records": [len(s) for s in starts],
-                "header": header}], schema=_SUMMARY)
+                "path": row["path"], "block": row["block"], "begin": row["begin"], "end": row["end"], "quotes": counted.quotes,
+                "first": counted.first, "records": counted.records, "header": header}], schema=_SUMMARY)
+
+
+def _record_stretches(file, begin: int, end: int) -> Iterator[bytes]:
+    """The bytes from ``begin`` to ``end``, which are whole records, in stretches that are whole records too."""
+    file.seek(begin)
+    left, open_, inside = end - begin, [], 0
+    while left > 0:
+        data = file.read(min(left, STRETCH_BYTES))
+        if not data:
+            break
+        left -= len(data)
+        flat = np.frombuffer(data, np.uint8)
+        quotes, ends = np.flatnonzero(flat == _QUOTE), np.flatnonzero(flat == _LINE_END)
+        outside = ends[(np.searchsorted(quotes, ends) + inside) % 2 == 0]
+        inside ^= len(quotes) & 1
+        if len(outside):
+            cut = int(outside[-1]) + 1
+            yield b"".join([*open_, data[:cut]])
+            open_, data = [], data[cut:]
+        open_.append(data)
+    if any(open_):
+        yield b"".join(open_)
 
 
 @dataclass
@@ -165,9 +210,19 @@ class CsvRangeReader(DataSourceReader):
         if partition is None:  # Spark asks for one partition where there is none
             return
         system, path = fs.FileSystem.from_uri(partition.path)
+        rows = 0
         with system.open_input_file(path) as file:
-            file.seek(partition.begin)
-            data = file.read(partition.end - partition.begin)
+            for data in _record_stretches(file, partition.begin, partition.end):
+                if not data.strip(b"\r\n"):  # empty lines are no records
+                    continue
+                whole = self._table(data, partition, partition.row + rows)
+                rows += whole.num_rows
+                yield from whole.to_batches(max_chunksize=10_000)
+        if rows != partition.rows:
+            raise ValueError(f"{partition.path} from byte {partition.begin} has {rows} rows, not {partition.rows}")
+
+    def _table(self, data: bytes, partition: CsvRange, row: int) -> pa.Table:
+        """Whole records as rows, the first being row ``row`` of its chunk."""
         kept = [c for c in self.columns if c in partition.header]
         table = arrow_csv.read_csv(
             pa.BufferReader(data),
@@ -176,13 +231,10 @@ class CsvRangeReader(DataSourceReader):
             arrow_csv.ConvertOptions(
                 column_types=dict.fromkeys(partition.header, pa.string()), include_columns=kept or partition.header[:1],
                 null_values=[""], strings_can_be_null=True, quoted_strings_can_be_null=True))
-        if table.num_rows != partition.rows:
-            raise ValueError(f"{partition.path} from byte {partition.begin} has {table.num_rows} rows, not {partition.rows}")
         n = table.num_rows
         columns = [table[c] if c in kept else pa.nulls(n, pa.string()) for c in self.columns]
-        whole = pa.table([pa.array([partition.chunk] * n, pa.int32()), pa.array(np.arange(partition.row, partition.row + n)), *columns],
-                         names=["chunk_index", "original_index", *self.columns])
-        yield from whole.to_batches(max_chunksize=10_000)
+        return pa.table([pa.array([partition.chunk] * n, pa.int32()), pa.array(np.arange(row, row + n)), *columns],
+                        names=["chunk_index", "original_index", *self.columns])
 
 
 class CsvRanges(DataSource):

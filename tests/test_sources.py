@@ -2,8 +2,10 @@ import csv
 import io
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,3 +232,37 @@ def test_pages_and_playlists_as_json(spark, tmp_path):
     playlists.write_playlists(playlists.playlists(requests, songs, 2), str(tmp_path / "out"))
     row = spark.read.json(str(tmp_path / "out")).first()
     assert (row["id"], row["title"], row["genres"], [s["title"] for s in row["songs"]]) == (1, "x" * 47 + "...", ["Pop"], ["a", "b"])
+
+
+@pytest.mark.parametrize("stretch", [1, 2, 3, 7, 1000])
+def test_stretches_give_what_the_whole_gives(monkeypatch, stretch):
+    text = b'h,"l"\n1,"a\n""b"\n\n2,""\r\n\r\n"3\n","\n"\n4,x'
+    whole = csv_corpus._count_records(io.BytesIO(text), len(text), 0, len(text), 6)
+    assert (whole.first[0], whole.records[0]) == (6, 4)
+    blocks = [csv_corpus._count_records(io.BytesIO(text), len(text), a, z, 0) for a, z in ((6, 20), (20, len(text)))]
+    monkeypatch.setattr(csv_corpus, "STRETCH_BYTES", stretch)
+    assert csv_corpus._count_records(io.BytesIO(text), len(text), 0, len(text), 6) == whole
+    assert [csv_corpus._count_records(io.BytesIO(text), len(text), a, z, 0) for a, z in ((6, 20), (20, len(text)))] == blocks
+    parts = list(csv_corpus._record_stretches(io.BytesIO(text), 6, len(text)))
+    assert b"".join(parts) == text[6:]
+    rows = [row for part in parts for row in csv.reader(io.StringIO(part.decode(), newline="")) if row]
+    assert rows == [r for r in csv.reader(io.StringIO(text.decode(), newline="")) if r][1:]
+
+
+def test_a_task_holds_a_stretch_of_its_range(tmp_path):
+    path = tmp_path / "song_lyrics_chunk_1.csv"
+    with open(path, "w", newline="") as out:
+        csv.writer(out, lineterminator="\n").writerows([["title", "lyrics"], *[[str(i), f'some "text"\n{i}' * 50] for i in range(20_000)]])
+    size = path.stat().st_size
+    row = {"path": path.as_uri(), "size": size, "block": 0, "begin": 0, "end": size}
+    tracemalloc.start()
+    (block,) = [b.to_pylist()[0] for b in csv_corpus._summarise(iter([pa.RecordBatch.from_pylist([row])]))]
+    (part,) = csv_corpus._ranges([block], 1, 0)
+    reader = csv_corpus.CsvRangeReader({"plan": "", "columns": '["title", "lyrics"]', "pattern": ""})
+    last = None
+    for batch in reader.read(part):
+        last = batch.to_pylist()[-1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert last == {"chunk_index": 1, "original_index": 19_999, "title": "19999", "lyrics": 'some "text"\n19999' * 50}
+    assert peak < size and size > 16 << 20
