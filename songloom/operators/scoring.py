@@ -29,6 +29,8 @@ from songloom.operators.groups import first_per_key
 from songloom.session import settle
 
 ATTEMPTS = 3
+# Requests up to this number are dealt out once more, so that few of them are asked side by side as well.
+SHORT_LIST = 10_000
 # Characters of an error that are kept with its row.
 ERROR_CHARS = 200
 
@@ -80,14 +82,18 @@ def score_with_memo(pairs: DataFrame, scorer: Scorer, memo: str, attempts: int =
     """
     spark = pairs.sparkSession
     request = F.when(F.col("lyrics").isNotNull(), render_prompt(F.col("prompt"), F.col("title"), F.col("artist"), F.col("lyrics")))
-    told = pairs.withColumn("_request", request).withColumn("_hash", F.sha2("_request", 256))
-    wanted = told.filter(F.col("_request").isNotNull()).groupBy(F.col("_hash").alias("request_hash")).agg(
-        F.first("_request").alias("request"))
+    # Whether there are lyrics is noted here: behind the join below nothing needs the text itself.
+    told = pairs.withColumn("_request", request).withColumn("_hash", F.sha2("_request", 256)).withColumn(
+        "_sung", F.col("lyrics").isNotNull())
+    asked = told.filter(F.col("_request").isNotNull()).select(F.col("_hash").alias("request_hash"), F.col("_request").alias("request"))
+    hashes = settle(asked.select("request_hash").distinct(), "request-hashes")
     # Stored: it must not see what this run adds below.
-    known = settle(read_memo(spark, memo).join(wanted.select("request_hash"), "request_hash", "left_semi"), "known-answers")
-    fresh = settle(wanted.join(known.select("request_hash"), "request_hash", "left_anti"), "fresh-requests")
-    # Dealt out anew: which requests are new says nothing about where they lie.
-    dealt = fresh.repartition(concurrency or spark.sparkContext.defaultParallelism, "request_hash")
+    known = settle(read_memo(spark, memo).join(hashes, "request_hash", "left_semi"), "known-answers")
+    # The texts go to their hash once, and are asked about where they arrive.
+    fresh = asked.groupBy("request_hash").agg(F.first("request").alias("request")).join(
+        known.select("request_hash"), "request_hash", "left_anti")
+    short = hashes.join(known.select("request_hash"), "request_hash", "left_anti").limit(SHORT_LIST + 1).count() <= SHORT_LIST
+    dealt = fresh.repartition(concurrency or spark.sparkContext.defaultParallelism, "request_hash") if concurrency or short else fresh
     answered = settle(dealt.mapInPandas(
         lambda batches: _ask(batches, scorer, attempts),
         "request_hash string, response string, failed boolean, error string"), "answers")
@@ -98,6 +104,6 @@ def score_with_memo(pairs: DataFrame, scorer: Scorer, memo: str, attempts: int =
         answered.select("request_hash", "response", "failed", "error"))
     joined = told.join(answers.withColumnRenamed("request_hash", "_hash"), "_hash", "left")
     failed = F.coalesce(F.col("_failed"), F.lit(False))
-    relevance = F.when(F.col("lyrics").isNotNull() & ~failed, parse_score(F.col("response")))
+    relevance = F.when(F.col("_sung") & ~failed, parse_score(F.col("response")))
     return joined.select(*[F.col(f"`{c}`") for c in pairs.columns if c not in ("relevance", "failed", "error")],
                          relevance.alias("relevance"), failed.alias("failed"), F.col("_error").alias("error"))

@@ -907,7 +907,9 @@ def _judge_or_fail(asked: list[str]) -> list[str]:
 @query
 def score_with_failures(d: Data) -> DataFrame:
     """Calls that fail stay with their song; the second run asks about these and the rest only."""
-    rows, memo = spread(d.asked_songs, "song_id"), d.scratch("memo")
+    # Stored: the songs meet their requests once, not again for each reading.
+    asked = settle(d.asked_songs.select("song_id", "title", "artist", "prompt", "lyrics"), "asked-songs")
+    rows, memo = spread(asked, "song_id"), d.scratch("memo")
     scoring.score_with_memo(rows.filter("song_id % 3 = 0"), _judge_or_fail, memo).agg(F.count_if("failed")).first()
     return scoring.score_with_memo(rows, _judge_or_fail, memo).select("song_id", "relevance", "failed", "error")
 
