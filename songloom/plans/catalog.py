@@ -962,9 +962,10 @@ def job_machine_stream(d: Data) -> DataFrame:
     arriving, output, events = d.scratch("events-in"), d.scratch("reports-out"), settle(d.job_events, "job-events")
     edges = events.agg(F.percentile_approx("ts", [0.3, 0.7])).first()[0]
     part = F.when(F.col("ts") < F.lit(edges[0]), 0).when(F.col("ts") < F.lit(edges[1]), 1).otherwise(2)
-    for k in range(3):  # one after the other, so that they are read in this order
-        events.filter(part == k).coalesce(1).write.mode("append").parquet(arriving)
-    stream = d.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    files = d.spark.sparkContext.defaultParallelism
+    for k in range(3):  # one after the other, so that they are read in this order; a job's events of a part are in one file
+        events.filter(part == k).repartition(files, "job_id").write.mode("append").parquet(arriving)
+    stream = d.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(arriving)
     machine.stream_job_reports(stream, output, d.scratch("reports-checkpoint")).awaitTermination()
     return machine.latest_states(d.spark.read.parquet(output))
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +61,15 @@ def advance(state: tuple | None, event: tuple) -> tuple[tuple | None, str | None
     return (status, max(done, 0 if progress is None else int(progress)), message, None, created, ts), None
 
 
+_NO_STATE = (None,) * 6
+
+
+def _plain(values: pd.Series) -> list:
+    """Values as Python has them, None for those that are missing."""
+    plain = values.astype(object).tolist()
+    return [None if pd.isna(v) else v for v in plain] if values.hasnans else plain
+
+
 class JobMachine(StatefulProcessor):
     def __init__(self, stuck_after: int | None):
         self.stuck_after = stuck_after
@@ -69,13 +79,16 @@ class JobMachine(StatefulProcessor):
         self.state = handle.getValueState("job", STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        events = pd.concat(list(rows))
+        events = events.take(np.lexsort((events["event_id"].to_numpy(), events["ts"].to_numpy())))
         state = tuple(self.state.get()) if self.state.exists() else None
-        before, out = state, []
-        for event in events.itertuples():
-            values = [None if pd.isna(v) else v for v in (event.ts, event.status, event.progress, event.message)]
-            state, reason = advance(state, tuple(values))
-            out.append([key[0], event.event_id, event.ts, "refused" if reason else "accepted", reason, *(state or [None] * 6)])
+        before, states, reasons = state, [], []
+        # Column by column: a frame's row costs far more than the step it asks for.
+        told = (_plain(events[c]) for c in ("ts", "status", "progress", "message"))
+        for event in zip(*told, strict=True):
+            state, reason = advance(state, event)
+            states.append(state or _NO_STATE)
+            reasons.append(reason)
         if state is not None and state is not before:
             self.state.update(tuple(v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in state))
             if self.stuck_after is not None:
@@ -83,21 +96,24 @@ class JobMachine(StatefulProcessor):
                     self.handle.deleteTimer(timer)
                 if state[0] not in FINAL_STATES:
                     self.handle.registerTimer(int(pd.Timestamp(state[5]).timestamp() * 1000) + self.stuck_after * 1000)
-        yield self._frame(out)
+        n = len(events)
+        yield self._frame([[key[0]] * n, events["event_id"].to_numpy(), events["ts"].to_numpy(),
+                           ["refused" if r else "accepted" for r in reasons], reasons, *map(list, zip(*states, strict=True))])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.state.exists():
             at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
-            yield self._frame([[key[0], None, at, "stuck", f"nothing for {self.stuck_after} s", *self.state.get()]])
+            report = [key[0], None, at, "stuck", f"nothing for {self.stuck_after} s", *self.state.get()]
+            yield self._frame([[value] for value in report])
 
     @staticmethod
-    def _frame(rows: list[list]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=COLUMNS)
+    def _frame(columns: list) -> pd.DataFrame:
+        frame = dict(zip(COLUMNS, columns, strict=True))
         for column in ("ts", "created_at", "updated_at"):
             frame[column] = pd.to_datetime(frame[column])
         for column in ("event_id", "progress"):
-            frame[column] = frame[column].astype("Int64" if column == "event_id" else "Int32")
-        return frame
+            frame[column] = pd.array(frame[column], dtype="Int64" if column == "event_id" else "Int32")
+        return pd.DataFrame(frame, columns=COLUMNS)
 
     def close(self) -> None:
         pass
