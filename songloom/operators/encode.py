@@ -18,6 +18,8 @@ Encoder = Callable[[list[str]], np.ndarray]
 Scorer = Callable[[list[str]], list[str | None]]
 
 HASH_DIM = 256
+# Column with the words of the lyrics, where they have been cut already.
+LYRICS_WORDS = "_lyrics_words"
 
 
 def _slots(text: Column, dim: int) -> Column:
@@ -93,9 +95,11 @@ def score_relevance(pairs: DataFrame, scorer: Scorer | None = None, concurrency:
     """
     if scorer is None:
         asked = pairs.withColumn("_asked", tokens(F.col("prompt")))
-        shared = F.size(F.array_intersect("_asked", tokens(F.col("lyrics"))))
+        cut = LYRICS_WORDS in pairs.columns
+        words, sung = (F.col(LYRICS_WORDS) if cut else tokens(F.col("lyrics"))), F.col(LYRICS_WORDS if cut else "lyrics").isNotNull()
+        shared = F.size(F.array_intersect("_asked", words))
         share = F.floor(F.lit(100.0) * shared / F.greatest(F.size("_asked"), F.lit(1))).cast("int")
-        return asked.withColumn("relevance", F.when(F.col("lyrics").isNotNull(), share)).drop("_asked")
+        return asked.withColumn("relevance", F.when(sung, share)).drop("_asked", LYRICS_WORDS)
     if concurrency:
         pairs = pairs.repartition(concurrency)
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from songloom.constants import MIN_RELEVANCE
 from songloom.functions.scores import blend, neutral_rule, strict_rule
 from songloom.functions.keys import has_text, strip
+from songloom.functions.text import tokens
+from songloom.operators.encode import LYRICS_WORDS
 
 Rule = Callable[[Column, Column, Column], dict[str, Column]]
 
@@ -39,14 +41,18 @@ def rank_results(hits: DataFrame, per: list[str], score: str = "score") -> DataF
     return hits.withColumn("rank", F.row_number().over(order))
 
 
-def fetch_lyrics(candidates: DataFrame, lyrics: DataFrame, by: list[str]) -> DataFrame:
+def fetch_lyrics(candidates: DataFrame, lyrics: DataFrame, by: list[str], words: bool = False) -> DataFrame:
     """Candidates with their lyrics, stripped; blank or absent lyrics are NULL.
 
+    ``words``: also with their words, for ``score_relevance``, cut once a song and not once a candidate.
+
     The lyrics are cut down to the candidates' first: an outer join alone could only
     broadcast or shuffle the lyrics, never leave them in place.
     """
     wanted = lyrics.join(candidates.select(*by).distinct(), by, "left_semi")
     text = wanted.filter(has_text(F.col("lyrics"))).select(*by, strip(F.col("lyrics")).alias("lyrics"))
+    if words:
+        text = text.withColumn(LYRICS_WORDS, tokens(F.col("lyrics")))
     return candidates.drop("lyrics").join(text, by, "left")
 
 

@@ -186,7 +186,7 @@ class Data:
         """The pages as the payload files they arrive in."""
         def write() -> DataFrame:
             path = self.scratch("pages-json")
-            self.pages.write.json(path)
+            self.pages.write.option("compression", "snappy").json(path)
             return playlists.read_pages(self.spark, path)
 
         return self.stored("pages", write)

@@ -100,7 +100,8 @@ def vector_hits(requests: DataFrame, names: DataFrame, matched: DataFrame, vecto
 
     rare = asks.join(common, "name", "left_anti") if some_common else asks
     pairs = settle(slim.join(rare, "name").drop("name"), "pairs")
-    scored = pairs.join(vectors, "song_id").join(queries, "request_id").withColumn(
+    # The query goes to the song: a prompt has few words, so its vector is mostly zeros and packs well.
+    scored = pairs.join(queries, "request_id").join(vectors, "song_id").withColumn(
         "raw_score", dot(F.col("embedding"), F.col("q"))).drop("embedding", "q")
     if some_common:
         weight = F.lit(1.0) if overfetch else views_multiplier(numeric(F.col("views")))
@@ -112,9 +113,10 @@ def vector_hits(requests: DataFrame, names: DataFrame, matched: DataFrame, vecto
 
 
 def _describe(requests, names, hits, lyrics, scorer, rerank, top_k) -> DataFrame:
-    hits = settle(hits.drop("rank").withColumnRenamed("score", "vector_score"), "hits")
-    read = fetch_lyrics(hits, lyrics, ["song_id"]).join(requests.select("request_id", "prompt"), "request_id")
-    scored = score_relevance(read, scorer).drop("prompt", "lyrics")
+    # The prompt goes to the lyrics: text that is as long as lyrics is moved once a song, not once a hit.
+    hits = settle(hits.drop("rank").withColumnRenamed("score", "vector_score").join(
+        requests.select("request_id", "prompt"), "request_id"), "hits")
+    scored = score_relevance(fetch_lyrics(hits, lyrics, ["song_id"], words=scorer is None), scorer).drop("prompt", "lyrics")
     best = top_k_per_group(rerank(scored), ["request_id"], best_first(), top_k, "song_id")
     described = enrich_hits(best, names, ["request_id"])
     return described.withColumn("id", result_id(F.col("rank") - 1, F.col("title"), F.col("artist"))).withColumn(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from check_results import compare, open_tables
+from songloom import session
 from songloom.operators import block
 from songloom.plans import recommend as plan
 from songloom.plans.catalog import Data
@@ -120,3 +121,36 @@ def test_settled_table_is_below_the_shared_folder(spark):
     assert rows.count() == 5
     assert rows.inputFiles()[0].removeprefix("file://").startswith(shared_dir(spark).removeprefix("file:"))
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_asked_is_asked_songs_of_some_songs(spark):
+    d = Data(spark, SMALL)
+    some = d.songs.filter("song_id % 3 = 1")
+    columns = ["song_id", "title", "request_id", "prompt"]
+    wanted = d.asked_songs.filter("song_id % 3 = 1").select(*columns).collect()
+    assert wanted and sorted(map(str, d.asked(some).select(*columns).collect())) == sorted(map(str, wanted))
+
+
+def test_prompts_and_queries_go_to_the_songs(spark, monkeypatch):
+    """Lyrics are met by hits that have their prompt already, vectors by pairs that have their query: neither moves once a hit."""
+    d, seen = Data(spark, SMALL), []
+    fetch = plan.fetch_lyrics
+    monkeypatch.setattr(plan, "fetch_lyrics", lambda hits, *more, **named: seen.append(hits.columns) or fetch(hits, *more, **named))
+    asked = d.requests
+    found = plan.match(asked, d.tracks, d.metadata)
+    hits = plan.vector_hits(asked, found.wanted(), found.songs, d.lyric_vectors)
+    assert plan.recommend(asked, d.tracks, d.metadata, d.lyric_vectors, d.song_lyrics, matched=found).count() > 0
+    assert "prompt" in seen[0]
+    joins = [line for line in hits._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert "song_id" in joins[0] and "request_id" in joins[1]
+
+
+def test_payload_files_are_packed(spark):
+    assert all(f.endswith(".snappy") for f in Data(spark, SMALL).stored_pages.inputFiles())
+
+
+def test_events_of_a_part_arrive_in_many_files(spark):
+    entry.QUERIES["job_machine_stream"](spark, SMALL).collect()
+    arriving = [p for p in session._scratch[spark.sparkContext.applicationId] if "/events-in-" in p][-1]
+    files = [f for f in os.listdir(arriving) if f.endswith(".parquet")]
+    assert len(files) > 3
